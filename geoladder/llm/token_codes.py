@@ -346,8 +346,8 @@ def read_codes(files: DataFrame) -> DataFrame:
                 ids = pa.array(np.asarray(f.doc_ids), pa.int64(), mask=np.asarray(f.nulls).astype(bool))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(base + starts[:-1]), pa.array(np.diff(starts)), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # one task per few files, dealt in turn
-    return with_base.select("uri", "base").repartition("uri").mapInArrow(read, DIRECTORY)
+    # a given number of tasks: adaptive execution would read rows as small as names in a single one
+    return with_base.select("uri", "base").repartition(max(1, files.count()), "uri").mapInArrow(read, DIRECTORY)
 
 
 def default_vocabulary() -> str:

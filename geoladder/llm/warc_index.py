@@ -228,7 +228,8 @@ def read_runs(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return archives.select("uri").repartition("uri").mapInArrow(read, ENTRY)
+    # a given number of tasks: adaptive execution would read rows as small as names in a single one
+    return archives.select("uri").repartition(max(1, archives.count()), "uri").mapInArrow(read, ENTRY)
 
 
 def merge_runs(entries: DataFrame) -> DataFrame:
