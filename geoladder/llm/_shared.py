@@ -90,7 +90,16 @@ def written(df: DataFrame, spark: SparkSession, what: str) -> DataFrame:
     path = new_folder(spark, what)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.geoladder_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read any more."""
+    for t in tables:
+        fs, path = open_fs(t.geoladder_folder)
+        fs.delete_dir(path)
 
 
 def small_batches(spark: SparkSession, megabytes: int = 8) -> None:

@@ -175,7 +175,7 @@ def components(links: DataFrame, spark: SparkSession, what: str = "components")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = _shared.written(both, spark, f"{what}-edges")
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
-    labels = _shared.written(labels, spark, what)
+    labels = old = _shared.written(labels, spark, what)
     while True:
         of = labels.select(F.col("node").alias("b"), F.col("comp").alias("near"))
         best = edges.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
@@ -183,9 +183,11 @@ def components(links: DataFrame, spark: SparkSession, what: str = "components")
         jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
         now = hooked.join(jump, "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("next"))
         now = _shared.written(now, spark, what)
-        changed = now.where("next <> comp").limit(1).count()
+        _shared.discard(old)
+        changed, old = now.where("next <> comp").limit(1).count(), now
         labels = now.select("node", F.col("next").alias("comp"))
         if not changed:
+            _shared.discard(edges)
             return labels
 
 
@@ -235,6 +237,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, similarity: float = SI
     more = _shared.written(more, spark, "near-cross")
     if more.limit(1).count():
         comp = components(links.select("a", "b").union(more), spark)
+    _shared.discard(nodes, placed, text_of, with_hub, rest, more)
     named = member.select("doc_id", "text_key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     one = _shared.rehashed("comp")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, near_dedup, quality, span_dedup, token_codes, topk, warc_index
+from . import chat_format, decontaminate, mixing, near_dedup, ngram_trie, quality, span_dedup, token_codes, topk, warc_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score_corpus(table(spark, sf_dir, "documents"), spark, order=3)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), spark, similarity=0.8, k=5)
     return classes.select("doc_id", "class_id")
@@ -57,7 +61,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index, op3_near_dedup, op4_decontaminate, op5_span_dedup, op6_source_mix, op7_quality_select, op8_token_codes, op9_topk, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_warc_index, op2_ngram_score, op3_near_dedup, op4_decontaminate, op5_span_dedup, op6_source_mix, op7_quality_select, op8_token_codes, op9_topk, op10_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": r"""

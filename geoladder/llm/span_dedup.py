@@ -248,13 +248,17 @@ def _cut(length: int):
 
 
 def repeated_windows(docs: DataFrame, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, most_spans: int = MOST_SPANS) -> DataFrame:
-    """(text_key, n_bytes, s0, s1): runs of window starts whose strings occur elsewhere too. ``docs``: see ``_base``."""
+    """(text_key, n_bytes, runs): per text the runs (s0, s1) of window starts whose strings occur elsewhere too.
+
+    ``docs``: see ``_base``. The result is a written table.
+    """
     a = docs.where(F.col("n_bytes") >= length).select("doc_id", "text_key", "n_bytes", "text").mapInArrow(_emit_anchors(length, gram), f"doc_id bigint, {TEXT}, anchor bigint, first bigint, last bigint, gram bigint, span bigint")
     a = _shared.written(a, spark, "span-anchors")
     twice = a.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("x"), F.max("span").alias("y")).where("n > 1").select("gram", (F.col("x") != F.col("y")).alias("mixed"))
     again = _shared.rehashed("gram")
     live = a.withColumn("again", again).join(twice.withColumn("again", again), ["gram", "again"]).drop("again")
     live = _shared.written(live, spark, "span-live")
+    _shared.discard(a)
     spans = live.groupBy("gram", "span").agg(F.count("*").alias("copies"), F.first("mixed").alias("mixed"), F.min(F.struct("doc_id", "text_key", "n_bytes", "anchor", "first", "last")).alias("at"))
     spans = _shared.written(spans.select("gram", "span", "copies", "mixed", "at.*"), spark, "span-spans")
 
@@ -275,10 +279,11 @@ def repeated_windows(docs: DataFrame, spark: SparkSession, length: int = LENGTH,
     dealt = done.where("digest <> 0 or gram <> 0")
     twin = dealt.groupBy("gram", "digest").agg(F.count("*").alias("n")).where("n > 1").select("gram", "digest")
     far = dealt.join(twin, ["gram", "digest"], "left_semi").select("text_key", "n_bytes", "s0", "s1")
-    if not big.limit(1).count():
-        return full.union(near)
     # every other member of a class that was repeated within its task is already in ``near``
-    return full.union(near).union(far)
+    runs = full.union(near).union(far) if big.limit(1).count() else full.union(near)
+    out = _shared.written(runs.groupBy("text_key", "n_bytes").agg(F.collect_set(F.struct("s0", "s1")).alias("runs")), spark, "span-runs")
+    _shared.discard(live, spans, done)
+    return out
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -291,8 +296,7 @@ def remove_repeats(docs: DataFrame, spark: SparkSession, length: int = LENGTH, g
     _shared.small_batches(spark)
     gram = min(gram, length)
     base = _base(docs)
-    runs = repeated_windows(base, spark, length, gram, most_spans)
-    per_text = _shared.written(runs.groupBy("text_key", "n_bytes").agg(F.collect_set(F.struct("s0", "s1")).alias("runs")), spark, "span-runs")
+    per_text = repeated_windows(base, spark, length, gram, most_spans)
     again = _shared.rehashed("text_key", "n_bytes")
     none = F.array().cast("array<struct<s0:bigint,s1:bigint>>")
     rows = base.withColumn("again", again).join(per_text.withColumn("again", again), ["text_key", "n_bytes", "again"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
