@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from geoladder.catalog import layout_queries, plan_queries
+
+QUERIES: dict = {**layout_queries.QUERIES, **plan_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**layout_queries.ORACLE_SQL, **plan_queries.ORACLE_SQL}

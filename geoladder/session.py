@@ -7,6 +7,18 @@ import os
 from pyspark.sql import SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package where the code lies at the same path, whatever the working folder is."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    return spark
+
+
 def local_session(app: str = "geoladder", cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     """A local session; a cluster brings its own settings and this is not used there."""
     builder = (
@@ -23,4 +35,4 @@ def local_session(app: str = "geoladder", cpus: str | int = "*", partitions: int
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return reach_workers(spark)
