@@ -4,8 +4,10 @@ The grades are ordered; one weight vector over hashed text features is shared by
 thresholds cut its score: P(grade >= k) = sigmoid(score - threshold_k). This gives an expected grade and, for the
 selection, the tail probability P(grade >= ``keep_grade``).
 
-Features: words (A-Z lower-cased) and pairs of neighbouring words, hashed into ``dims`` cells; besides, the words with
-their letters as written, so that the case counts. A document's features are log(1 + count), scaled to length one.
+Features: the words that a text has (A-Z lower-cased, ASCII punctuation around them taken away), hashed into ``dims``
+cells with the value 1 however often; and, in cells of their own, the shares of words that end in each pair of
+punctuation signs, begin with two capitals, or repeat the word before. Only words that are associated with the grades (by
+``screen`` standard errors) get a weight; of the others, a weight would be noise.
 
 The fit takes a bounded sample of the rated documents: those with the smallest hash of their id, ``sample`` of them at
 most (a documented parameter). Only their hashed cells reach the driver, at most ``dims`` numbers a document. Scoring
@@ -40,22 +42,45 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 0).when(quality == 0, 1).when(quality == 1, 2)
 
 
+#: Cells at the end of the table that hold shares of word shapes, and the factor that brings them to the words' scale.
+SHAPES, SHARE = 256, 8.0
+#: ASCII signs that are neither letters nor digits nor white space.
+IS_SIGN = np.zeros(256, bool)
+IS_SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
 def cells(buf: np.ndarray, bounds: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of hashed features: (cells, values, first cell of each text), values scaled to length one."""
-    exact, first = _vec.word_hashes(buf, bounds)
-    low, _ = _vec.word_hashes(buf, bounds, lower=True)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pair = _vec.mix(low[:-1] * U(3) + low[1:]) if len(low) > 1 else low[:0]
-    inside = doc[:-1] == doc[1:] if len(doc) > 1 else np.zeros(0, bool)
-    keys = np.concatenate([low, _vec.mix(exact ^ U(0xA5A5)), pair[inside]])
-    docs = np.concatenate([doc, doc, doc[:-1][inside]])
-    at = (keys % U(dims)).astype(np.int64) + docs * dims
-    at, n = np.unique(at, return_counts=True)
-    value = np.log1p(n.astype(np.float64))
-    begin = np.searchsorted(at, np.arange(len(first)) * dims)
-    row = at // dims
-    norm = np.sqrt(np.bincount(row, value * value, len(first) - 1))
-    return (at % dims).astype(np.int32), (value / norm[row]).astype(np.float32), begin
+    """Sparse rows of hashed features: (cells, values, first cell of each text)."""
+    start, end, first = _vec.words(buf, bounds)
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n)), n)
+    if not len(start):
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(len(bounds), np.int64)
+    last, before = buf[end - 1], buf[np.maximum(end - 2, start)]
+    signs = IS_SIGN[last]
+    capital = lambda b: (b >= 65) & (b <= 90)
+    caps = (end - start > 1) & capital(buf[start]) & capital(buf[np.minimum(start + 1, len(buf) - 1)])
+    pair = last.astype(np.int64) * 256 + np.where(IS_SIGN[before], before, 0)
+    exact = _vec.Rolling(buf)(start, end)
+    again = np.zeros(len(doc), bool)
+    again[1:] = (exact[1:] == exact[:-1]) & (doc[1:] == doc[:-1])
+    shape_doc = np.concatenate([doc[signs], doc[caps], doc[again]])
+    shape = np.concatenate([(pair[signs] * 40503 >> 4) % (SHAPES - 2), np.full(int(caps.sum()), SHAPES - 1), np.full(int(again.sum()), SHAPES - 2)]) + dims - SHAPES
+    # words without the signs around them
+    a, b = start.copy(), end.copy()
+    for edge, step, at in ((a, 1, 0), (b, -1, -1)):
+        for _ in range(8):
+            off = np.flatnonzero((a < b) & IS_SIGN[buf[np.clip(edge + at, 0, len(buf) - 1)]])
+            if not len(off):
+                break
+            edge[off] += step
+    some = a < b
+    word = (_vec.Rolling(_vec.LOWER[buf])(a[some], b[some]) % U(dims - SHAPES)).astype(np.int64)
+    key = np.concatenate([doc[some] * dims + word, shape_doc * dims + shape])
+    key, count = np.unique(key, return_counts=True)
+    row, cell = key // dims, key % dims
+    value = np.where(cell < dims - SHAPES, 1.0, SHARE * count / n[row])
+    return cell.astype(np.int32), value.astype(np.float32), np.searchsorted(key, np.arange(len(n) + 1) * dims)
 
 
 @dataclass
@@ -68,7 +93,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit(cell: np.ndarray, value: np.ndarray, begin: np.ndarray, grades: np.ndarray, dims: int, n_grades: int, epochs: int = 30, rate: float = 0.5, ridge: float = 1e-7, seed: int = 5) -> Model:
+def associated(cell: np.ndarray, begin: np.ndarray, grades: np.ndarray, dims: int, n_grades: int, screen: float) -> np.ndarray:
+    """Which cells tell grades apart: for some k, the shares of documents of grade >= k with and without the cell differ
+    by ``screen`` standard errors. Cells of word shapes always count."""
+    n, row = len(grades), np.repeat(np.arange(len(grades)), np.diff(begin))
+    have = np.bincount(cell, minlength=dims).astype(np.float64)
+    out = np.zeros(dims, bool)
+    out[dims - SHAPES :] = True
+    for k in range(1, n_grades):
+        good = (grades >= k).astype(np.float64)
+        with_it, p = np.bincount(cell, good[row], dims), good.mean()
+        error = np.sqrt(np.maximum(p * (1 - p) * have * (n - have) / n, 1e-12))
+        out |= (have > 0) & (np.abs(with_it - have * p) > screen * error)
+    return out
+
+
+def fit(cell: np.ndarray, value: np.ndarray, begin: np.ndarray, grades: np.ndarray, dims: int, n_grades: int, steps: int = 5000, rate: float = 0.5, ridge: float = 1e-5, screen: float = 4.0, seed: int = 5) -> Model:
     """Maximum likelihood of the cumulative logits by AdaGrad over mini-batches; thresholds stay ordered.
 
     The grades are weighted towards balance by the square root of their frequency.
@@ -79,6 +119,11 @@ def fit(cell: np.ndarray, value: np.ndarray, begin: np.ndarray, grades: np.ndarr
         g = int(present[0]) if n else n_grades - 1
         return Model(np.zeros(dims, np.float32), np.where(np.arange(1, n_grades) <= g, -30.0, 30.0))
     rng = np.random.default_rng(seed)
+    used = associated(cell, begin, grades, dims, n_grades, screen)
+    keep = used[cell]
+    begin = np.concatenate([[0], np.cumsum(keep)])[begin]
+    cell, value = (np.cumsum(used) - 1)[cell[keep]], value[keep]
+    all_dims, dims = dims, int(used.sum())
     share = np.bincount(grades, minlength=n_grades) / n
     case_weight = np.where(share > 0, 1 / np.sqrt(np.maximum(share, 1e-9)), 0)
     case_weight = case_weight[grades] / case_weight[grades].mean()
@@ -87,7 +132,7 @@ def fit(cell: np.ndarray, value: np.ndarray, begin: np.ndarray, grades: np.ndarr
     gw, gt = np.full(dims, 1e-6), np.full(n_grades - 1, 1e-6)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     size = np.diff(begin)
-    for _ in range(epochs):
+    for _ in range(-(-steps * 256 // n)):
         order = rng.permutation(n)
         for i in range(0, n, 256):
             rows = order[i : i + 256]
@@ -113,7 +158,9 @@ def fit(cell: np.ndarray, value: np.ndarray, begin: np.ndarray, grades: np.ndarr
             gt_now /= len(rows)
             gt += gt_now * gt_now
             theta = np.maximum.accumulate(theta + 0.2 * rate * gt_now / np.sqrt(gt))
-    return Model(w.astype(np.float32), theta)
+    weights = np.zeros(all_dims, np.float32)
+    weights[used] = w
+    return Model(weights, theta)
 
 
 def train(docs: DataFrame, ratings: DataFrame, spark: SparkSession, n_grades: int = GRADES, sample: int = SAMPLE, dims: int = DIMS, **how) -> Model:
@@ -137,6 +184,8 @@ def train(docs: DataFrame, ratings: DataFrame, spark: SparkSession, n_grades: in
     v = [np.frombuffer(x.as_py(), np.float16) for x in got["values"].combine_chunks().take(pa.array(order))] if len(order) else []
     begin = np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int64)
     grades = np.asarray(got["grade"])[order].astype(np.int64) if len(order) else np.zeros(0, np.int64)
+    del got
+    pa.default_memory_pool().release_unused()
     empty = np.zeros(0)
     return fit(np.concatenate(c) if c else empty.astype(np.int32), np.concatenate(v).astype(np.float32) if v else empty.astype(np.float32), begin, grades, dims, n_grades, **how)
 
