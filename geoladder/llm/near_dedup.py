@@ -14,10 +14,10 @@ latest register, so most shingles make a single point: the cost is about m log m
 0.85 with 2e-8.
 
 *Links.* Texts that are the same as word sequences are one node from the start, with one representative. In a band's
-bucket all members are compared with the bucket's hub (its smallest node), which is linear in its size. Verified links
-give components. What can be missed so are links between members of one bucket that are now in different components:
-for these, and only these, pairs are made, except those that the triangle inequality of the Jaccard distance rules out,
-given both members' verified similarity with the hub. So the classes equal those from all pairs of every bucket.
+bucket all members are compared with the bucket's hub (the node that meets most others), which is linear in its size.
+Verified links give components. What can be missed so are links between members of one bucket that are now in different
+components: the nodes of such buckets, and only these, go through an exact prefix-filter join (``across``), which finds
+all their links between components. So the classes equal those from all pairs of every bucket.
 
 *Verification* compares the multisets themselves. *Components* are found by min-label exchange over the links, each
 round a written table; nothing but a count reaches the driver.
@@ -40,6 +40,8 @@ U = np.uint64
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
+#: 64-bit words of a set's parity bitmap.
+PARITY_WORDS = 16
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -191,6 +193,97 @@ def components(links: DataFrame, spark: SparkSession, what: str = "components")
             return labels
 
 
+def _elements(keys: np.ndarray, counts: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A multiset as a set: an element for each occurrence of a key. (elements, text of each, texts' sizes)."""
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    of = np.repeat(np.arange(len(keys)), counts)
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))[of]
+    return _vec.mix(keys[of] + nth.astype(U) * U(0x9E3779B97F4A7C15)), text, np.bincount(text, minlength=len(begin) - 1)
+
+
+def _rarity(k: int, cells: int, slices: int = 16):
+    """How many elements fall into each cell of a hash table of fixed size."""
+
+    def run(batches):
+        table = np.zeros(cells, np.uint32)
+        for batch in batches:
+            buf, bounds = _vec.text_buffers(batch.column(0))
+            for _, _, b, o in _vec.chunks(buf, bounds):
+                at, n = np.unique((_elements(*multisets(b, o, k)[:3])[0] % U(cells)).astype(np.int64), return_counts=True)
+                table[at] += n.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(table, slices)], pa.binary())], ["slice", "counts"])
+
+    return run
+
+
+def _add_slices(pdf):
+    total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["counts"])
+    pdf = pdf.iloc[:1].copy()
+    pdf["counts"] = [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]
+    return pdf
+
+
+def _prefixes(similarity: float, k: int, rarity):
+    """Of each node the elements that come first in the order of rarity, so many that a similar node must share one."""
+
+    def run(batches):
+        table = rarity.value
+        for batch in batches:
+            buf, bounds = _vec.text_buffers(batch.column(2))
+            for i, _, b, o in _vec.chunks(buf, bounds):
+                el, text, size = _elements(*multisets(b, o, k)[:3])
+                often = table[(el % U(len(table))).astype(np.int64)]
+                shared = np.bincount(text, often > 1, len(size)).astype(np.int64)
+                order = np.lexsort((el, often, text))
+                begin = np.cumsum(size) - size
+                take = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+                bits = np.zeros((len(size), 64 * PARITY_WORDS), np.uint8)
+                np.bitwise_xor.at(bits, (text, ((el >> U(20)) % U(64 * PARITY_WORDS)).astype(np.int64)), 1)
+                words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+                el = el[order][_vec.ragged(begin, take)]
+                at = pa.array(np.repeat(np.arange(len(size)), take) + i)
+                lead = np.zeros(len(el), bool)
+                lead[(np.cumsum(take) - take)[take > 0]] = True
+                ends = np.concatenate([[0], np.cumsum(lead)]).astype(np.int32) * PARITY_WORDS
+                parity = pa.ListArray.from_arrays(pa.array(ends), pa.array(words[take > 0].ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(size, take)), pa.array(np.repeat(shared, take)), pa.array(el.view(np.int64)), parity], ["node", "comp", "size", "shared", "element", "parity"])
+
+    return run
+
+
+def across(text_of: DataFrame, nodes: DataFrame, spark: SparkSession, similarity: float, k: int, cells: int = 1 << 21) -> DataFrame:
+    """All links (a, b) between nodes of different components: an exact prefix-filter join.
+
+    Multisets are taken as sets of occurrences in one order, the rare ones first. Two sets of a Jaccard similarity s
+    share one of their first n - ceil(s n) + 1 elements. Copies that were changed each in its own way begin with elements
+    of their own, so they do not even become candidates; and two bounds of what two sets can have in common rule out pairs
+    before they are made: elements that are nowhere else, and the bits in which parity bitmaps of the sets differ. Rarity is counted in a table of fixed size (8 MB); its
+    collisions only blur the order, which may be any. Of an element's nodes, those in its most frequent component are not
+    paired with each other.
+    """
+    have = text_of.join(nodes, "node").select("node", "comp", "text")
+    counted = have.select("text").mapInArrow(_rarity(k, cells), "slice int, counts binary").groupBy("slice").applyInPandas(_add_slices, "slice int, counts binary")
+    table = np.zeros(cells, np.uint32)
+    for r in counted.collect():  # 8 MB in all, whatever the data are
+        table[r.slice * (cells // 16) : (r.slice + 1) * (cells // 16)] = np.frombuffer(r.counts, np.uint32)
+    posts = have.mapInArrow(_prefixes(similarity, k, spark.sparkContext.broadcast(table)), "node bigint, comp bigint, size bigint, shared bigint, element bigint, parity array<bigint>")
+    posts = _shared.written(posts, spark, "near-prefixes")
+    per = posts.groupBy("element", "comp").agg(F.count("*").alias("n"))
+    main = per.groupBy("element").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("comps > 1").select("element", "main")
+    again = _shared.rehashed("element")
+    live = posts.withColumn("again", again).join(main.withColumn("again", again), ["element", "again"]).drop("again")
+    parity = posts.where(F.size("parity") > 0).select("node", "parity")
+    live = _shared.written(live.drop("parity").join(parity, "node"), spark, "near-postings")
+    side = lambda s: [F.col("element"), F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "size", "shared", "parity")]]
+    x, y = live.where("comp <> main").select(*side("a")), live.select(*side("b"))
+    # each bit that differs is an element that only one of the two has
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(1, PARITY_WORDS)), F.bit_count(F.col("parity_a")[0].bitwiseXOR(F.col("parity_b")[0])))
+    enough = lambda common: common >= similarity * (F.col("size_a") + F.col("size_b") - common) - 1e-9
+    fits = (F.col("comp_a") != F.col("comp_b")) & enough(F.least("shared_a", "shared_b")) & enough(F.floor((F.col("size_a") + F.col("size_b") - differ) / 2))
+    pairs = x.join(y, "element").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return verified(pairs, text_of, k).where(F.col("similarity") >= similarity).select("a", "b")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """The rows with row_key and text_key: alike for rows that are alike in doc_id and text, and never null."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -210,10 +303,17 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, similarity: float = SI
     def bucket_rows() -> DataFrame:
         return nodes.select("node", F.posexplode("keys").alias("band", "key"))
 
-    buckets = bucket_rows().groupBy("band", "key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
+    # a node's weight is how many others it meets: the original of many copies meets more of them than any copy does
+    buckets = bucket_rows().groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     again = _shared.rehashed("band", "key")
-    placed = bucket_rows().withColumn("again", again).join(buckets.withColumn("again", again), ["band", "key", "again"])
-    placed = _shared.written(placed.select("band", "key", "node", "hub"), spark, "near-buckets")
+    placed = bucket_rows().withColumn("again", again).join(buckets.withColumn("again", again), ["band", "key", "again"]).drop("again")
+    sized = _shared.written(placed, spark, "near-buckets")
+    weights = sized.groupBy("node").agg(F.sum("size").alias("weight"))
+    placed = sized.join(weights, "node")
+    hubs = placed.groupBy("band", "key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    placed = placed.withColumn("again", again).join(hubs.withColumn("again", again), ["band", "key", "again"])
+    placed = _shared.written(placed.select("band", "key", "node", "hub", "weight"), spark, "near-members")
+    _shared.discard(sized)
     wanted = nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.xxhash64("doc_id").alias("id_key"), "text_key")
     text_of = base.withColumn("id_key", F.xxhash64("doc_id")).select("id_key", "text_key", "text").join(wanted, ["id_key", "text_key"])
     text_of = _shared.written(text_of.select("node", "text").dropDuplicates(["node"]), spark, "near-texts")
@@ -222,19 +322,12 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, similarity: float = SI
     links = with_hub.where(F.col("similarity") >= similarity)
     comp = components(links, spark)
 
-    # members of a bucket that are still in different components: one of a pair is not in the hub's component
+    # nodes of buckets that are still split between components can have links that no hub has shown
     labelled = placed.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = labelled.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("comp", "node").alias("main")).where("c0 < c1").select("band", "key", "main")
-    rest = labelled.where("node <> hub").withColumn("again", again).join(split.withColumn("again", again), ["band", "key", "again"]).drop("again")
-    rest = rest.join(with_hub.select(F.col("a").alias("hub"), F.col("b").alias("node"), "similarity"), ["hub", "node"])
-    rest = _shared.written(rest.select("band", "key", "node", "comp", "main", "similarity"), spark, "near-open")
-    x = rest.where("comp <> main").select("band", "key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("similarity").alias("sim_a"))
-    y = rest.select("band", "key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("similarity").alias("sim_b"))
-    # |d(hub, a) - d(hub, b)| <= d(a, b) <= 1 - similarity must hold for a link
-    near = (F.col("comp_a") != F.col("comp_b")) & (F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - similarity + 1e-9)
-    cross = x.join(y, ["band", "key"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(cross, text_of, k).where(F.col("similarity") >= similarity).select("a", "b")
-    more = _shared.written(more, spark, "near-cross")
+    split = labelled.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("band", "key")
+    rest = labelled.withColumn("again", again).join(split.withColumn("again", again), ["band", "key", "again"], "left_semi").select("node", "comp").distinct()
+    rest = _shared.written(rest, spark, "near-open")
+    more = _shared.written(across(text_of, rest, spark, similarity, k), spark, "near-across")
     if more.limit(1).count():
         comp = components(links.select("a", "b").union(more), spark)
     _shared.discard(nodes, placed, text_of, with_hub, rest, more)
