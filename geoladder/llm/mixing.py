@@ -86,9 +86,12 @@ def allocate(docs: DataFrame, spark: SparkSession, weights: tuple[float, ...] =
     with_target = first.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     passes = with_target.where("size > 0 and target > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(most))))
     passes = passes.withColumn("finish", ((F.col("pass") - 1) * F.col("source_size") + F.col("upto")) / F.col("target"))
-    # far behind the cut of the queue nothing is ever taken: every source has had its target at time 1
+    # at time 1 every source has had its target, but for one document that may end later; behind the last of these the
+    # budget is used up, so nothing there is ever taken
+    longest = with_target.where("target > 0").agg(F.max(F.col("size") / F.col("target"))).first()[0] or 0.0
+    passes = passes.where(F.col("finish") <= (1 + longest) * (1 + 1e-9))
     steps = max(1, buckets * most)
-    at = F.least(F.floor(F.col("finish") * steps), F.lit(steps * 4).cast("bigint"))
+    at = F.floor(F.least(F.col("finish"), 1 + F.log1p(F.greatest(F.col("finish") - 1, F.lit(0.0)))) * steps).cast("bigint")
     order = [F.col("finish"), F.col("source"), F.col("pass"), F.col("shuffled"), F.col("doc_id"), F.col("text_key")]
     queue = running_sum(passes.select("doc_id", "text_key", "source", "pass", "size", "shuffled", "finish"), [], order, at, "size", "total")
     budget = sizes.agg((F.sum("source_size") * share).alias("budget"))
