@@ -41,30 +41,25 @@ END = U(0x5851F42D4C957F2D)
 SHARD_BYTES = 16 << 20
 #: Quantised logs: 0 is log10 = 0, each step is this much less.
 STEP = 0.04
-SAMPLE = 32
+SAMPLE_BITS = 3
+SAMPLE = 1 << SAMPLE_BITS
 #: Distinct n-grams that a task gathers before it sends them.
-GATHER = 3_000_000
+GATHER = 1_000_000
+#: Bytes of text that are worked on at once; a token takes some hundred bytes on the way.
+CHUNK = 1 << 20
 
 
 # ------------------------------------------------------------------------------------------------------- Elias-Fano
 
 
-def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th (from 0) one of each word."""
-    word, r, at = word.copy(), r.astype(np.int64), np.zeros(len(word), np.int64)
-    for w in (32, 16, 8, 4, 2, 1):
-        c = np.bitwise_count(word & U((1 << w) - 1)).astype(np.int64)
-        go = r >= c
-        r -= c * go
-        step = go * w
-        word >>= step.astype(U)
-        at += step
-    return at
+def _lowest(word: np.ndarray) -> np.ndarray:
+    """Place of the lowest one of each word."""
+    return np.bitwise_count(~word & (word - U(1))).astype(np.int64)
 
 
 @dataclass
 class Bits:
-    """A bit vector with sampled places of ones and zeros."""
+    """A bit vector with the places of every eighth one and zero."""
 
     words: np.ndarray
     ones: np.ndarray
@@ -72,12 +67,14 @@ class Bits:
 
     def select(self, i: np.ndarray, one: bool) -> np.ndarray:
         """Place of the i-th (from 0) one or zero."""
-        at = (self.ones if one else self.zeros)[i >> 5].astype(np.int64)
-        r = i & (SAMPLE - 1)
+        at = (self.ones if one else self.zeros)[i >> SAMPLE_BITS].astype(np.int64)
+        r = (i & (SAMPLE - 1)).astype(np.uint8)
         w = at >> 6
-        word = self.words[w] if one else ~self.words[w]
-        word = word & (~U(0) << (at & 63).astype(U))
-        left = np.bitwise_count(word).astype(np.int64)
+        word = self.words[w]
+        if not one:
+            np.invert(word, out=word)
+        word &= ~U(0) << (at & 63).astype(U)
+        left = np.bitwise_count(word)
         open_ = np.flatnonzero(r >= left)
         while len(open_):
             r[open_] -= left[open_]
@@ -85,7 +82,25 @@ class Bits:
             word[open_] = self.words[w[open_]] if one else ~self.words[w[open_]]
             left[open_] = np.bitwise_count(word[open_])
             open_ = open_[r[open_] >= left[open_]]
-        return (w << 6) + _select_in_word(word, r)
+        for k in range(SAMPLE - 1):  # drop the lowest ones before the wanted one
+            more = r > k
+            word = np.where(more, word & (word - U(1)), word)
+        return (w << 6) + _lowest(word)
+
+    def after(self, at: np.ndarray, one: bool) -> np.ndarray:
+        """Place of the first one or zero behind each place."""
+        at = at + 1
+        w = at >> 6
+        word = self.words[w]
+        if not one:
+            np.invert(word, out=word)
+        word &= ~U(0) << (at & 63).astype(U)
+        open_ = np.flatnonzero(word == 0)
+        while len(open_):
+            w[open_] += 1
+            word[open_] = self.words[w[open_]] if one else ~self.words[w[open_]]
+            open_ = open_[word[open_] == 0]
+        return (w << 6) + _lowest(word)
 
 
 class EliasFano:
@@ -104,21 +119,38 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         return (self.bits.select(i, True) - i) << self.width | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first number that is at least x, if it has the same upper half; else where the next half begins."""
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers i and i + 1."""
+        a = self.bits.select(i, True)
+        b = self.bits.after(a, True)
+        return (a - i) << self.width | self._low(i), (b - i - 1) << self.width | self._low(i + 1)
+
+    def search(self, x: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Index of the successor of x among [least, most) if it equals x, else -1.
+
+        Two neighbouring zeros bound the numbers with x's upper half; their lower halves ascend. A crowded context can
+        fill such a bucket, so it is searched by halves.
+        """
         high = x >> self.width
-        begin = np.zeros(len(x), np.int64)
-        some = high > 0
-        begin[some] = self.bits.select(high[some] - 1, False) - (high[some] - 1)
-        end = self.bits.select(high, False) - high
+        zero = np.full(len(x), -1, np.int64)
+        some = np.flatnonzero(high > 0)
+        zero[some] = self.bits.select(high[some] - 1, False)
+        begin = np.maximum(zero + 1 - high, least)
+        end = np.minimum(self.bits.after(zero, False) - high, most)
         low = x & ((1 << self.width) - 1)
+        stop = end.copy()
         open_ = np.flatnonzero(begin < end)
         while len(open_):
-            less = self._low(begin[open_]) < low[open_]
-            open_ = open_[less]
-            begin[open_] += 1
+            middle = (begin[open_] + end[open_]) >> 1
+            less = self._low(middle) < low[open_]
+            begin[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
             open_ = open_[begin[open_] < end[open_]]
-        return begin
+        out = np.full(len(x), -1, np.int64)
+        inside = np.flatnonzero(begin < stop)
+        inside = inside[self._low(begin[inside]) == low[inside]]
+        out[inside] = begin[inside]
+        return out
 
 
 def ef_bytes(values: np.ndarray, universe: int) -> tuple[dict, list[bytes]]:
@@ -163,9 +195,9 @@ class Shard:
 
     def context(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first successor, the one after the last, what makes words relative) of contexts."""
-        begin, end = self.pointers.get(c), self.pointers.get(c + 1)
+        begin, end = self.pointers.pair(c)
         base = np.zeros(len(c), np.int64)
-        later = begin > 0
+        later = np.flatnonzero((begin > 0) & (begin < end))
         base[later] = self.successors.get(begin[later] - 1) + 1
         return begin, end, base
 
@@ -175,11 +207,7 @@ class Shard:
         out = np.full(len(x), -1, np.int64)
         ok = np.flatnonzero((begin < end) & (x < self.head["universe"]))
         if len(ok):
-            i = self.successors.successor(x[ok])
-            inside = (i >= begin[ok]) & (i < end[ok])
-            same = np.zeros(len(ok), bool)
-            same[inside] = self.successors.get(i[inside]) == x[ok[inside]]
-            out[ok[same]] = i[same]
+            out[ok] = self.successors.search(x[ok], begin[ok], end[ok])
         return out
 
 
@@ -235,7 +263,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct keys in order with the sums of their counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     return k[at], np.add.reduceat(counts[order], at)
@@ -356,6 +384,12 @@ class Reader:
         known = np.flatnonzero(context >= 0)
         if not len(known):
             return node, log_p, back
+        if n == 2 and len(known) > 1000:  # pairs of words repeat: look each of them up once
+            _, one, at = np.unique(context[known] * (self.m.n_words + 1) + word[known] + 1, return_index=True, return_inverse=True)
+            if len(one) < 0.9 * len(known):
+                got = self.find(n, context[known[one]], word[known[one]])
+                node[known], log_p[known], back[known] = got[0][at], got[1][at], got[2][at]
+                return node, log_p, back
         shard = level.shard(context[known])
         order = np.argsort(shard, kind="stable")
         known, shard = known[order], shard[order]
@@ -434,7 +468,7 @@ def _count_words(n_shards: int):
 
         for batch in batches:
             buf, bounds = _vec.text_buffers(batch.column(0))
-            for i, j, b, o in _vec.chunks(buf, bounds):
+            for i, j, b, o in _vec.chunks(buf, bounds, CHUNK):
                 hashes, _ = _vec.word_hashes(b, o, lower=True)
                 k, c = np.unique(np.append(hashes, END), return_counts=True)
                 c = c.astype(np.int64)
@@ -458,20 +492,21 @@ def _count_grams(n: int, shared, n_shards: int):
         reader = Reader.of(model)
         n_contexts = model.n_words if n == 2 else _nodes(model, n - 1)
         level = Level(n_contexts, n_shards)
+        bits = U(model.n_words.bit_length())
+        if int(bits) + n_contexts.bit_length() > 64 or bits > 32:
+            raise OverflowError("a context and a word must fit into 64 bits together")
         held, size = [], 0
 
         def flush():
-            s = np.concatenate([h[0] for h in held])
-            k = np.concatenate([h[1] for h in held])
-            c = np.concatenate([h[2] for h in held])
-            order = np.lexsort((k, s))
-            s, k, c = s[order], k[order], c[order]
-            at = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
-            return _send(s[at], k[at], np.add.reduceat(c, at))
+            key, count = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            context = (key >> bits).astype(np.int64)
+            shard = level.shard(context)
+            local = (context - level.low(shard)).astype(U) << U(32) | key & ((U(1) << bits) - U(1))
+            return _send(shard, local, count)
 
         for batch in batches:
             buf, bounds = _vec.text_buffers(batch.column(0))
-            for _, _, b, o in _vec.chunks(buf, bounds):
+            for _, _, b, o in _vec.chunks(buf, bounds, CHUNK):
                 t = Tokens(reader, b, o)
                 context, word = t.before(t.ids, reader.end_id), t.ids
                 if n == 3:
@@ -479,12 +514,9 @@ def _count_grams(n: int, shared, n_shards: int):
                     context = t.before(node, -1)
                     inside = context >= 0
                     context, word = context[inside], word[inside]
-                shard = level.shard(context)
-                key = (context - level.low(shard)).astype(U) << U(32) | word.astype(U)
-                order = np.lexsort((key, shard))
-                key, shard = key[order], shard[order]
-                at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1]))) if len(key) else np.zeros(0, np.int64)
-                held.append((shard[at], key[at], np.diff(np.append(at, len(key)))))
+                key = np.sort(context.astype(U) << bits | word.astype(U))
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                held.append((key[at], np.diff(np.append(at, len(key)))))
                 size += len(at)
                 if size > GATHER:
                     yield flush()
@@ -609,7 +641,7 @@ def score(docs: DataFrame, model: Model, spark: SparkSession) -> DataFrame:
         reader = Reader.of(m)
         for batch in batches:
             buf, bounds = _vec.text_buffers(batch.column(2))
-            for i, j, b, o in _vec.chunks(buf, bounds):
+            for i, j, b, o in _vec.chunks(buf, bounds, CHUNK):
                 t = Tokens(reader, b, o)
                 base = reader.log_unigram(t.counts)
                 log_p = base

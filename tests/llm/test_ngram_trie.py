@@ -91,7 +91,11 @@ def test_elias_fano():
         a = [np.frombuffer(x, np.uint8) for x in parts]
         e = nt.EliasFano(head["n"], head["width"], a[0], nt.Bits(a[1].view("<u8"), a[2].view("<u4"), a[3].view("<u4")))
         assert e.get(np.arange(len(v))).tolist() == v.tolist()
+        if len(v) > 1:
+            a, b = e.pair(np.arange(len(v) - 1))
+            assert a.tolist() == v[:-1].tolist() and b.tolist() == v[1:].tolist()
         x = np.concatenate([v, r.integers(0, u, 500)])
-        i = e.successor(x.copy())
-        hit = (i < len(v)) & (v[np.minimum(i, len(v) - 1)] == x)
-        assert hit.tolist() == np.isin(x, v).tolist()
+        i = e.search(x, np.zeros(len(x), np.int64), np.full(len(x), len(v)))
+        assert (i >= 0).tolist() == np.isin(x, v).tolist() and (v[i[i >= 0]] == x[i >= 0]).all()
+        k = len(v) // 2
+        assert (e.search(v, np.full(len(v), k), np.full(len(v), len(v))) >= 0).tolist() == [j >= k for j in range(len(v))]
