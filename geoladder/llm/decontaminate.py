@@ -4,15 +4,20 @@ Texts are lower-cased and cut into words. A window is as many words as the item
 at the document's ends). Window and item are compared as multisets of five-word shingles (one of all words for shorter
 items); from a weighted Jaccard similarity of ``similarity`` on, the document holds the item.
 
-A window that shares no shingle with an item has similarity 0, so windows are made only where a run of equal words
-begins: there, the window that puts the run at the item's place is cut out, while the document's words are at hand.
+A window that reaches the similarity has at least that share of an item's number of shingles in common with it. So the
+places of shingles that items of a size have are gathered by document, and windows are made at every start, from before
+the document's first word to its last one, that has so many of them; at any other start the similarity is lower.
 Each window gets a 64-bit SimHash, the majority of its shingles' hashes bit by bit, repeats counted. Fingerprints are
 searched by eight blocks of eight bits: if two differ in at most 23 bits, some block differs in at most 2, so the items'
 blocks are stored with all their neighbours within 2 bits, and an equi-join on (size, block, value) finds every item
 within the radius. At similarity 0.8 the expected distance is 10 bits with a deviation of 3. Candidates within the
 radius are then compared exactly.
 
-Only DataFrame and SQL functions are used. The items' shingles and blocks are broadcast if they are at most
+Documents are read twice: for the places, and for the windows of documents that have any. ``leaks`` reports the best of
+all windows as ``similarity``. Its ``windows`` counts those of them that put an equal run of words at the item's place; it
+is 0 where only others hold the item.
+
+Only DataFrame and SQL functions are used. The starts, which are written, and the items' shingles and blocks are broadcast if they are at most
 ``broadcast_rows`` rows, which is counted first; more are shuffled.
 
 Defined results: null texts are empty; items without words, or with a null id, match nothing; rows that are repeated, or
@@ -25,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _shared
+
 SHINGLE = 5
 SIMILARITY = 0.8
 BLOCKS, NEAR = 8, 2
@@ -62,9 +69,10 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def items(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """item_id, words, size, hashes, fingerprint."""
+    """item_key, item_id, size, hashes, fingerprint; items that are repeated once."""
     i = benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), words(F.col("text")).alias("ws")).where("ws[0] <> ''")
-    return i.select("item_id", "ws", F.size("ws").alias("size"), shingles(F.col("ws"), k).alias("hashes")).withColumn("fingerprint", simhash(F.col("hashes")))
+    i = i.withColumn("item_key", F.xxhash64("item_id", "ws")).dropDuplicates(["item_key"])
+    return i.select("item_key", "item_id", F.size("ws").alias("size"), shingles(F.col("ws"), k).alias("hashes")).withColumn("fingerprint", simhash(F.col("hashes")))
 
 
 def _bounded(df: DataFrame, limit: int) -> DataFrame:
@@ -72,46 +80,66 @@ def _bounded(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def starts_of(places: Column, most: Column, need: Column) -> Column:
+    """All window starts that have ``need`` or more of the sorted places among their ``most`` shingles.
+
+    A start belongs to the first place at or after it, so none comes twice.
+    """
+
+    def before(j: Column) -> Column:
+        first = F.greatest(F.get(places, j + need - 1) - most + 1, F.get(places, j - 1) + 1)
+        return F.when(first <= F.get(places, j), F.sequence(first, F.get(places, j))).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(places) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - need), before)))
+
+
 def found(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, similarity: float = SIMILARITY, k: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, text_key, item_id, start, similarity of every window that holds an item."""
+    """doc_id, text_key, item_id, start, similarity, aligned of every window that holds an item."""
     item = items(benchmark, k)
-    at = item.select("item_id", "ws", "size", F.posexplode("hashes").alias("place", "shingle"), F.least("size", F.lit(k)).alias("n"))
-    at = at.select("shingle", "n", "size", "place", F.when(F.col("place") > 0, F.col("ws")[F.col("place") - 1]).alias("before")).distinct()
+    at = _bounded(item.select("size", F.least("size", F.lit(k)).alias("n"), F.explode("hashes").alias("shingle")).distinct(), broadcast_rows)
     lengths = [r.n for r in at.select("n").distinct().collect()]  # at most k numbers
-    at = _bounded(at, broadcast_rows)
+    if not lengths:
+        return spark.createDataFrame([], "doc_id bigint, text_key bigint, item_id bigint, start int, similarity double, aligned boolean")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), words(F.col("text")).alias("ws"))
-    windows = None
+    hits = None
     for n in sorted(lengths):
         here = base.select("doc_id", "text_key", "ws", F.explode(F.when(F.size("ws") >= n, F.sequence(F.lit(0), F.size("ws") - n))).alias("i"))
         here = here.withColumn("shingle", F.xxhash64(F.slice("ws", F.col("i") + 1, n)) if n != k or k > 8 else F.xxhash64(F.array(*[F.get("ws", F.col("i") + j) for j in range(n)])))
-        hit = here.join(at.where(F.col("n") == n).drop("n"), "shingle")
-        # only where a run of equal words begins; the run's other shingles give the same window
-        hit = hit.where((F.col("i") == 0) | F.col("before").isNull() | (F.get("ws", F.col("i") - 1) != F.col("before")))
-        start = F.col("i") - F.col("place")
-        first = F.greatest(start, F.lit(0))
-        hit = hit.select("doc_id", "text_key", "size", start.alias("start"), F.slice("ws", first + 1, F.col("size") + start - first).alias("window"))
-        windows = hit if windows is None else windows.unionByName(hit)
-    if windows is None:
-        return spark.createDataFrame([], "doc_id bigint, text_key bigint, item_id bigint, start int, similarity double")
-    windows = windows.groupBy("doc_id", "text_key", "size", "start").agg(F.first("window").alias("window"))
-    windows = windows.withColumn("hashes", shingles(F.col("window"), k)).withColumn("fingerprint", simhash(F.col("hashes"))).drop("window")
+        hit = here.join(at.where(F.col("n") == n), "shingle").select("doc_id", "text_key", "size", "n", "i")
+        hits = hit if hits is None else hits.unionByName(hit)
+    most = F.col("size") - F.col("n") + 1  # the item's shingles
+    need = F.greatest(F.ceil(most * F.lit(similarity) - 1e-6).cast("int"), F.lit(1))
+    starts = hits.groupBy("doc_id", "text_key", "size", "n").agg(F.sort_array(F.collect_set("i")).alias("places"))
+    starts = starts.select(F.col("doc_id").alias("s_doc"), F.col("text_key").alias("s_text"), "size", "n", starts_of(F.col("places"), most, need).alias("starts")).where(F.size("starts") > 0)
+    starts = _bounded(_shared.written(starts, spark, "leak-starts"), broadcast_rows)
+    windows = base.join(starts, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("text_key") == F.col("s_text")))
+    windows = windows.withColumn("all", F.transform(F.sequence(F.lit(0), F.size("ws") - F.col("n")), lambda i: F.xxhash64(F.slice("ws", i + 1, F.col("n")))))
+    windows = windows.select("doc_id", "text_key", "size", most.alias("most"), "all", F.explode("starts").alias("start")).withColumn("first", F.greatest("start", F.lit(0)))
+    # slice() ends with the array, as the window does with the document
+    windows = windows.select("doc_id", "text_key", "size", "start", (F.col("first") - F.col("start")).alias("cut"), F.slice("all", F.col("first") + 1, F.col("most") + F.col("start") - F.col("first")).alias("hashes"))
+    windows = windows.withColumn("fingerprint", simhash(F.col("hashes")))
 
     near = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda m: F.bit_count(m) <= NEAR)
-    index = item.select("item_id", "size", F.explode(block_values(F.col("fingerprint"))).alias("b")).select("item_id", "size", "b.block", F.explode(F.transform(near, lambda m: m.bitwiseXOR(F.col("b.value")))).alias("value"))
-    probe = windows.select("doc_id", "text_key", "size", "start", F.explode(block_values(F.col("fingerprint"))).alias("b")).select("doc_id", "text_key", "size", "start", "b.block", "b.value")
-    pairs = probe.join(_bounded(index, broadcast_rows), ["size", "block", "value"]).select("doc_id", "text_key", "size", "start", "item_id").distinct()
-    known = item.select("item_id", F.col("size").alias("item_size"), F.col("hashes").alias("item_hashes"), F.col("fingerprint").alias("item_fingerprint"))
-    w = windows.select(F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_text"), F.col("size").alias("w_size"), F.col("start").alias("w_start"), "hashes", "fingerprint")
-    pairs = pairs.join(w, F.col("doc_id").eqNullSafe(F.col("w_doc")) & F.col("text_key").eqNullSafe(F.col("w_text")) & (F.col("size") == F.col("w_size")) & (F.col("start") == F.col("w_start")))
-    pairs = pairs.join(_bounded(known, broadcast_rows // 100), "item_id").where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= RADIUS)
-    both = overlap(F.col("hashes"), F.col("item_hashes"))
-    pairs = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("hashes") + F.size("item_hashes") - F.col("both")))
-    return pairs.where(F.col("similarity") >= similarity).select("doc_id", "text_key", "item_id", "start", "similarity")
+    index = item.select("item_key", "size", F.col("fingerprint").alias("item_fingerprint"), F.explode(block_values(F.col("fingerprint"))).alias("b")).select("item_key", "size", "item_fingerprint", "b.block", F.explode(F.transform(near, lambda m: m.bitwiseXOR(F.col("b.value")))).alias("value"))
+    probe = windows.withColumn("b", F.explode(block_values(F.col("fingerprint")))).select("*", "b.block", "b.value").drop("b")
+    pairs = probe.join(_bounded(index, broadcast_rows), ["size", "block", "value"])
+    differ = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
+    # a pair that several blocks find counts at the first of them
+    earlier = F.exists(block_values(differ), lambda b: (b["block"] < F.col("block")) & (F.bit_count(b["value"]) <= NEAR))
+    pairs = pairs.where((F.bit_count(differ) <= RADIUS) & ~earlier).select("doc_id", "text_key", "start", "cut", "hashes", "item_key")
+    known = item.select("item_key", "item_id", F.col("hashes").alias("item_hashes"))
+    pairs = pairs.join(_bounded(known, broadcast_rows // 100), "item_key")
+    pairs = pairs.withColumn("both", overlap(F.col("hashes"), F.col("item_hashes")))
+    pairs = pairs.withColumn("similarity", F.col("both") / (F.size("hashes") + F.size("item_hashes") - F.col("both"))).where(F.col("similarity") >= similarity)
+    aligned = F.exists(F.sequence(F.lit(0), F.size("hashes") - 1), lambda q: F.get("hashes", q) == F.get("item_hashes", q + F.col("cut")))
+    return pairs.select("doc_id", "text_key", "item_id", "start", "similarity", aligned.alias("aligned"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, **how) -> DataFrame:
-    """doc_id, item_id, similarity (the best window's), windows: one row per document and item that it holds."""
-    return found(docs, benchmark, spark, **how).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.countDistinct("text_key", "start").alias("windows"))
+    """doc_id, item_id, similarity (the best window's), windows (those that put an equal run at the item's place): one row
+    per document and item that it holds."""
+    aligned = F.countDistinct(F.when(F.col("aligned"), F.struct("text_key", "start")))
+    return found(docs, benchmark, spark, **how).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), aligned.alias("windows"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, **how) -> DataFrame:

@@ -186,6 +186,30 @@ def test_decontamination(spark):
     assert de.leaks(d, b.limit(0), spark).count() == 0 and de.clean(d.limit(0), b, spark).count() == 0
 
 
+def test_decontamination_cut_passages(spark):
+    r = random.Random(7)
+    prose = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    t = prose(60)
+    loop = [f"l{i % 20}" for i in range(60)]
+    docs = [t[:50] + prose(100), prose(100) + t[10:], t[:52] + prose(100), t[:44] + prose(100), prose(30) + t[:50] + prose(70), t[5:53], loop[7:] + loop[:20] + prose(9), prose(4) + loop + loop[3:50]]
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, " ".join(t)), (2, " ".join(loop))], "item_id bigint, text string")
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for i, w in enumerate(docs):
+        for j, it in ((1, t), (2, loop)):
+            best = 0.0
+            for s in range(-59, len(w)):
+                both = sum((bag(w[max(s, 0) : s + 60]) & bag(it)).values())
+                best = max(best, both / (sum(bag(w[max(s, 0) : s + 60]).values()) + 56 - both))
+            if best >= 0.8:
+                want[i, j] = best
+    assert (0, 1) in want and (1, 1) in want and (3, 1) not in want and (4, 1) not in want and want[2, 1] > 0.85
+    for limit in (10**6, 0):
+        assert {(x.doc_id, x.item_id): x.similarity for x in de.leaks(d, b, spark, broadcast_rows=limit).collect()} == pytest.approx(want)
+    assert {x.doc_id for x in de.clean(d, b, spark).collect()} == set(range(len(docs))) - {i for i, _ in want}
+
+
 # ----------------------------------------------------------------------------------------------------------- quality
 
 
