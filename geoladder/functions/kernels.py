@@ -129,29 +129,58 @@ def douglas_peucker(r: np.ndarray, tol: float) -> np.ndarray:
     return r[keep]
 
 
-def crosses_itself(r: np.ndarray, most: int = 512) -> bool:
-    """Whether two edges of a closed ring that are not neighbours meet. Rings over ``most`` points are not looked at."""
-    n = len(r) - 1
-    if n < 4 or n > most:
-        return False
-    a, b = r[:-1], r[1:]
+#: Pairs of edges that are compared at a time.
+PAIRS = 1 << 18
 
-    def side(p, q, s):
-        return np.sign((q[..., 0] - p[..., 0]) * (s[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (s[..., 0] - p[..., 0]))
 
-    i, j = np.triu_indices(n, 2)
-    far = ~((i == 0) & (j == n - 1))
-    i, j = i[far], j[far]
-    s1, s2 = side(a[i], b[i], a[j]), side(a[i], b[i], b[j])
-    s3, s4 = side(a[j], b[j], a[i]), side(a[j], b[j], b[i])
+def _side(p: np.ndarray, q: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return np.sign((q[..., 0] - p[..., 0]) * (s[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (s[..., 0] - p[..., 0]))
+
+
+def _meet(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> bool:
+    """Whether any of the edges i (from a to b) meets the edge j beside it."""
+    s1, s2 = _side(a[i], b[i], a[j]), _side(a[i], b[i], b[j])
+    s3, s4 = _side(a[j], b[j], a[i]), _side(a[j], b[j], b[i])
     if ((s1 * s2 < 0) & (s3 * s4 < 0)).any():
         return True
     flat = (s1 == 0) | (s2 == 0) | (s3 == 0) | (s4 == 0)
-    for x, y in zip(i[flat], j[flat], strict=True):  # touching ends, or edges on one line
+    for x, y in ((i[flat], j[flat]), (j[flat], i[flat])):  # touching ends, or edges on one line
         lo, hi = np.minimum(a[x], b[x]), np.maximum(a[x], b[x])
-        for p in (a[y], b[y]):
-            if side(a[x], b[x], p) == 0 and (lo <= p).all() and (p <= hi).all():
-                return True
+        if any(((_side(a[x], b[x], p) == 0) & (lo <= p).all(1) & (p <= hi).all(1)).any() for p in (a[y], b[y])):
+            return True
+    return False
+
+
+def _close_pairs(a: np.ndarray, b: np.ndarray):
+    """Pairs (i < j) of edges whose boxes meet, in blocks: edges sorted by their low end along one axis, each
+    against those that begin before it ends."""
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    # the axis along which edges overlap least
+    axis = int(np.argmin((hi - lo).sum(0) / np.maximum(hi.max(0) - lo.min(0), np.finfo(float).tiny)))
+    order = np.argsort(lo[:, axis], kind="stable")
+    until = np.searchsorted(lo[order, axis], hi[order, axis], side="right")
+    count = until - np.arange(len(order)) - 1
+    ends = np.concatenate([[0], np.cumsum(count)])
+    for begin in range(0, int(ends[-1]), PAIRS):
+        at = np.arange(begin, min(begin + PAIRS, int(ends[-1])))
+        x = np.searchsorted(ends, at, side="right") - 1
+        u, v = order[x], order[x + 1 + at - ends[x]]
+        other = 1 - axis
+        near = (lo[u, other] <= hi[v, other]) & (lo[v, other] <= hi[u, other])
+        u, v = u[near], v[near]
+        yield np.minimum(u, v), np.maximum(u, v)
+
+
+def crosses_itself(r: np.ndarray) -> bool:
+    """Whether two edges of a closed ring that are not neighbours meet."""
+    n = len(r) - 1
+    if n < 4:
+        return False
+    a, b = r[:-1], r[1:]
+    for i, j in [np.triu_indices(n, 2)] if n <= 64 else _close_pairs(a, b):  # few edges: all pairs cost less
+        far = (j - i > 1) & ~((i == 0) & (j == n - 1))
+        if _meet(a, b, i[far], j[far]):
+            return True
     return False
 
 

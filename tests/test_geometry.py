@@ -87,3 +87,44 @@ def test_fallbacks_and_repair():
     out = K.overview(W.line(wiggle), 3.0, 0.5)
     assert len(W.parse(out)[1][0][1][0]) < 10
     assert len(K.overview(W.polygon(circle(500, 5)), 0.5, 0.125)) < len(W.polygon(circle(500, 5))) / 4
+
+
+def test_large_rings_that_cross():
+    old = circle(3000, 5.0)
+    assert not K.crosses_itself(old)
+    knot = old.copy()
+    knot[[100, 1600]] = knot[[1600, 100]]
+    assert K.crosses_itself(knot)
+    valid = K.make_valid([knot])
+    assert len(valid) == 1 and not K.crosses_itself(valid[0])
+    near = old.copy()
+    near[[700, 701]] = near[[701, 700]]
+    assert K.crosses_itself(near) and K.snap_ring(near, 1e-9) is None
+    kind, parts = W.parse(K.overview(W.polygon(knot), 1e-9, 1e-9))
+    assert kind == W.POLYGON and not K.crosses_itself(parts[0][1][0])
+    # a comb: all teeth overlap along one axis
+    comb = np.array([[i / 2, 9.0 * (i % 4 in (1, 2))] for i in range(4000)] + [[2000.0, -1.0], [0.0, -1.0], [0.0, 0.0]])
+    assert not K.crosses_itself(comb)
+    comb[-3] = [2000.0, 0.0]
+    assert not K.crosses_itself(comb)
+    comb[-2] = [0.0, 5.0]
+    assert K.crosses_itself(comb)
+    assert K.crosses_itself(np.array([[0, 0], [2, 2], [4, 0], [4, 2], [0, 2], [0, 0]], float))  # a point on a later edge
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=4, max_size=14))
+def test_crossing_equals_all_pairs(points):
+    r = np.array([*points, points[0]], float)
+    n = len(r) - 1
+
+    def meet(p, q, s, t):
+        d = lambda u, v, w: (v[0] - u[0]) * (w[1] - u[1]) - (v[1] - u[1]) * (w[0] - u[0])
+        on = lambda u, v, w: d(u, v, w) == 0 and min(u[0], v[0]) <= w[0] <= max(u[0], v[0]) and min(u[1], v[1]) <= w[1] <= max(u[1], v[1])
+        return d(p, q, s) * d(p, q, t) < 0 and d(s, t, p) * d(s, t, q) < 0 or on(p, q, s) or on(p, q, t) or on(s, t, p) or on(s, t, q)
+
+    want = any(meet(r[i], r[i + 1], r[j], r[j + 1]) for i in range(n) for j in range(i + 2, n) if not (i == 0 and j == n - 1))
+    assert K.crosses_itself(r) == want
+    fine = np.concatenate([r[:-1, None] + (r[1:, None] - r[:-1, None]) * np.arange(16)[None, :, None] / 16]).reshape(-1, 2)
+    if (np.diff(r, axis=0) != 0).any(1).all():  # the same ring with 15 more points on each edge: the other way of pairing
+        assert K.crosses_itself(np.concatenate([fine, r[:1]])) or not want
