@@ -20,7 +20,8 @@ is 0 where only others hold the item.
 Only DataFrame and SQL functions are used. The starts, which are written, and the items' shingles and blocks are broadcast if they are at most
 ``broadcast_rows`` rows, which is counted first; more are shuffled.
 
-Defined results: null texts are empty; items without words, or with a null id, match nothing; rows that are repeated, or
+Defined results: null texts are empty; items without words match nothing; ``leaks`` leaves out items with a null id, as
+the SQL does, and ``clean`` removes what holds them; rows that are repeated, or
 share a doc_id, are flagged together in ``leaks`` and one by one in ``clean``; an empty benchmark flags nothing; an empty
 table gives no rows; other columns stay as they are.
 """
@@ -70,7 +71,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 def items(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
     """item_key, item_id, size, hashes, fingerprint; items that are repeated once."""
-    i = benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), words(F.col("text")).alias("ws")).where("ws[0] <> ''")
+    i = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), words(F.col("text")).alias("ws")).where("ws[0] <> ''")
     i = i.withColumn("item_key", F.xxhash64("item_id", "ws")).dropDuplicates(["item_key"])
     return i.select("item_key", "item_id", F.size("ws").alias("size"), shingles(F.col("ws"), k).alias("hashes")).withColumn("fingerprint", simhash(F.col("hashes")))
 
@@ -139,7 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, **how) ->
     """doc_id, item_id, similarity (the best window's), windows (those that put an equal run at the item's place): one row
     per document and item that it holds."""
     aligned = F.countDistinct(F.when(F.col("aligned"), F.struct("text_key", "start")))
-    return found(docs, benchmark, spark, **how).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), aligned.alias("windows"))
+    return found(docs, benchmark.where("item_id is not null"), spark, **how).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), aligned.alias("windows"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, **how) -> DataFrame:

@@ -210,6 +210,13 @@ def test_decontamination_cut_passages(spark):
     assert {x.doc_id for x in de.clean(d, b, spark).collect()} == set(range(len(docs))) - {i for i, _ in want}
 
 
+def test_decontamination_items_without_id(spark):
+    b = spark.createDataFrame([(None, "a b c d e f g"), (None, "h i j k l m n"), (1, "o p q r s t u")], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, "x a b c d e f g"), (2, "h i j k l m n y"), (3, "z o p q r s t u"), (4, "a b c h i j")], "doc_id bigint, text string")
+    assert [x.doc_id for x in de.clean(d, b, spark).collect()] == [4]
+    assert [(x.doc_id, x.item_id) for x in de.leaks(d, b, spark).collect()] == [(3, 1)]
+
+
 # ----------------------------------------------------------------------------------------------------------- quality
 
 
