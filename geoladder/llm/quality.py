@@ -68,12 +68,10 @@ def cells(buf: np.ndarray, bounds: np.ndarray, dims: int) -> tuple[np.ndarray, n
     shape = np.concatenate([(pair[signs] * 40503 >> 4) % (SHAPES - 2), np.full(int(caps.sum()), SHAPES - 1), np.full(int(again.sum()), SHAPES - 2)]) + dims - SHAPES
     # words without the signs around them
     a, b = start.copy(), end.copy()
-    for edge, step, at in ((a, 1, 0), (b, -1, -1)):
-        for _ in range(8):
-            off = np.flatnonzero((a < b) & IS_SIGN[buf[np.clip(edge + at, 0, len(buf) - 1)]])
-            if not len(off):
-                break
-            edge[off] += step
+    plain = np.flatnonzero(~IS_SIGN[buf])  # the bytes that stay
+    near = np.concatenate([plain, [len(buf)]])[np.searchsorted(plain, start)]
+    far = np.concatenate([[-1], plain])[np.searchsorted(plain, end)]
+    a, b = np.minimum(near, end), np.maximum(far + 1, start)
     some = a < b
     word = (_vec.Rolling(_vec.LOWER[buf])(a[some], b[some]) % U(dims - SHAPES)).astype(np.int64)
     key = np.concatenate([doc[some] * dims + word, shape_doc * dims + shape])

@@ -249,6 +249,17 @@ def test_quality_held_out(spark):
     assert quality.select(d.limit(0), l, spark).count() == 0
 
 
+def test_signs_around_words():
+    def cells(*texts):
+        raw = [t.encode() for t in texts]
+        c, _, begin = quality.cells(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 1 << 18)
+        return [{int(x) for x in c[i:j] if x < (1 << 18) - quality.SHAPES} for i, j in zip(begin[:-1], begin[1:])]
+
+    for n in (0, 1, 8, 9, 40, 5000):
+        got = cells("Word it's", "*" * n + "word" + "!" * n + " it's", "=" * n, "(" * n + " word", "word it's")
+        assert got[0] == got[1] == got[4] and len(got[0]) == 2 and not got[2] and len(got[3]) == 1 and got[3] < got[0]
+
+
 # ---------------------------------------------------------------------------------------------------------- pipeline
 
 
