@@ -169,6 +169,32 @@ def test_footer_passes_and_export(spark, tmp_path):
     assert [v["feature_count"] for v in s2["levels"]] == [v["feature_count"] for v in s["levels"]]
 
 
+def test_export_carries_bytes_and_crs(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from geoladder.plans import footer, planner
+
+    rows = clustered(150)
+    crs = {"type": "ProjectedCRS", "name": "plane", "id": {"authority": "EPSG", "code": 3067}}
+    geo = {"version": "1.1.0", "primary_column": "geom", "columns": {"geom": {"encoding": "WKB", "crs": crs}}}
+    table = pa.table({"id": [r[0] for r in rows], "geom": [bytes(r[1]) for r in rows], "name": [r[2] for r in rows]})
+    pq.write_table(table.replace_schema_metadata({"geo": json.dumps(geo)}), tmp_path / "in.parquet")
+    convert(spark, str(tmp_path / "in.parquet"), str(tmp_path / "out"), OPTIONS)
+    m = pq.read_metadata(writer.export_file(spark, str(tmp_path / "out"), str(tmp_path / "native.parquet"), OPTIONS, native=True))
+    info = footer.parse_overviews(json.loads(m.metadata[b"overviews"]))
+    first = 0
+    for v in info.levels:
+        chunks = [m.row_group(g).column(c) for g in range(first, v.row_group_end + 1) for c in range(m.num_columns)]
+        begin = min(min(c.data_page_offset, c.dictionary_page_offset or c.data_page_offset) for c in chunks)
+        end = max(min(c.data_page_offset, c.dictionary_page_offset or c.data_page_offset) + c.total_compressed_size for c in chunks)
+        assert v.bytes == (begin, end)
+        first = v.row_group_end + 1
+    assert planner.prefix_bytes(info, len(info.levels) - 1) == (4, info.levels[-1].bytes[1])
+    kind = next(m.schema.column(i).logical_type for i in range(m.num_columns) if m.schema.column(i).name == "geometry")
+    assert "3067" in str(kind)
+
+
 def test_large_ranks_without_a_single_task(spark):
     df = spark.range(5000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 != 0, (F.col("id") * 7919 % 5003).cast("double")).alias("score"))
     order, edges = [("score", True), ("row_id", False)], [0, 100, 700, 4700, 5000]
