@@ -23,10 +23,12 @@ _own: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder as a URI. Unset (as in tests on one machine): a folder of our own."""
+    """The shared folder as a URI. Unset, where Spark runs in one process as in tests: a folder of our own."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="geoladder-"))
     return _own[0]
@@ -102,6 +104,13 @@ def discard(*tables: DataFrame) -> None:
         fs.delete_dir(path)
 
 
+def discard_folder(folder: str) -> None:
+    """Deletes a folder of task files that nothing will read any more; it may never have been made."""
+    fs, path = open_fs(folder)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir(path)
+
+
 def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bounds the Arrow batches that Python workers get by bytes, since texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))

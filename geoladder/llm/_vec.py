@@ -6,12 +6,16 @@ here makes a Python object per word.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15 | 1)
-INVERSE = U(pow(int(BASE), -1, 1 << 64))
+#: Modulus and the two bases of rolling hashes. A power of two as modulus would let texts that repeat themselves by halves
+#: (the Thue-Morse word and its complement) collide whatever the base is; a prime does not.
+PRIME = (1 << 31) - 1
+BASES = (1_481_765_933, 873_911_279)
 #: `[\x20\x09-\x0D]`, the white space of all word counts here.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -21,18 +25,34 @@ LOWER[65:91] += 32
 #: Bytes of text that are worked on at once (a longer text is worked on alone).
 CHUNK = 3 << 20
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if "p" not in _powers or len(_powers["p"]) < n:
-        m = max(n, CHUNK + 1)
-        for k, b in (("p", BASE), ("i", INVERSE)):
-            x = np.full(m, b, U)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers["p"][:n], _powers["i"][:n]
+#: Stretches up to this length are hashed lane by lane; longer ones one by one.
+LONG = 512
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], U)
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME for i < n."""
+    if base not in _powers or len(_powers[base]) < n:
+        x = np.ones(max(n, CHUNK + 1), np.uint32)
+        done = 1
+        while done < len(x):
+            step = min(done, len(x) - done)
+            x[done : done + step] = x[:step].astype(U) * U(pow(base, done, PRIME)) % U(PRIME)
+            done += step
+        _powers[base] = x
+    return _powers[base][:n]
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place; x < 2**63."""
+    for _ in range(2):
+        high = x >> U(31)
+        x &= U(PRIME)
+        x += high
+    x -= (x >= U(PRIME)).astype(U) * U(PRIME)
+    return x
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,18 +66,67 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any stretch of a buffer, from prefix sums."""
+    """Hashes of any stretch of a buffer, from prefix sums: two polynomials modulo a prime, 62 bits in all."""
 
     def __init__(self, buf: np.ndarray):
-        p, self.inv = powers(len(buf) + 1)
-        self.h = np.zeros(len(buf) + 1, U)
-        x = buf.astype(U)
-        x += U(1)
-        x *= p[: len(buf)]
-        np.cumsum(x, out=self.h[1:])
+        n = len(buf)
+        self.parts = []
+        for base in BASES:
+            x = buf.astype(U)
+            x += U(1)
+            x *= powers(base, n)
+            if n >= 1 << 23:  # else the sums stay below 2**63 as they are
+                _reduced(x)
+            h = np.zeros(n + 1, U)
+            np.cumsum(x, out=h[1:])
+            self.parts.append((h, powers(pow(base, -1, PRIME), n + 1)))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.h[end] - self.h[start]) * self.inv[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        out = (end - start).astype(U)
+        out *= U(0xD6E8FEB86659FD93)
+        for (h, inverse), odd in zip(self.parts, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), strict=True):
+            x = _reduced(h[end] - h[start])
+            x *= inverse[start]
+            out += mix(_reduced(x) * U(odd))
+        return mix(out)
+
+
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number (zeros behind the end)."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def stretch_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch: eight bytes at a time, mixed in turn. Stretches of one length up to eight bytes never
+    collide."""
+    lanes, n = _lanes(buf), end - start
+    out = mix(n.astype(U) * U(0xD6E8FEB86659FD93) + U(0x2545F4914F6CDD1D))
+    out = mix(out + (lanes[start] & _MASK[np.minimum(n, 8)]))
+    left = np.flatnonzero((n > 8) & (n <= LONG))
+    for at in range(8, LONG, 8):
+        if not len(left):
+            break
+        out[left] = mix(out[left] * U(0x9E3779B97F4A7C15) + (lanes[start[left] + at] & _MASK[np.minimum(n[left] - at, 8)]))
+        left = left[n[left] > at + 8]
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_stretches(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the ``n`` bytes of each pair of stretches are the same."""
+    la, lb = _lanes(a), _lanes(b)
+    out = ((la[a_start] ^ lb[b_start]) & _MASK[np.minimum(n, 8)]) == 0
+    left = np.flatnonzero((n > 8) & (n <= LONG))
+    for at in range(8, LONG, 8):
+        if not len(left):
+            break
+        out[left] &= ((la[a_start[left] + at] ^ lb[b_start[left] + at]) & _MASK[np.minimum(n[left] - at, 8)]) == 0
+        left = left[n[left] > at + 8]
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = np.array_equal(a[a_start[i] : a_start[i] + n[i]], b[b_start[i] : b_start[i] + n[i]])
+    return out
 
 
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +168,7 @@ def words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def word_hashes(buf: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word, and for each text the index of its first word (n + 1 numbers)."""
     starts, ends, first = words(buf, bounds)
-    return Rolling(LOWER[buf] if lower else buf)(starts, ends), first
+    return stretch_hashes(LOWER[buf] if lower else buf, starts, ends), first
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,6 +29,8 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -100,10 +102,9 @@ def multisets(buf: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> tuple[np
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
     at = np.flatnonzero(new)
     counts = np.diff(np.append(at, len(s)))
-    # the word sequence's own hash: a polynomial over the words' hashes
-    p, inv = _vec.powers(len(hashes) + 1)
-    sums = np.concatenate([[U(0)], np.cumsum(_vec.mix(hashes ^ U(0x5851F42D4C957F2D)) * p[: len(hashes)])]) if len(hashes) else np.zeros(1, U)
-    whole = _vec.mix((sums[first[1:]] - sums[first[:-1]]) * inv[first[:-1]] + np.diff(first).astype(U) * U(0x2545F4914F6CDD1D))
+    # the word sequence's own hash, of its words' hashes
+    raw, at_word = memoryview(np.ascontiguousarray(hashes)).cast("B"), (8 * first).tolist()
+    whole = np.array([int.from_bytes(hashlib.blake2b(raw[i:j], digest_size=8).digest(), "little") for i, j in zip(at_word[:-1], at_word[1:], strict=True)], U)
     return s[at], counts, np.searchsorted(d[at], np.arange(n + 1)), whole
 
 

@@ -1,20 +1,29 @@
 """LM scoring (2): an n-gram model in an Elias-Fano trie.
 
-*Counting.* Words are hashed on the bytes; the vocabulary is the sorted hashes, and a word's id is its rank. Level n of
-the trie holds the n-grams as (context node, word id), a context being a node of level n - 1. Tasks count their own
-n-grams first and send sorted, packed runs to the shard that owns the context; a shard merges its runs.
+*Vocabulary.* Words are hashed on the bytes; the vocabulary is the sorted hashes, and a word's id is its rank.
+
+*Counting.* Tasks cut their texts into units. A unit's distinct trigrams (a word, the next one and the one after that or a
+pad at a text's end; so the bigrams' counts are sums of these) go, sorted and packed, to the shard that owns them. Shards
+are ranges of (first word, second word) with about equal shares of the tokens, as the words' own counts let expect. So the
+successors of a very common word are spread over several shards.
 
 *Smoothing.* Interpolated absolute discounting with three discounts per level (for counts 1, 2 and more), estimated from
-the counts of counts of the whole corpus; below the bigrams lies the add-1/2 unigram model. Log probabilities and back-off
-weights are quantised to 8 bits.
+the counts of counts of the whole corpus; below the bigrams lies the add-1/2 unigram model. A level holds each n-gram's
+discounted probability and each context's back-off weight, both as logs quantised to 8 bits; a query adds the level below
+times the back-off weight. For a word whose successors lie in several shards the weight is summed on the driver.
 
 *Trie.* A shard of a level is one file with: monotone pointers to each context's first successor, in Elias-Fano code; the
 successors' ids, made monotone by adding the last value of the context before, in Elias-Fano code; and the quantised
 numbers. Files lie in the shared folder and are memory-mapped. A query goes to its context's successors through two
 pointers, makes the word relative to the context, and takes one successor search: two selects of zeros give the bucket of
-equal upper halves, in which lower halves are compared. Everything is vectorised over a batch's tokens.
+equal upper halves, in which lower halves are compared. Everything is vectorised.
+
+*Scoring.* Queries go to the shards, not the model to the queries: a shard opens its own two files, looks each distinct
+n-gram up once and answers every unit that has it. A unit has meanwhile left its tokens' places in its list of n-grams in
+the shared folder, and its answers are added up along them. So a task maps one shard, or the vocabulary.
 
-Sizes: ``shard_bytes`` of text per shard bounds what one task merges; the driver holds a line per shard.
+Sizes: ``shard_bytes`` of text per shard bounds what one task merges and builds (some 30 bytes a token); a unit is
+``UNIT`` bytes of text, or one longer text. The driver holds a line per shard (about 200 bytes).
 
 Defined results: null texts are empty (their end token alone); null doc ids are training rows; repeated rows count as
 often as they are there; with no training rows every token has probability 1; an empty table gives no rows; other columns
@@ -25,6 +34,7 @@ from __future__ import annotations
 
 import json
 import math
+import struct
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,15 +48,15 @@ from . import _shared, _vec
 U = np.uint64
 #: The end token's stand-in for a word hash. It is also the context of a text's first token.
 END = U(0x5851F42D4C957F2D)
-SHARD_BYTES = 16 << 20
-#: Quantised logs: 0 is log10 = 0, each step is this much less.
-STEP = 0.04
+SHARD_BYTES = 8 << 20
+#: Quantised logs: 0 is log10 = 0, each step is this much less; the last code stands for no probability.
+STEP, NONE = 0.04, 255
 SAMPLE_BITS = 3
 SAMPLE = 1 << SAMPLE_BITS
-#: Distinct n-grams that a task gathers before it sends them.
+#: Bytes of text of a unit.
+UNIT = 3 << 20
+#: Distinct words that a task gathers before it sends them.
 GATHER = 1_000_000
-#: Bytes of text that are worked on at once; a token takes some hundred bytes on the way.
-CHUNK = 1 << 20
 
 
 # ------------------------------------------------------------------------------------------------------- Elias-Fano
@@ -158,20 +168,26 @@ def ef_bytes(values: np.ndarray, universe: int) -> tuple[dict, list[bytes]]:
     n = len(values)
     width = max(0, int(math.floor(math.log2(max(universe, 1) / max(n, 1)))) if n else 0)
     low = np.zeros((n * width + 7) // 8 + 8, np.uint8)
-    block = 1 << 16  # values per step; a multiple of 8, so steps begin at whole bytes
+    block = 1 << 14  # values per step; a multiple of 8, so steps begin at whole bytes
     for i in range(0, n if width else 0, block):
         v = values[i : i + block].astype(U)
         b = ((v[:, None] >> np.arange(width, dtype=U)) & U(1)).astype(np.uint8).ravel()
         p = np.packbits(b, bitorder="little")
         low[i * width // 8 : i * width // 8 + len(p)] = p
-    place = (values.astype(np.int64) >> width) + np.arange(n)
-    n_bits = n + (universe >> width) + 2
-    bits = np.zeros(((n_bits + 63) // 64 + 1) * 64, np.uint8)
-    bits[place] = 1
-    zeros = np.flatnonzero(bits == 0)[::SAMPLE].astype("<u4")
-    words = np.packbits(bits, bitorder="little")
-    parts = [low.tobytes(), words.tobytes(), place[::SAMPLE].astype("<u4").tobytes(), zeros.tobytes()]
-    return {"n": n, "width": width}, parts
+    high = values.astype(np.int64) >> width
+    most = (universe >> width) + 2  # zeros; one ends each possible upper half
+    words = np.zeros((n + most + 63) // 64 + 1, U)
+    place = high + np.arange(n)
+    if n:
+        at = place >> 6
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        words[at[first]] = np.bitwise_or.reduceat(U(1) << (place & 63).astype(U), first)
+    kind = "<u4" if 64 * len(words) < 1 << 32 else "<u8"
+    # the z-th zero lies behind z others and all values whose upper half is z at most
+    z = np.arange(0, most, SAMPLE)
+    zeros = (z + np.searchsorted(high, z, "right")).astype(kind)
+    parts = [low.tobytes(), words.tobytes(), place[::SAMPLE].astype(kind).tobytes(), zeros.tobytes()]
+    return {"n": n, "width": width, "kind": kind}, parts
 
 
 class Shard:
@@ -188,32 +204,51 @@ class Shard:
 
         def ef(k: str, i: int) -> EliasFano:
             h = self.head[k]
-            return EliasFano(h["n"], h["width"], parts[i], Bits(parts[i + 1].view("<u8"), parts[i + 2].view("<u4"), parts[i + 3].view("<u4")))
+            return EliasFano(h["n"], h["width"], parts[i], Bits(parts[i + 1].view("<u8"), parts[i + 2].view(h["kind"]), parts[i + 3].view(h["kind"])))
 
+        self.low, self.n_contexts = self.head["low"], self.head["n_contexts"]
         self.pointers, self.successors = ef("pointers", 0), ef("successors", 4)
         self.probability, self.backoff = parts[8], parts[9]
 
-    def context(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first successor, the one after the last, what makes words relative) of contexts."""
-        begin, end = self.pointers.pair(c)
-        base = np.zeros(len(c), np.int64)
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node or -1, code of the probability, code of the context's back-off); an unknown context has the weight 1.
+
+        ``context`` ascends; each is looked up once.
+        """
+        node = np.full(len(word), -1, np.int64)
+        probability, backoff = np.full(len(word), NONE, np.uint8), np.zeros(len(word), np.uint8)
+        known = np.flatnonzero((context >= self.low) & (context < self.low + self.n_contexts))
+        if not len(known):
+            return node, probability, backoff
+        c = context[known] - self.low
+        first = np.append(True, c[1:] != c[:-1])
+        at, one = np.cumsum(first) - 1, c[first]
+        backoff[known] = self.backoff[one][at]
+        begin, end = self.pointers.pair(one)
+        base = np.zeros(len(one), np.int64)  # what makes words relative to their context
         later = np.flatnonzero((begin > 0) & (begin < end))
         base[later] = self.successors.get(begin[later] - 1) + 1
-        return begin, end, base
+        x = base[at] + word[known]
+        ok = np.flatnonzero((begin < end)[at] & (x < self.head["universe"]))
+        got = self.successors.search(x[ok], begin[at[ok]], end[at[ok]])
+        hit = got >= 0
+        node[known[ok[hit]]] = got[hit]
+        probability[known[ok[hit]]] = self.probability[got[hit]]
+        return node, probability, backoff
 
-    def find(self, begin: np.ndarray, end: np.ndarray, base: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Node of each word below its context, or -1."""
-        x = base + word
-        out = np.full(len(x), -1, np.int64)
-        ok = np.flatnonzero((begin < end) & (x < self.head["universe"]))
-        if len(ok):
-            out[ok] = self.successors.search(x[ok], begin[ok], end[ok])
-        return out
+
+def codes(p: np.ndarray) -> np.ndarray:
+    """Quantised logs of probabilities or weights."""
+    return np.minimum(np.rint(np.log10(np.clip(p, 1e-300, 1.0)) / -STEP), NONE - 1).astype(np.uint8)
 
 
-def shard_file(folder: str, name: str, context: np.ndarray, word: np.ndarray, n_contexts: int, log_p: np.ndarray, log_backoff: np.ndarray) -> str:
-    """Writes a shard from its sorted (context, word) pairs."""
-    n = len(context)
+#: The numbers that codes stand for.
+VALUE = np.append(10.0 ** (-STEP * np.arange(NONE)), 0.0)
+
+
+def shard_file(folder: str, name: str, context: np.ndarray, word: np.ndarray, low: int, n_contexts: int, probability: np.ndarray, backoff: np.ndarray) -> str:
+    """Writes a shard from its sorted (context, word) pairs; contexts are low .. low + n_contexts - 1."""
+    n, context = len(context), context - low
     pointers = np.searchsorted(context, np.arange(n_contexts + 1))
     last = np.flatnonzero(np.append(context[1:] != context[:-1], True)) if n else np.zeros(0, np.int64)
     # a context's numbers begin after the last number of the context before
@@ -223,40 +258,39 @@ def shard_file(folder: str, name: str, context: np.ndarray, word: np.ndarray, n_
     universe = int(values[-1]) + 1 if n else 1
     h1, p1 = ef_bytes(pointers, n + 1)
     h2, p2 = ef_bytes(values, universe)
-    quantised = [np.minimum(np.rint(-x / STEP), 255).astype(np.uint8).tobytes() for x in (log_p, log_backoff)]
-    parts = [*p1, *p2, *quantised]
-    head = json.dumps({"pointers": h1, "successors": h2, "universe": universe, "sizes": [len(x) for x in parts]}).encode()
+    parts = [*p1, *p2, probability.tobytes(), backoff.tobytes()]
+    head = json.dumps({"pointers": h1, "successors": h2, "universe": universe, "low": int(low), "n_contexts": int(n_contexts), "sizes": [len(x) for x in parts]}).encode()
     f = _shared.SharedFile(folder, name)
     for x in (np.int64(len(head)).tobytes(), head + b"\0" * (-len(head) % 8), *[x + b"\0" * (-len(x) % 8) for x in parts]):
         f.write(x)
     return f.close()
 
 
-# ------------------------------------------------------------------------------------------------------ packed runs
-
-
-def pack(x: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers: differences, byte plane by byte plane, compressed."""
-    d = np.diff(x, prepend=U(0)).astype("<u8")
-    return pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, U)
-    d = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n).T
-    return np.cumsum(np.ascontiguousarray(d).view("<u8").ravel(), dtype=U)
+# ------------------------------------------------------------------------------------------------------ packed rows
 
 
-def pack_counts(c: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(c) else b""
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers of one length, the first of which ascends: byte plane by byte plane, compressed."""
+    x = np.stack([np.asarray(c).astype("<i8") for c in columns])
+    x[0, 1:] -= x[0, :-1].copy()
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1))
+    return struct.pack("<ii", len(columns), x.shape[1]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
+def unpack(data: bytes) -> list[np.ndarray]:
+    k, n = struct.unpack_from("<ii", data)
     if not n:
-        return np.zeros(0, np.int64)
-    d = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n).T
-    return np.ascontiguousarray(d).view("<i8").ravel()
+        return [np.zeros(0, np.int64)] * k
+    planes = np.frombuffer(pa.decompress(memoryview(data)[8:], 8 * k * n, codec="zstd", asbytes=True), np.uint8).reshape(k, 8, n)
+    out = []
+    for i in range(k):
+        x = np.zeros(n, np.int64)
+        for b in range(8):
+            if planes[i, b].any():
+                x |= planes[i, b].astype(np.int64) << (8 * b)
+        out.append(x)
+    np.cumsum(out[0], out=out[0])
+    return out
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,193 +303,107 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[at], np.add.reduceat(counts[order], at)
 
 
-def _shard_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
-    """Equal parts of the 64-bit numbers, in their order."""
-    return ((keys >> U(32)) * U(n_shards) >> U(32)).astype(np.int64)
-
-
-RUNS = "shard int, n bigint, keys binary, counts binary"
-
-
-def _send(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """A row per shard; ``shard`` ascends."""
-    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-    end = np.append(cut[1:], len(shard))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(shard[cut].astype(np.int32)), pa.array(end - cut), pa.array([pack(keys[a:b]) for a, b in zip(cut, end, strict=True)], pa.binary()), pa.array([pack_counts(counts[a:b]) for a, b in zip(cut, end, strict=True)], pa.binary())],
-        ["shard", "n", "keys", "counts"],
-    )
-
-
-def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of a shard's runs. Runs are merged in pairs of equal rank, so that no more than about twice the result is held."""
-    stack: list[tuple[np.ndarray, np.ndarray]] = []
-    for n, k, c in zip(pdf["n"], pdf["keys"], pdf["counts"], strict=True):
-        stack.append((unpack(k, n), unpack_counts(c, n)))
-        while len(stack) > 1 and len(stack[-2][0]) < 4 * len(stack[-1][0]):
-            b, a = stack.pop(), stack.pop()
-            stack.append(summed(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])))
-    while len(stack) > 1:
-        b, a = stack.pop(), stack.pop()
-        stack.append(summed(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])))
-    return stack[0] if stack else (np.zeros(0, U), np.zeros(0, np.int64))
-
-
-# ------------------------------------------------------------------------------------------------------------ model
+def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the distinct rows in order, the place of each row among them)."""
+    n = len(columns[0])
+    if not n:
+        return columns, np.zeros(0, np.int64)
+    spans = [int(c.max()) + 1 for c in columns]
+    if math.prod(spans) < 1 << 63:
+        key = columns[0]
+        for c, s in zip(columns[1:], spans[1:], strict=True):
+            key = key * s + c
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+    else:
+        order = np.lexsort(columns[::-1])
+        new = np.ones(n, bool)
+        new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    one = order[new]
+    return [c[one] for c in columns], place
+
+
+def _grouped(batches, key: int):
+    """(key, rows) for the rows of each value of a column; equal values come one after another."""
+    now, rows = None, []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and r[key] != now:
+                yield now, rows
+                rows = []
+            now = r[key]
+            rows.append(r)
+    if rows:
+        yield now, rows
+
+
+# ------------------------------------------------------------------------------------------------------- vocabulary
 
 
 @dataclass
-class Level:
-    """The shards of a level: context ranges, first node of each, file of each (None: no n-grams)."""
+class Vocabulary:
+    """What a task must know to open the vocabulary: per shard the first id, the tokens before, and the file."""
 
-    n_contexts: int
-    n_shards: int
+    n_shards: int = 1
     first: list[int] = field(default_factory=list)
-    uri: list[str | None] = field(default_factory=list)
-
-    def low(self, shard):
-        return -(-shard * self.n_contexts // self.n_shards)
+    before: list[int] = field(default_factory=list)
+    uri: list[str] = field(default_factory=list)
+    n_words: int = 0
+    tokens: int = 0
 
-    def shard(self, context: np.ndarray) -> np.ndarray:
-        return context * self.n_shards // max(self.n_contexts, 1)
-
-
-@dataclass
-class Model:
-    """What a task must know to open the model's files."""
+    @property
+    def pad(self) -> int:
+        """The id behind a text's end; the next one is that of all unknown words."""
+        return self.n_words
 
-    n_shards: int
-    words: list[tuple[int, str]]  # per shard of the vocabulary: first id, file ("" if empty)
-    n_words: int
-    tokens: int
-    levels: list[Level] = field(default_factory=list)
 
-    @property
-    def key(self) -> tuple:
-        return tuple(u for _, u in self.words), len(self.levels)
+def _shard_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
+    """Equal parts of the 64-bit numbers, in their order."""
+    return ((keys >> U(32)) * U(n_shards) >> U(32)).astype(np.int64)
 
 
 _open: dict = {}
 
 
-class Reader:
-    """An opened model."""
+class Words:
+    """An opened vocabulary."""
 
-    def __init__(self, model: Model):
-        self.m = model
-        self.words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.shards: dict[tuple[int, int], Shard] = {}
-        self.end_id = int(self.lookup(np.array([END]))[0][0])
-        self.log_total = math.log10(model.tokens + 0.5 * (model.n_words + 1))
+    def __init__(self, v: Vocabulary):
+        self.v, self.files = v, {}
 
     @classmethod
-    def of(cls, model: Model) -> Reader:
-        if model.key not in _open:
+    def of(cls, v: Vocabulary) -> Words:
+        key = tuple(v.uri)
+        if key not in _open:
             _open.clear()  # one model at a time
-            _open[model.key] = cls(model)
-        return _open[model.key]
-
-    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of words; -1 and 0 if unknown. ``hashes`` ascend."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        shard = _shard_of(hashes, self.m.n_shards)
-        cut = np.searchsorted(shard, np.arange(self.m.n_shards + 1))
-        for s in np.unique(shard).tolist():
-            first, uri = self.m.words[s]
-            if not uri:
-                continue
-            if s not in self.words:
-                raw = np.frombuffer(_shared.read_shared(uri), "<u8")
-                self.words[s] = raw[: len(raw) // 2], raw[len(raw) // 2 :]
-            known, c = self.words[s]
-            h = hashes[cut[s] : cut[s + 1]]
-            i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = np.flatnonzero(known[i] == h)
-            ids[cut[s] + hit], counts[cut[s] + hit] = first + i[hit], c[i[hit]].astype(np.int64)
-        return ids, counts
-
-    def log_unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10(counts + 0.5) - self.log_total
-
-    def find(self, n: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node or -1, log probability or nan, log back-off of the context) on level n; unknown contexts are -1."""
-        level = self.m.levels[n - 2]
-        node, log_p, back = np.full(len(word), -1, np.int64), np.full(len(word), np.nan), np.zeros(len(word))
-        known = np.flatnonzero(context >= 0)
-        if not len(known):
-            return node, log_p, back
-        if n == 2 and len(known) > 1000:  # pairs of words repeat: look each of them up once
-            _, one, at = np.unique(context[known] * (self.m.n_words + 1) + word[known] + 1, return_index=True, return_inverse=True)
-            if len(one) < 0.9 * len(known):
-                got = self.find(n, context[known[one]], word[known[one]])
-                node[known], log_p[known], back[known] = got[0][at], got[1][at], got[2][at]
-                return node, log_p, back
-        shard = level.shard(context[known])
-        order = np.argsort(shard, kind="stable")
-        known, shard = known[order], shard[order]
-        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(known)], strict=True):
-            s, rows = int(shard[a]), known[a:b]
-            if level.uri[s] is None:
+            _open[key] = cls(v)
+        return _open[key]
+
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, counts, tokens of all smaller ids) of words that ascend; an unknown one has the last id and the count 0."""
+        v = self.v
+        ids, counts, before = np.full(len(hashes), v.pad + 1), np.zeros(len(hashes), np.int64), np.full(len(hashes), v.tokens)
+        shard = _shard_of(hashes, v.n_shards)
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(hashes) else np.zeros(0, np.int64)
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(hashes)], strict=False):
+            s = int(shard[a])
+            if not v.uri or not v.uri[s]:
                 continue
-            if (n, s) not in self.shards:
-                self.shards[n, s] = Shard(level.uri[s])
-            f = self.shards[n, s]
-            c, at = np.unique(context[rows], return_inverse=True)
-            local = c - level.low(s)
-            begin, end, base = f.context(local)
-            back[rows] = (f.backoff[local] * -STEP)[at]
-            some = word[rows] >= 0
-            got = np.full(len(rows), -1, np.int64)
-            got[some] = f.find(begin[at[some]], end[at[some]], base[at[some]], word[rows[some]])
-            hit = got >= 0
-            node[rows[hit]] = level.first[s] + got[hit]
-            log_p[rows[hit]] = f.probability[got[hit]] * -STEP
-        return node, log_p, back
-
-    def words_of(self, nodes: np.ndarray) -> np.ndarray:
-        """Last word of each node of level 2. ``nodes`` ascend."""
-        level = self.m.levels[0]
-        shard = np.searchsorted(np.array(level.first), nodes, "right") - 1
-        out = np.zeros(len(nodes), np.int64)
-        for s in np.unique(shard).tolist():
-            rows = np.flatnonzero(shard == s)
-            if (2, s) not in self.shards:
-                self.shards[2, s] = Shard(level.uri[s])
-            f = self.shards[2, s]
-            i = nodes[rows] - level.first[s]
-            # the context of a node: that with the last pointer at or before it
-            pointers = f.pointers.get(np.arange(f.pointers.n))
-            c = np.searchsorted(pointers, i, "right") - 1
-            _, _, base = f.context(c)
-            out[rows] = f.successors.get(i) - base
-        return out
+            if s not in self.files:
+                raw = np.frombuffer(_shared.read_shared(v.uri[s]), "<u8")
+                self.files[s] = np.split(raw, 3)
+            known, c, t = self.files[s]
+            i = np.minimum(np.searchsorted(known, hashes[a:b]), len(known) - 1)
+            hit = np.flatnonzero(known[i] == hashes[a:b])
+            i = i[hit]
+            ids[a + hit], counts[a + hit], before[a + hit] = v.first[s] + i, c[i].astype(np.int64), v.before[s] + t[i].astype(np.int64)
+        return ids, counts, before
 
 
-class Tokens:
-    """A batch of texts as ids: each text's words, then its end."""
-
-    def __init__(self, reader: Reader, buf: np.ndarray, bounds: np.ndarray):
-        hashes, first = _vec.word_hashes(buf, bounds, lower=True)
-        n = np.diff(first)
-        end_at = first[1:] + np.arange(len(n))
-        every = np.full(len(hashes) + len(n), END)
-        inside = np.ones(len(every), bool)
-        inside[end_at] = False
-        every[inside] = hashes
-        distinct, at = np.unique(every, return_inverse=True)
-        ids, counts = reader.lookup(distinct)
-        self.ids, self.counts = ids[at], counts[at]
-        self.begin = np.concatenate([[0], end_at + 1])
-        self.first = np.zeros(len(every), bool)
-        self.first[self.begin[:-1]] = True
-
-    def before(self, nodes: np.ndarray, start: int) -> np.ndarray:
-        """The node before each token; ``start`` for a text's first."""
-        out = np.empty_like(nodes)
-        out[1:] = nodes[:-1]
-        out[self.first] = start
-        return out
+RUNS = "shard int, data binary"
 
 
 def _count_words(n_shards: int):
@@ -464,11 +412,15 @@ def _count_words(n_shards: int):
 
         def flush():
             k, c = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            return _send(_shard_of(k, n_shards), k, c)
+            shard = _shard_of(k, n_shards)
+            cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            end = np.append(cut[1:], len(shard))
+            data = [pack(k[a:b].view(np.int64), c[a:b]) for a, b in zip(cut, end, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int32)), pa.array(data, pa.binary())], ["shard", "data"])
 
         for batch in batches:
             buf, bounds = _vec.text_buffers(batch.column(0))
-            for i, j, b, o in _vec.chunks(buf, bounds, CHUNK):
+            for i, j, b, o in _vec.chunks(buf, bounds, UNIT):
                 hashes, _ = _vec.word_hashes(b, o, lower=True)
                 k, c = np.unique(np.append(hashes, END), return_counts=True)
                 c = c.astype(np.int64)
@@ -484,59 +436,160 @@ def _count_words(n_shards: int):
     return run
 
 
-def _count_grams(n: int, shared, n_shards: int):
-    """Packed runs of (context node, word) of level n, by the context's shard."""
+def _write_words(folder: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, k, c = int(pdf["shard"].iloc[0]), np.zeros(0, U), np.zeros(0, np.int64)
+        for i in range(0, len(pdf), 16):  # a few runs at a time, so that not all are held unpacked
+            runs = [unpack(x) for x in pdf["data"].iloc[i : i + 16]]
+            k, c = summed(np.concatenate([k, *[r[0].view(U) for r in runs]]), np.concatenate([c, *[r[1] for r in runs]]))
+        f = _shared.SharedFile(folder, f"words-{shard:06d}-{_shared.attempt()}.bin")
+        for x in (k, c, np.cumsum(c) - c):
+            f.write(x.astype("<u8").tobytes())
+        return pd.DataFrame([(shard, f.close(), len(k), int(c.sum()))], columns=["shard", "uri", "n", "total"])
 
-    def run(batches):
-        model: Model = shared.value
-        reader = Reader.of(model)
-        n_contexts = model.n_words if n == 2 else _nodes(model, n - 1)
-        level = Level(n_contexts, n_shards)
-        bits = U(model.n_words.bit_length())
-        if int(bits) + n_contexts.bit_length() > 64 or bits > 32:
-            raise OverflowError("a context and a word must fit into 64 bits together")
-        held, size = [], 0
+    return run
 
-        def flush():
-            key, count = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            context = (key >> bits).astype(np.int64)
-            shard = level.shard(context)
-            local = (context - level.low(shard)).astype(U) << U(32) | key & ((U(1) << bits) - U(1))
-            return _send(shard, local, count)
 
+def vocabulary(texts: DataFrame, spark: SparkSession, folder: str, n_shards: int) -> Vocabulary:
+    """Counts the words of a column ``text`` and writes them."""
+    runs = texts.select("text").mapInArrow(_count_words(n_shards), RUNS)
+    made = _shared.written(runs.repartition(n_shards, "shard").groupBy("shard").applyInPandas(_write_words(folder), "shard int, uri string, n bigint, total bigint"), spark, "trie-words")
+    rows = {r.shard: r for r in made.collect()}  # a line per shard
+    _shared.discard(made)
+    v = Vocabulary(n_shards)
+    for s in range(n_shards):
+        r = rows.get(s)
+        v.first.append(v.n_words)
+        v.before.append(v.tokens)
+        v.uri.append(r.uri if r else "")
+        v.n_words += r.n if r else 0
+        v.tokens += r.total if r else 0
+    return v
+
+
+# ------------------------------------------------------------------------------------------------------------ units
+
+
+@dataclass
+class Model:
+    """The vocabulary, the files of each level by shard, and the back-off codes of words at the shards' edges."""
+
+    words: Vocabulary
+    order: int
+    n_shards: int
+    uri: dict[int, list[str]] = field(default_factory=dict)
+    edges: dict[int, int] = field(default_factory=dict)
+
+
+_UNITS = "unit bigint, shard int, data binary"
+
+
+def _gather(shared, n_shards: int, order: int, folder: str):
+    """Per unit a row for each shard with its distinct n-grams and their counts in training rows, and one (shard -1) that
+    says where its tokens' places among them and all else that its scores need are kept."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        v: Vocabulary = shared.value
+        reader, log_total = Words.of(v), math.log10(v.tokens + 0.5 * (v.n_words + 1))
+        unit = TaskContext.get().partitionId() << 32
+        tokens = _shared.SharedFile(folder, f"tokens-{_shared.attempt()}.bin")
+        pointers = []
         for batch in batches:
-            buf, bounds = _vec.text_buffers(batch.column(0))
-            for _, _, b, o in _vec.chunks(buf, bounds, CHUNK):
-                t = Tokens(reader, b, o)
-                context, word = t.before(t.ids, reader.end_id), t.ids
-                if n == 3:
-                    node, _, _ = reader.find(2, context, word)
-                    context = t.before(node, -1)
-                    inside = context >= 0
-                    context, word = context[inside], word[inside]
-                key = np.sort(context.astype(U) << bits | word.astype(U))
-                at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-                held.append((key[at], np.diff(np.append(at, len(key)))))
-                size += len(at)
-                if size > GATHER:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
+            buf, bounds = _vec.text_buffers(batch.column(2))
+            for i, j, b, o in _vec.chunks(buf, bounds, UNIT):
+                hashes, first = _vec.word_hashes(b, o, lower=True)
+                n = np.diff(first) + 1  # with the end
+                end = np.cumsum(n)
+                every = np.full(len(hashes) + len(n), END)
+                inside = np.ones(len(every), bool)
+                inside[end - 1] = False
+                every[inside] = hashes
+                del hashes
+                own, at = np.unique(np.append(every, END), return_inverse=True)
+                ids, counts, before = reader.lookup(own)
+                # ranks by id, with the pad between the known words and the unknown one
+                ids, back = np.unique(np.append(ids, v.pad), return_inverse=True)
+                count, earlier = np.zeros(len(ids), np.int64), np.full(len(ids), v.tokens)
+                count[back[:-1]], earlier[back[:-1]] = counts, before
+                at = back[at]
+                word, start = at[:-1], at[-1]
+                previous, following = np.empty_like(word), np.empty_like(word)
+                previous[1:], following[:-1] = word[:-1], word[1:]
+                previous[end - n], following[end - 1] = start, back[-1]
+                if order == 2:
+                    following[:] = back[-1]
+                base = np.log10(count + 0.5) - log_total
+                sums = [np.add.reduceat(x, end - n) for x in ((count > 0)[word], base[word])]
+                (x, y, z), place = distinct([previous, word, following])
+                del previous, following, every
+                held = np.asarray(batch.column(1).slice(i, j - i).fill_null(False)).astype(bool)
+                times = np.bincount(place, np.repeat(~held, n), len(x)).astype(np.int64)
+                gram = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+                mass = earlier[x] + count[x].astype(np.float64) * earlier[y] / max(v.tokens, 1)
+                shard = np.minimum((mass * n_shards / max(v.tokens, 1)).astype(np.int64), n_shards - 1)
+                doc = batch.column(0).slice(i, j - i)
+                parts = [pack(np.arange(len(place)), place), pack(np.flatnonzero(gram), count[y[gram]]), pack(end, np.asarray(doc.fill_null(0)).astype(np.int64), np.asarray(doc.is_null()), held, sums[0], sums[1].view(np.int64))]
+                where = tokens.write(b"".join([struct.pack("<qqq", *map(len, parts)), *parts]))
+                pointers.append((unit, where, tokens.size - where))
+                cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+                rows = [pack(ids[x[a:c]], ids[y[a:c]], ids[z[a:c]], times[a:c]) for a, c in zip(cut.tolist(), [*cut[1:].tolist(), len(x)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), unit)), pa.array(shard[cut].astype(np.int32)), pa.array(rows, pa.binary())], ["unit", "shard", "data"])
+                unit += 1
+        uri = tokens.close()
+        if pointers:
+            data = [json.dumps([uri, a, s]).encode() for _, a, s in pointers]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pointers], pa.int64()), pa.array(np.full(len(data), -1, np.int32)), pa.array(data, pa.binary())], ["unit", "shard", "data"])
 
     return run
 
 
-def _nodes(model: Model, n: int) -> int:
-    return model.levels[n - 2].first[-1]
+_MERGED = "shard int, grams binary, units binary, places binary, ones array<bigint>, twos array<bigint>, edges array<bigint>"
 
 
-_GRAMS = "shard int, n bigint, keys binary, counts binary, once bigint, twice bigint, thrice bigint, four bigint"
+def _levels(x: np.ndarray, y: np.ndarray, z: np.ndarray, times: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first row and count of each bigram that was seen, rows of the trigrams that were, the bigram of each of these)."""
+    seen = np.flatnonzero(times > 0)
+    if not len(seen):
+        return seen, seen, seen, seen
+    new = np.append(True, (x[seen[1:]] != x[seen[:-1]]) | (y[seen[1:]] != y[seen[:-1]]))
+    first = np.flatnonzero(new)
+    three = z[seen] != pad
+    return seen[first], np.add.reduceat(times[seen], first), seen[three], (np.cumsum(new) - 1)[three]
 
 
-def _merge_grams(pdf: pd.DataFrame) -> pd.DataFrame:
-    k, c = _merged(pdf)
-    return pd.DataFrame([(int(pdf["shard"].iloc[0]), len(k), pack(k), pack_counts(c), *[int((c == i).sum()) for i in (1, 2, 3, 4)])], columns=["shard", "n", "keys", "counts", "once", "twice", "thrice", "four"])
+def _merge(pad: int):
+    """Per shard: all units' n-grams with their counts, each unit's places among them, counts of counts, and what the
+    words at its edges are followed by."""
+
+    def run(batches):
+        for shard, rows in _grouped(batches, 1):
+            runs = [unpack(r[2]) for r in rows]
+            sizes = np.array([len(r[0]) for r in runs])
+            units = np.array([r[0] for r in rows])
+            columns = [np.concatenate([r[k] for r in runs]) for k in range(4)]
+            del runs, rows
+            times = columns.pop()
+            columns[0] -= (low := int(columns[0].min()))
+            (x, y, z), place = distinct(columns)
+            del columns
+            x += low
+            times = np.bincount(place, times, len(x)).astype(np.int64)
+            two, c2, three, _ = _levels(x, y, z, times, pad)
+            counts = [[int((c == k).sum()) for k in (1, 2, 3, 4)] for c in (c2, times[three])]
+            edges = []
+            for w in {int(x[0]), int(x[-1])}:
+                c = c2[x[two] == w]
+                edges += [w, int((c == 1).sum()), int((c == 2).sum()), int((c > 2).sum()), int(c.sum())]
+            order = np.argsort(units)  # a packed column must ascend
+            data = pack(units[order], sizes[order], (np.cumsum(sizes) - sizes)[order])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int32()), pa.array([pack(x, y, z, times)], pa.binary()), pa.array([data], pa.binary()), pa.array([pack(np.arange(len(place)), place)], pa.binary()), *[pa.array([e], pa.list_(pa.int64())) for e in (*counts, edges)]],
+                ["shard", "grams", "units", "places", "ones", "twos", "edges"],
+            )
+
+    return run
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -546,119 +599,183 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
-def _write_level(n: int, shared, level: Level, cut: tuple[float, float, float], folder: str):
+def _write_levels(pad: int, cuts: dict[int, tuple], edges: dict[int, float], order: int, folder: str):
     def run(batches):
-        reader = Reader.of(shared.value)
         for batch in batches:
-            for shard, size, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                k, c = unpack(keys, size), unpack_counts(counts, size)
-                context, word = (k >> U(32)).astype(np.int64), (k & U(0xFFFFFFFF)).astype(np.int64)
-                low = level.low(shard)
-                n_contexts = level.low(shard + 1) - low
-                off = np.take(np.array([0.0, *cut]), np.minimum(c, 3))
-                total = np.bincount(context, c, n_contexts)
-                gamma = np.bincount(context, off, n_contexts) / np.maximum(total, 1)
-                if n == 2:
-                    below = 10.0 ** reader.log_unigram(_counts_by_id(reader, word))
-                else:
-                    used, at = np.unique(context, return_inverse=True)
-                    middle = reader.words_of(low + used)[at]
-                    _, lp, back = reader.find(2, middle, word)
-                    below = 10.0 ** np.where(np.isnan(lp), back + reader.log_unigram(_counts_by_id(reader, word)), lp)
-                p = (c - off) / total[context] + gamma[context] * below
-                back = np.where(total > 0, np.log10(np.maximum(gamma, 1e-10)), 0.0)
-                uri = shard_file(folder, f"level{n}-{shard:06d}-{_shared.attempt()}.trie", context, word, n_contexts, np.log10(np.minimum(p, 1.0)), back)
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri])], ["shard", "uri"])
+            for shard, grams in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x, y, z, times = unpack(grams.as_buffer())
+                two, c2, three, parent = _levels(x, y, z, times, pad)
+                if not len(two):
+                    continue
+                context, word, low = x[two], y[two], int(x[two[0]])
+                n = int(context[-1]) - low + 1
+                off = np.array([0.0, *cuts[2]])[np.minimum(c2, 3)]
+                total, weight = np.bincount(context - low, c2, n), np.bincount(context - low, off, n)
+                for w in {low, low + n - 1} & edges.keys():
+                    weight[w - low], total[w - low] = edges[w]
+                name = f"{shard:06d}-{_shared.attempt()}.trie"
+                uris = [shard_file(folder, f"level2-{name}", context, word, low, n, codes((c2 - off) / total[context - low]), codes(weight / np.maximum(total, 1)))]
+                if order > 2:
+                    c3 = times[three]
+                    off = np.array([0.0, *cuts[3]])[np.minimum(c3, 3)]
+                    total, weight = np.bincount(parent, c3, len(two)), np.bincount(parent, off, len(two))
+                    uris.append(shard_file(folder, f"level3-{name}", parent, z[three], 0, len(two), codes((c3 - off) / total[parent]), codes(np.where(total > 0, weight / np.maximum(total, 1), 1.0))))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uris], pa.list_(pa.string()))], ["shard", "uris"])
 
     return run
 
 
-def _counts_by_id(reader: Reader, ids: np.ndarray) -> np.ndarray:
-    distinct, at = np.unique(ids, return_inverse=True)
-    out = np.zeros(len(distinct), np.int64)
-    first = np.array([f for f, _ in reader.m.words])
-    shard = np.searchsorted(first, distinct, "right") - 1
-    for s in np.unique(shard).tolist():
-        f, uri = reader.m.words[s]
-        if s not in reader.words:
-            raw = np.frombuffer(_shared.read_shared(uri), "<u8")
-            reader.words[s] = raw[: len(raw) // 2], raw[len(raw) // 2 :]
-        rows = shard == s
-        out[rows] = reader.words[s][1][distinct[rows] - f].astype(np.int64)
-    return out[at]
+def _answer(shared):
+    """Per unit and shard: the codes of each of its n-grams, and of each of its bigrams."""
 
+    def run(batches):
+        m: Model = shared.value
+        for batch in batches:
+            for shard, grams, units, places in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
+                x, y, z, _ = unpack(grams.as_buffer())
+                first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+                gram = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+                uri = m.uri.get(shard)
+                p2, b2, b3 = np.full(len(first), NONE, np.uint8), np.zeros(len(first), np.uint8), np.zeros(len(first), np.uint8)
+                p3 = np.full(len(x), NONE, np.uint8)
+                if uri:
+                    node, p2, b2 = Shard(uri[0]).find(x[first], y[first])
+                    if m.order > 2:
+                        rows = np.flatnonzero((node[gram] >= 0) & (z != m.words.pad))
+                        level = Shard(uri[1])
+                        _, p3[rows], _ = level.find(node[gram[rows]], z[rows])
+                        known = node >= 0
+                        b3[known] = level.backoff[node[known]]
+                # words at the shard's edges, of whose successors others may have some or all
+                for w in {int(x[0]), int(x[-1])} & m.edges.keys():
+                    b2[x[first] == w] = m.edges[w]
+                index = unpack(places.as_buffer())[1]
+                for u, size, at in zip(*(c.tolist() for c in unpack(units.as_buffer())), strict=True):
+                    rows = index[at : at + size]
+                    g = gram[rows]
+                    g = g[np.append(True, g[1:] != g[:-1])]
+                    data = pa.compress(b"".join([p3[rows].tobytes(), p2[g].tobytes(), b2[g].tobytes(), b3[g].tobytes()]), codec="zstd", asbytes=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([u], pa.int64()), pa.array([shard], pa.int32()), pa.array([struct.pack("<ii", size, len(g)) + data], pa.binary())], ["unit", "shard", "data"])
 
-def train(texts: DataFrame, spark: SparkSession, order: int = 3, shard_bytes: int = SHARD_BYTES) -> Model:
-    """Builds a model of order 2 or 3 from a column ``text``."""
-    _shared.small_batches(spark)
-    folder = _shared.new_folder(spark, "trie")
-    texts = texts.select(F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(1, -(-int(size) // shard_bytes))
-
-    def words(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, c = _merged(pdf)
-        shard = int(pdf["shard"].iloc[0])
-        f = _shared.SharedFile(folder, f"words-{shard:06d}-{_shared.attempt()}.bin")
-        f.write(k.astype("<u8").tobytes() + c.astype("<u8").tobytes())
-        return pd.DataFrame([(shard, f.close(), len(k), int(c.sum()))], columns=["shard", "uri", "n", "total"])
-
-    runs = texts.mapInArrow(_count_words(n_shards), RUNS)
-    made = _shared.written(runs.repartition(n_shards, "shard").groupBy("shard").applyInPandas(words, "shard int, uri string, n bigint, total bigint"), spark, "trie-words")
-    rows = {r.shard: r for r in made.collect()}  # a line per shard
-    model, first = Model(n_shards, [], 0, 0), 0
-    for s in range(n_shards):
-        r = rows.get(s)
-        model.words.append((first, r.uri if r else ""))
-        first += r.n if r else 0
-    model.n_words, model.tokens = first, sum(r.total for r in rows.values())
-    for n in range(2, order + 1 if model.n_words else 2):
-        shared = spark.sparkContext.broadcast(model)  # a line per shard
-        runs = texts.mapInArrow(_count_grams(n, shared, n_shards), RUNS)
-        merged = _shared.written(runs.repartition(n_shards, "shard").groupBy("shard").applyInPandas(_merge_grams, _GRAMS), spark, f"trie-level{n}")
-        sizes = {r.shard: r for r in merged.drop("keys", "counts").collect()}
-        level = Level(model.n_words if n == 2 else _nodes(model, n - 1), n_shards)
-        cut = discounts(*[sum(r[k] for r in sizes.values()) for k in ("once", "twice", "thrice", "four")])
-        uris = merged.select("shard", "n", "keys", "counts").mapInArrow(_write_level(n, shared, level, cut, folder), "shard int, uri string")
-        uris = {r.shard: r.uri for r in _shared.written(uris, spark, "trie-files").collect()}
-        _shared.discard(merged)
-        at = 0
-        for s in range(n_shards):
-            level.first.append(at)
-            level.uri.append(uris.get(s))
-            at += sizes[s].n if s in sizes else 0
-        level.first.append(at)
-        model = Model(model.n_shards, model.words, model.n_words, model.tokens, [*model.levels, level])
-    return model
+    return run
 
 
-def score(docs: DataFrame, model: Model, spark: SparkSession) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of (doc_id, held_out, text)."""
-    shared = spark.sparkContext.broadcast(model)
+def _finish(tokens: int, n_words: int):
+    """Adds a unit's answers up along its tokens."""
+    log_total = math.log10(tokens + 0.5 * (n_words + 1))
 
     def run(batches):
-        m: Model = shared.value
-        reader = Reader.of(m)
-        for batch in batches:
-            buf, bounds = _vec.text_buffers(batch.column(2))
-            for i, j, b, o in _vec.chunks(buf, bounds, CHUNK):
-                t = Tokens(reader, b, o)
-                base = reader.log_unigram(t.counts)
-                log_p = base
-                if m.levels:
-                    context = t.before(t.ids, reader.end_id)
-                    for n in range(2, len(m.levels) + 2):
-                        node, lp, back = reader.find(n, context, t.ids)
-                        log_p = np.where(np.isnan(lp), back + log_p, lp)
-                        context = t.before(node, -1)
-                sums = [np.add.reduceat(x, t.begin[:-1]) for x in (t.counts > 0, base, log_p)] if j > i else [np.zeros(0)] * 3
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.diff(t.begin)), pa.array(np.asarray(sums[0], np.int64)), pa.array(np.full(j - i, m.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for _, rows in _grouped(batches, 0):
+            uri, where, size = json.loads(rows[0][2])  # shard -1 comes first
+            raw = memoryview(_shared.read_shared(uri))[where : where + size]
+            at, parts = 24, []
+            for k in struct.unpack_from("<qqq", raw):
+                parts.append(unpack(raw[at : at + k]))
+                at += k
+            place, (first, count), (end, doc, null, held, known, base) = parts[0][1], parts[1], parts[2]
+            got: list[list[np.ndarray]] = [[], [], [], []]
+            for _, _, data in rows[1:]:
+                n, g = struct.unpack_from("<ii", data)
+                raw = np.frombuffer(pa.decompress(memoryview(data)[8:], n + 3 * g, codec="zstd", asbytes=True), np.uint8)
+                for k, x in enumerate(np.split(raw, [n, n + g, n + 2 * g])):
+                    got[k].append(x)
+            p3, p2, b2, b3 = (np.concatenate(x) for x in got)
+            gram = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(p3))))
+            below = 10.0 ** (np.log10(count + 0.5) - log_total)
+            two = VALUE[p2] + VALUE[b2] * below
+            here = gram[place]
+            p = two[here]
+            start = np.concatenate([[0], end[:-1]])
+            later = np.ones(len(place), bool)
+            later[start] = False
+            later = np.flatnonzero(later)
+            p[later] = VALUE[p3[place[later - 1]]] + VALUE[b3[here[later - 1]]] * p[later]
+            score = np.add.reduceat(np.log10(p), start)
+            ids = pa.array(doc, pa.int64(), mask=null.astype(bool))
+            cols = [ids, pa.array(held.astype(bool)), pa.array(end - start), pa.array(known), pa.array(np.full(len(end), tokens)), pa.array(base.view(np.float64)), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORES.split(", ")])
+
+    return run
+
+
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+# --------------------------------------------------------------------------------------------------------- operator
+
 
+@dataclass
+class Work:
+    """Texts as units: the written pointers to their tokens, and their n-grams by shard."""
+
+    units: DataFrame
+    merged: DataFrame
+
+
+def prepare(docs: DataFrame, spark: SparkSession, words: Vocabulary, order: int, n_shards: int, folder: str) -> Work:
+    """(doc_id, held_out, text) as units; training rows count in the merged n-grams."""
+    shared = spark.sparkContext.broadcast(words)  # a line per shard
     rows = docs.select("doc_id", "held_out", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    gathered = _shared.written(rows.mapInArrow(_gather(shared, n_shards, order, folder), _UNITS), spark, "trie-units")
+    units = _shared.written(gathered.where("shard < 0"), spark, "trie-pointers")
+    by_shard = gathered.where("shard >= 0").repartition(n_shards, "shard").sortWithinPartitions("shard", "unit")
+    merged = _shared.written(by_shard.mapInArrow(_merge(words.pad), _MERGED), spark, "trie-merged")
+    _shared.discard(gathered)
+    return Work(units, merged)
+
+
+def build(work: Work, spark: SparkSession, words: Vocabulary, order: int, n_shards: int, folder: str) -> Model:
+    """The model of the merged n-grams; its files go to ``folder``."""
+    rows = work.merged.select("ones", "twos", "edges").collect()  # some 20 numbers per shard
+    cuts = {2: discounts(*[sum(r.ones[k] for r in rows) for k in range(4)]), 3: discounts(*[sum(r.twos[k] for r in rows) for k in range(4)])}
+    counts: dict[int, list[int]] = {}
+    for r in rows:
+        for i in range(0, len(r.edges), 5):
+            counts[r.edges[i]] = [a + b for a, b in zip(counts.get(r.edges[i], [0] * 4), r.edges[i + 1 : i + 5], strict=True)]
+    edges = {w: (sum(a * d for a, d in zip(c, cuts[2], strict=False)), c[3]) for w, c in counts.items() if c[3]}
+    files = work.merged.select("shard", "grams").mapInArrow(_write_levels(words.pad, cuts, edges, order, folder), "shard int, uris array<string>")
+    files = _shared.written(files, spark, "trie-files")
+    m = Model(words, order, n_shards, {r.shard: r.uris for r in files.collect()}, {w: int(codes(np.array([a / b]))[0]) for w, (a, b) in edges.items()})
+    _shared.discard(files)
+    return m
+
+
+def answers(work: Work, model: Model, spark: SparkSession) -> DataFrame:
+    """The scores of the units' documents."""
+    shared = spark.sparkContext.broadcast(model)  # a line per shard
+    got = work.merged.select("shard", "grams", "units", "places").mapInArrow(_answer(shared), _UNITS)
+    together = work.units.unionByName(got).repartition("unit").sortWithinPartitions("unit", "shard")
+    return together.mapInArrow(_finish(model.words.tokens, model.words.n_words), SCORES)
+
+
+def shards_for(texts: DataFrame, shard_bytes: int) -> int:
+    size = texts.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(1, -(-int(size) // shard_bytes))
+
+
+def train(texts: DataFrame, spark: SparkSession, order: int = 3, shard_bytes: int = SHARD_BYTES) -> Model:
+    """Builds a model of order 2 or 3 from a column ``text``; its files stay in the shared folder."""
+    _shared.small_batches(spark)
+    folder, tokens = _shared.new_folder(spark, "trie"), _shared.new_folder(spark, "trie-tokens")
+    texts = texts.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(False).alias("held_out"), F.col("text").cast("string").alias("text"))
+    n = shards_for(texts, shard_bytes)
+    words = vocabulary(texts, spark, folder, n)
+    work = prepare(texts, spark, words, order, n, tokens)
+    model = build(work, spark, words, order, n, folder)
+    _shared.discard(work.units, work.merged)
+    _shared.discard_folder(tokens)
+    return model
+
+
+def score(docs: DataFrame, model: Model, spark: SparkSession) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of (doc_id, held_out, text); a written table."""
+    _shared.small_batches(spark)
+    tokens = _shared.new_folder(spark, "trie-tokens")
+    work = prepare(docs, spark, model.words, model.order, model.n_shards, tokens)
+    out = _shared.written(answers(work, model, spark), spark, "scores")
+    _shared.discard(work.units, work.merged)
+    _shared.discard_folder(tokens)
+    return out
 
 
 def held_out(doc_id: Column, parts: int = 5, part: int = 1) -> Column:
@@ -667,6 +784,16 @@ def held_out(doc_id: Column, parts: int = 5, part: int = 1) -> Column:
 
 
 def score_corpus(docs: DataFrame, spark: SparkSession, order: int = 3, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Trains on the documents that are not held out and scores all of them."""
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    return score(base, train(base.where("not held_out"), spark, order, shard_bytes), spark)
+    """Trains on the documents that are not held out and scores all of them; texts are cut into units once for both."""
+    _shared.small_batches(spark)
+    folder, tokens = _shared.new_folder(spark, "trie"), _shared.new_folder(spark, "trie-tokens")
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
+    n = shards_for(base, shard_bytes)
+    words = vocabulary(base.where("not held_out"), spark, folder, n)
+    work = prepare(base, spark, words, order, n, tokens)
+    model = build(work, spark, words, order, n, folder)
+    out = _shared.written(answers(work, model, spark), spark, "scores")
+    _shared.discard(work.units, work.merged)
+    for f in (folder, tokens):
+        _shared.discard_folder(f)
+    return out

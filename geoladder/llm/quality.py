@@ -61,7 +61,7 @@ def cells(buf: np.ndarray, bounds: np.ndarray, dims: int) -> tuple[np.ndarray, n
     capital = lambda b: (b >= 65) & (b <= 90)
     caps = (end - start > 1) & capital(buf[start]) & capital(buf[np.minimum(start + 1, len(buf) - 1)])
     pair = last.astype(np.int64) * 256 + np.where(IS_SIGN[before], before, 0)
-    exact = _vec.Rolling(buf)(start, end)
+    exact = _vec.stretch_hashes(buf, start, end)
     again = np.zeros(len(doc), bool)
     again[1:] = (exact[1:] == exact[:-1]) & (doc[1:] == doc[:-1])
     shape_doc = np.concatenate([doc[signs], doc[caps], doc[again]])
@@ -73,7 +73,7 @@ def cells(buf: np.ndarray, bounds: np.ndarray, dims: int) -> tuple[np.ndarray, n
     far = np.concatenate([[-1], plain])[np.searchsorted(plain, end)]
     a, b = np.minimum(near, end), np.maximum(far + 1, start)
     some = a < b
-    word = (_vec.Rolling(_vec.LOWER[buf])(a[some], b[some]) % U(dims - SHAPES)).astype(np.int64)
+    word = (_vec.stretch_hashes(_vec.LOWER[buf], a[some], b[some]) % U(dims - SHAPES)).astype(np.int64)
     key = np.concatenate([doc[some] * dims + word, shape_doc * dims + shape])
     key, count = np.unique(key, return_counts=True)
     row, cell = key // dims, key % dims

@@ -99,6 +99,9 @@ def pieces(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return at[np.flatnonzero(cut[:n])]
 
 
+piece_hashes = _vec.stretch_hashes
+
+
 class Encoder:
     """The library's encoding of whole texts, with each distinct piece encoded once.
 
@@ -118,24 +121,34 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.main = [np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        # per known piece: hash, first id, number of ids, first byte, number of bytes
+        self.main = [np.zeros(0, U), *[np.zeros(0, np.int64) for _ in range(4)]]
         self.new = [x.copy() for x in self.main]
         self.tokens, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.bytes, self.n_bytes = np.zeros(1 << 18, np.uint8), 0
 
     def _find(self, table, keys):
         i = np.minimum(np.searchsorted(table[0], keys), max(len(table[0]) - 1, 0))
         return (i, table[0][i] == keys) if len(table[0]) else (i, np.zeros(len(keys), bool))
 
-    def _add(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter((x for g in got for x in g), np.uint32, int(n.sum()))
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((x for g in got for x in g), np.uint32, int(n.sum())), n
+
+    def _add(self, keys: np.ndarray, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        raw = buf.tobytes()
+        flat, n = self._library([raw[a : a + k].decode("utf-8", "replace") for a, k in zip(start.tolist(), size.tolist(), strict=True)])
         while self.used + len(flat) > len(self.tokens):
             self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
         self.tokens[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(n) - n
+        whole = int(size.sum())
+        while self.n_bytes + whole > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.n_bytes : self.n_bytes + whole] = buf[_vec.ragged(start, size)]
+        self.new = self._merged(self.new, [keys, self.used + np.cumsum(n) - n, n, self.n_bytes + np.cumsum(size) - size, size])
         self.used += len(flat)
-        self.new = self._merged(self.new, [keys, at, n])
+        self.n_bytes += whole
         if len(self.new[0]) > max(1 << 16, len(self.main[0]) // 4):
             self.main, self.new = self._merged(self.main, self.new), [x[:0] for x in self.new]
 
@@ -147,30 +160,43 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        raw = buf.tobytes()
-        if not self.by_piece or any(x in raw for x in self.added):
-            got = [e.ids for e in self.lib.encode_batch([raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], add_special_tokens=False)]
-            return np.fromiter((x for g in got for x in g), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
+        got = None
+        if self.by_piece:
+            raw = buf.tobytes()
+            if not any(x in raw for x in self.added):
+                got = self._by_piece(buf, bounds)
+        if got is None:
+            raw = buf.tobytes()
+            got = self._library([raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+        return got
+
+    def _by_piece(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``encode``; None if two different pieces have one hash, which byte comparison finds."""
         if len(self.main[0]) + len(self.new[0]) > CACHE_PIECES:
             self.reset()
         start = pieces(buf, bounds)
-        end = np.append(start[1:], len(buf))
-        keys, index, inverse = np.unique(_vec.Rolling(buf)(start, end), return_index=True, return_inverse=True)
+        size = np.append(start[1:], len(buf)) - start
+        keys, index, inverse = np.unique(piece_hashes(buf, start, start + size), return_index=True, return_inverse=True)
+        first, length = start[index], size[index]
+        if not ((size == length[inverse]) & _vec.same_stretches(buf, start, buf, first[inverse], size)).all():
+            return None
         known = self._find(self.main, keys)[1] | self._find(self.new, keys)[1]
         if not known.all():
             miss = np.flatnonzero(~known)
-            self._add(keys[miss], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[index[miss]].tolist(), end[index[miss]].tolist(), strict=True)])
+            self._add(keys[miss], buf, first[miss], length[miss])
         at, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for table in (self.main, self.new):
             i, hit = self._find(table, keys)
-            at[hit], n[hit] = table[1][i[hit]], table[2][i[hit]]
+            i = i[hit]
+            if not ((table[4][i] == length[hit]) & _vec.same_stretches(buf, first[hit], self.bytes, table[3][i], length[hit])).all():
+                return None
+            at[hit], n[hit] = table[1][i], table[2][i]
         counts = n[inverse]
         ids = self.tokens[_vec.ragged(at[inverse], counts)]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        per_text = np.diff(ends[np.searchsorted(start, bounds)])
-        return ids, per_text
+        return ids, np.diff(ends[np.searchsorted(start, bounds)])
 
 
 def encoder(spec: str) -> Encoder:

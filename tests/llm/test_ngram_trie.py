@@ -89,7 +89,7 @@ def test_elias_fano():
         v = np.sort(r.choice(u, n, replace=False) if u < 10**7 else np.unique(r.integers(0, u, n))).astype(np.int64)
         head, parts = nt.ef_bytes(v, u)
         a = [np.frombuffer(x, np.uint8) for x in parts]
-        e = nt.EliasFano(head["n"], head["width"], a[0], nt.Bits(a[1].view("<u8"), a[2].view("<u4"), a[3].view("<u4")))
+        e = nt.EliasFano(head["n"], head["width"], a[0], nt.Bits(a[1].view("<u8"), a[2].view(head["kind"]), a[3].view(head["kind"])))
         assert e.get(np.arange(len(v))).tolist() == v.tolist()
         if len(v) > 1:
             a, b = e.pair(np.arange(len(v) - 1))
