@@ -7,6 +7,7 @@ executor or a task that runs twice leaves nothing behind that a reader could pic
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -111,6 +112,12 @@ def discard_folder(folder: str) -> None:
         fs.delete_dir(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bounds the Arrow batches that Python workers get by bytes, since texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))

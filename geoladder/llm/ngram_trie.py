@@ -20,7 +20,8 @@ equal upper halves, in which lower halves are compared. Everything is vectorised
 
 *Scoring.* Queries go to the shards, not the model to the queries: a shard opens its own two files, looks each distinct
 n-gram up once and answers every unit that has it. A unit has meanwhile left its tokens' places in its list of n-grams in
-the shared folder, and its answers are added up along them. So a task maps one shard, or the vocabulary.
+the shared folder, and its answers are added up along them. So a task maps one shard
+and the vocabulary.
 
 Sizes: ``shard_bytes`` of text per shard bounds what one task merges and builds (some 30 bytes a token); a unit is
 ``UNIT`` bytes of text, or one longer text. The driver holds a line per shard (about 200 bytes).
@@ -51,6 +52,8 @@ END = U(0x5851F42D4C957F2D)
 SHARD_BYTES = 8 << 20
 #: Quantised logs: 0 is log10 = 0, each step is this much less; the last code stands for no probability.
 STEP, NONE = 0.04, 255
+#: The step of the bigrams' logs in answers, which are 16 bits.
+FINE = 0.001
 SAMPLE_BITS = 3
 SAMPLE = 1 << SAMPLE_BITS
 #: Bytes of text of a unit.
@@ -392,16 +395,28 @@ class Words:
             s = int(shard[a])
             if not v.uri or not v.uri[s]:
                 continue
-            if s not in self.files:
-                raw = np.frombuffer(_shared.read_shared(v.uri[s]), "<u8")
-                self.files[s] = np.split(raw, 3)
-            known, c, t = self.files[s]
+            known, c, t = self._file(s)
             i = np.minimum(np.searchsorted(known, hashes[a:b]), len(known) - 1)
             hit = np.flatnonzero(known[i] == hashes[a:b])
             i = i[hit]
             ids[a + hit], counts[a + hit], before[a + hit] = v.first[s] + i, c[i].astype(np.int64), v.before[s] + t[i].astype(np.int64)
         return ids, counts, before
 
+    def _file(self, s: int) -> list[np.ndarray]:
+        if s not in self.files:
+            self.files[s] = np.split(np.frombuffer(_shared.read_shared(self.v.uri[s]), "<u8"), 3)
+        return self.files[s]
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of words by id; 0 for the pad and the unknown word."""
+        own, at = np.unique(ids, return_inverse=True)
+        out = np.zeros(len(own), np.int64)
+        cut = np.searchsorted(own, [*self.v.first, self.v.n_words])
+        for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            if a < b:
+                out[a:b] = self._file(s)[1][own[a:b] - self.v.first[s]].astype(np.int64)
+        return out[at]
+
 
 RUNS = "shard int, data binary"
 
@@ -485,8 +500,8 @@ _UNITS = "unit bigint, shard int, data binary"
 
 
 def _gather(shared, n_shards: int, order: int, folder: str):
-    """Per unit a row for each shard with its distinct n-grams and their counts in training rows, and one (shard -1) that
-    says where its tokens' places among them and all else that its scores need are kept."""
+    """Per unit a row for each shard with its distinct n-grams and their counts in training rows, and one (with a negative
+    shard) that says where its tokens' places among them and all else that its scores need are kept."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -530,7 +545,7 @@ def _gather(shared, n_shards: int, order: int, folder: str):
                 mass = earlier[x] + count[x].astype(np.float64) * earlier[y] / max(v.tokens, 1)
                 shard = np.minimum((mass * n_shards / max(v.tokens, 1)).astype(np.int64), n_shards - 1)
                 doc = batch.column(0).slice(i, j - i)
-                parts = [pack(np.arange(len(place)), place), pack(np.flatnonzero(gram), count[y[gram]]), pack(end, np.asarray(doc.fill_null(0)).astype(np.int64), np.asarray(doc.is_null()), held, sums[0], sums[1].view(np.int64))]
+                parts = [pack(np.arange(len(place)), place), pack(np.flatnonzero(gram)), pack(end, np.asarray(doc.fill_null(0)).astype(np.int64), np.asarray(doc.is_null()), held, sums[0], sums[1].view(np.int64))]
                 where = tokens.write(b"".join([struct.pack("<qqq", *map(len, parts)), *parts]))
                 pointers.append((unit, where, tokens.size - where))
                 cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
@@ -540,12 +555,13 @@ def _gather(shared, n_shards: int, order: int, folder: str):
         uri = tokens.close()
         if pointers:
             data = [json.dumps([uri, a, s]).encode() for _, a, s in pointers]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pointers], pa.int64()), pa.array(np.full(len(data), -1, np.int32)), pa.array(data, pa.binary())], ["unit", "shard", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pointers], pa.int64()), pa.array([-1 - p[0] % n_shards for p in pointers], pa.int32()), pa.array(data, pa.binary())], ["unit", "shard", "data"])
 
     return run
 
 
-_MERGED = "shard int, grams binary, units binary, places binary, ones array<bigint>, twos array<bigint>, edges array<bigint>"
+_MERGED = "shard int, unit bigint, pointer binary, grams binary, units binary, places binary, ones array<bigint>, twos array<bigint>, edges array<bigint>"
+_MERGED_NAMES = [x.split()[0] for x in _MERGED.split(", ")]
 
 
 def _levels(x: np.ndarray, y: np.ndarray, z: np.ndarray, times: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -561,10 +577,14 @@ def _levels(x: np.ndarray, y: np.ndarray, z: np.ndarray, times: np.ndarray, pad:
 
 def _merge(pad: int):
     """Per shard: all units' n-grams with their counts, each unit's places among them, counts of counts, and what the
-    words at its edges are followed by."""
+    words at its edges are followed by. Units' own rows are handed on."""
 
     def run(batches):
         for shard, rows in _grouped(batches, 1):
+            if shard < 0:
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), *[pa.nulls(n, pa.binary())] * 3, *[pa.nulls(n, pa.list_(pa.int64()))] * 3], _MERGED_NAMES)
+                continue
             runs = [unpack(r[2]) for r in rows]
             sizes = np.array([len(r[0]) for r in runs])
             units = np.array([r[0] for r in rows])
@@ -585,8 +605,8 @@ def _merge(pad: int):
             order = np.argsort(units)  # a packed column must ascend
             data = pack(units[order], sizes[order], (np.cumsum(sizes) - sizes)[order])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([pack(x, y, z, times)], pa.binary()), pa.array([data], pa.binary()), pa.array([pack(np.arange(len(place)), place)], pa.binary()), *[pa.array([e], pa.list_(pa.int64())) for e in (*counts, edges)]],
-                ["shard", "grams", "units", "places", "ones", "twos", "edges"],
+                [pa.array([shard], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack(x, y, z, times)], pa.binary()), pa.array([data], pa.binary()), pa.array([pack(np.arange(len(place)), place)], pa.binary()), *[pa.array([e], pa.list_(pa.int64())) for e in (*counts, edges)]],
+                _MERGED_NAMES,
             )
 
     return run
@@ -626,10 +646,13 @@ def _write_levels(pad: int, cuts: dict[int, tuple], edges: dict[int, float], ord
 
 
 def _answer(shared):
-    """Per unit and shard: the codes of each of its n-grams, and of each of its bigrams."""
+    """Per unit and shard: the code of each of its trigrams, and of each of its bigrams the log probability in steps of
+    ``FINE`` and the back-off code."""
 
     def run(batches):
         m: Model = shared.value
+        words = Words.of(m.words)
+        log_total = math.log10(m.words.tokens + 0.5 * (m.words.n_words + 1))
         for batch in batches:
             for shard, grams, units, places in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
                 x, y, z, _ = unpack(grams.as_buffer())
@@ -649,40 +672,41 @@ def _answer(shared):
                 # words at the shard's edges, of whose successors others may have some or all
                 for w in {int(x[0]), int(x[-1])} & m.edges.keys():
                     b2[x[first] == w] = m.edges[w]
+                p2 = VALUE[p2] + VALUE[b2] * 10.0 ** (np.log10(words.counts(y[first]) + 0.5) - log_total)
+                p2 = np.rint(np.log10(p2) / -FINE).astype("<u2")
                 index = unpack(places.as_buffer())[1]
                 for u, size, at in zip(*(c.tolist() for c in unpack(units.as_buffer())), strict=True):
                     rows = index[at : at + size]
                     g = gram[rows]
                     g = g[np.append(True, g[1:] != g[:-1])]
-                    data = pa.compress(b"".join([p3[rows].tobytes(), p2[g].tobytes(), b2[g].tobytes(), b3[g].tobytes()]), codec="zstd", asbytes=True)
+                    data = pa.compress(b"".join([p3[rows].tobytes(), b3[g].tobytes(), *[np.ascontiguousarray(x).tobytes() for x in p2[g].view(np.uint8).reshape(-1, 2).T]]), codec="zstd", asbytes=True)
                     yield pa.RecordBatch.from_arrays([pa.array([u], pa.int64()), pa.array([shard], pa.int32()), pa.array([struct.pack("<ii", size, len(g)) + data], pa.binary())], ["unit", "shard", "data"])
 
     return run
 
 
-def _finish(tokens: int, n_words: int):
+def _finish(tokens: int):
     """Adds a unit's answers up along its tokens."""
-    log_total = math.log10(tokens + 0.5 * (n_words + 1))
 
     def run(batches):
         for _, rows in _grouped(batches, 0):
-            uri, where, size = json.loads(rows[0][2])  # shard -1 comes first
+            uri, where, size = json.loads(rows[0][2])  # a negative shard comes first
             raw = memoryview(_shared.read_shared(uri))[where : where + size]
             at, parts = 24, []
             for k in struct.unpack_from("<qqq", raw):
                 parts.append(unpack(raw[at : at + k]))
                 at += k
-            place, (first, count), (end, doc, null, held, known, base) = parts[0][1], parts[1], parts[2]
-            got: list[list[np.ndarray]] = [[], [], [], []]
+            place, (first,), (end, doc, null, held, known, base) = parts[0][1], parts[1], parts[2]
+            got: list[list[np.ndarray]] = [[], [], []]
             for _, _, data in rows[1:]:
                 n, g = struct.unpack_from("<ii", data)
                 raw = np.frombuffer(pa.decompress(memoryview(data)[8:], n + 3 * g, codec="zstd", asbytes=True), np.uint8)
-                for k, x in enumerate(np.split(raw, [n, n + g, n + 2 * g])):
-                    got[k].append(x)
-            p3, p2, b2, b3 = (np.concatenate(x) for x in got)
+                got[0].append(raw[:n])
+                got[1].append(raw[n : n + g])
+                got[2].append(raw[n + g : n + 2 * g].astype(np.uint16) | raw[n + 2 * g :].astype(np.uint16) << 8)
+            p3, b3, p2 = (np.concatenate(x) for x in got)
             gram = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(p3))))
-            below = 10.0 ** (np.log10(count + 0.5) - log_total)
-            two = VALUE[p2] + VALUE[b2] * below
+            two = 10.0 ** (-FINE * p2)
             here = gram[place]
             p = two[here]
             start = np.concatenate([[0], end[:-1]])
@@ -704,48 +728,39 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 # --------------------------------------------------------------------------------------------------------- operator
 
 
-@dataclass
-class Work:
-    """Texts as units: the written pointers to their tokens, and their n-grams by shard."""
-
-    units: DataFrame
-    merged: DataFrame
-
-
-def prepare(docs: DataFrame, spark: SparkSession, words: Vocabulary, order: int, n_shards: int, folder: str) -> Work:
-    """(doc_id, held_out, text) as units; training rows count in the merged n-grams."""
+def prepare(docs: DataFrame, spark: SparkSession, words: Vocabulary, order: int, n_shards: int, folder: str) -> DataFrame:
+    """(doc_id, held_out, text) as units: a written table of pointers to their tokens (shard < 0) and of the merged n-grams
+    by shard, in which training rows count."""
     shared = spark.sparkContext.broadcast(words)  # a line per shard
     rows = docs.select("doc_id", "held_out", F.col("text").cast("string").alias("text"))
-    gathered = _shared.written(rows.mapInArrow(_gather(shared, n_shards, order, folder), _UNITS), spark, "trie-units")
-    units = _shared.written(gathered.where("shard < 0"), spark, "trie-pointers")
-    by_shard = gathered.where("shard >= 0").repartition(n_shards, "shard").sortWithinPartitions("shard", "unit")
-    merged = _shared.written(by_shard.mapInArrow(_merge(words.pad), _MERGED), spark, "trie-merged")
-    _shared.discard(gathered)
-    return Work(units, merged)
+    gathered = rows.mapInArrow(_gather(shared, n_shards, order, folder), _UNITS)
+    by_shard = gathered.repartition(n_shards, "shard").sortWithinPartitions("shard", "unit")
+    return _shared.written(by_shard.mapInArrow(_merge(words.pad), _MERGED), spark, "trie-merged")
 
 
-def build(work: Work, spark: SparkSession, words: Vocabulary, order: int, n_shards: int, folder: str) -> Model:
+def build(work: DataFrame, spark: SparkSession, words: Vocabulary, order: int, n_shards: int, folder: str) -> Model:
     """The model of the merged n-grams; its files go to ``folder``."""
-    rows = work.merged.select("ones", "twos", "edges").collect()  # some 20 numbers per shard
+    merged = work.where("shard >= 0")
+    rows = merged.select("ones", "twos", "edges").collect()  # some 20 numbers per shard
     cuts = {2: discounts(*[sum(r.ones[k] for r in rows) for k in range(4)]), 3: discounts(*[sum(r.twos[k] for r in rows) for k in range(4)])}
     counts: dict[int, list[int]] = {}
     for r in rows:
         for i in range(0, len(r.edges), 5):
             counts[r.edges[i]] = [a + b for a, b in zip(counts.get(r.edges[i], [0] * 4), r.edges[i + 1 : i + 5], strict=True)]
     edges = {w: (sum(a * d for a, d in zip(c, cuts[2], strict=False)), c[3]) for w, c in counts.items() if c[3]}
-    files = work.merged.select("shard", "grams").mapInArrow(_write_levels(words.pad, cuts, edges, order, folder), "shard int, uris array<string>")
+    files = merged.select("shard", "grams").mapInArrow(_write_levels(words.pad, cuts, edges, order, folder), "shard int, uris array<string>")
     files = _shared.written(files, spark, "trie-files")
     m = Model(words, order, n_shards, {r.shard: r.uris for r in files.collect()}, {w: int(codes(np.array([a / b]))[0]) for w, (a, b) in edges.items()})
     _shared.discard(files)
     return m
 
 
-def answers(work: Work, model: Model, spark: SparkSession) -> DataFrame:
+def answers(work: DataFrame, model: Model, spark: SparkSession) -> DataFrame:
     """The scores of the units' documents."""
     shared = spark.sparkContext.broadcast(model)  # a line per shard
-    got = work.merged.select("shard", "grams", "units", "places").mapInArrow(_answer(shared), _UNITS)
-    together = work.units.unionByName(got).repartition("unit").sortWithinPartitions("unit", "shard")
-    return together.mapInArrow(_finish(model.words.tokens, model.words.n_words), SCORES)
+    got = work.where("shard >= 0").select("shard", "grams", "units", "places").mapInArrow(_answer(shared), _UNITS)
+    units = work.where("shard < 0").select("unit", "shard", F.col("pointer").alias("data"))
+    return units.unionByName(got).repartition("unit").sortWithinPartitions("unit", "shard").mapInArrow(_finish(model.words.tokens), SCORES)
 
 
 def shards_for(texts: DataFrame, shard_bytes: int) -> int:
@@ -761,8 +776,9 @@ def train(texts: DataFrame, spark: SparkSession, order: int = 3, shard_bytes: in
     n = shards_for(texts, shard_bytes)
     words = vocabulary(texts, spark, folder, n)
     work = prepare(texts, spark, words, order, n, tokens)
+    _shared.release(spark)
     model = build(work, spark, words, order, n, folder)
-    _shared.discard(work.units, work.merged)
+    _shared.discard(work)
     _shared.discard_folder(tokens)
     return model
 
@@ -773,7 +789,7 @@ def score(docs: DataFrame, model: Model, spark: SparkSession) -> DataFrame:
     tokens = _shared.new_folder(spark, "trie-tokens")
     work = prepare(docs, spark, model.words, model.order, model.n_shards, tokens)
     out = _shared.written(answers(work, model, spark), spark, "scores")
-    _shared.discard(work.units, work.merged)
+    _shared.discard(work)
     _shared.discard_folder(tokens)
     return out
 
@@ -791,9 +807,10 @@ def score_corpus(docs: DataFrame, spark: SparkSession, order: int = 3, shard_byt
     n = shards_for(base, shard_bytes)
     words = vocabulary(base.where("not held_out"), spark, folder, n)
     work = prepare(base, spark, words, order, n, tokens)
+    _shared.release(spark)
     model = build(work, spark, words, order, n, folder)
     out = _shared.written(answers(work, model, spark), spark, "scores")
-    _shared.discard(work.units, work.merged)
+    _shared.discard(work)
     for f in (folder, tokens):
         _shared.discard_folder(f)
     return out
