@@ -105,6 +105,11 @@ def discard(*tables: DataFrame) -> None:
         fs.delete_dir(path)
 
 
+def delete_file(uri: str) -> None:
+    fs, path = open_fs(uri)
+    fs.delete_file(path)
+
+
 def discard_folder(folder: str) -> None:
     """Deletes a folder of task files that nothing will read any more; it may never have been made."""
     fs, path = open_fs(folder)

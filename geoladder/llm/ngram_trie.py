@@ -57,7 +57,7 @@ FINE = 0.001
 SAMPLE_BITS = 3
 SAMPLE = 1 << SAMPLE_BITS
 #: Bytes of text of a unit.
-UNIT = 3 << 20
+UNIT = 6 << 20
 #: Distinct words that a task gathers before it sends them.
 GATHER = 1_000_000
 
@@ -619,35 +619,52 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
-def _write_levels(pad: int, cuts: dict[int, tuple], edges: dict[int, float], order: int, folder: str):
+@dataclass
+class Statistics:
+    """Of the whole corpus: the discounts of each level, and of the words at shards' edges the sums of discounts and counts."""
+
+    cuts: dict[int, tuple]
+    edges: dict[int, tuple[float, int]]
+
+    def codes(self) -> dict[int, int]:
+        return {w: int(codes(np.array([a / b]))[0]) for w, (a, b) in self.edges.items()}
+
+
+def write_levels(shard: int, grams: list[np.ndarray], pad: int, of: Statistics, order: int, folder: str) -> list[str]:
+    """Writes a shard's levels from its merged n-grams; returns the files (none without any n-gram)."""
+    x, y, z, times = grams
+    two, c2, three, parent = _levels(x, y, z, times, pad)
+    if not len(two):
+        return []
+    context, word, low = x[two], y[two], int(x[two[0]])
+    n = int(context[-1]) - low + 1
+    off = np.array([0.0, *of.cuts[2]])[np.minimum(c2, 3)]
+    total, weight = np.bincount(context - low, c2, n), np.bincount(context - low, off, n)
+    for w in {low, low + n - 1} & of.edges.keys():
+        weight[w - low], total[w - low] = of.edges[w]
+    name = f"{shard:06d}-{_shared.attempt()}.trie"
+    uris = [shard_file(folder, f"level2-{name}", context, word, low, n, codes((c2 - off) / total[context - low]), codes(weight / np.maximum(total, 1)))]
+    if order > 2:
+        c3 = times[three]
+        off = np.array([0.0, *of.cuts[3]])[np.minimum(c3, 3)]
+        total, weight = np.bincount(parent, c3, len(two)), np.bincount(parent, off, len(two))
+        uris.append(shard_file(folder, f"level3-{name}", parent, z[three], 0, len(two), codes((c3 - off) / total[parent]), codes(np.where(total > 0, weight / np.maximum(total, 1), 1.0))))
+    return uris
+
+
+def _write_levels(pad: int, of: Statistics, order: int, folder: str):
     def run(batches):
         for batch in batches:
             for shard, grams in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x, y, z, times = unpack(grams.as_buffer())
-                two, c2, three, parent = _levels(x, y, z, times, pad)
-                if not len(two):
-                    continue
-                context, word, low = x[two], y[two], int(x[two[0]])
-                n = int(context[-1]) - low + 1
-                off = np.array([0.0, *cuts[2]])[np.minimum(c2, 3)]
-                total, weight = np.bincount(context - low, c2, n), np.bincount(context - low, off, n)
-                for w in {low, low + n - 1} & edges.keys():
-                    weight[w - low], total[w - low] = edges[w]
-                name = f"{shard:06d}-{_shared.attempt()}.trie"
-                uris = [shard_file(folder, f"level2-{name}", context, word, low, n, codes((c2 - off) / total[context - low]), codes(weight / np.maximum(total, 1)))]
-                if order > 2:
-                    c3 = times[three]
-                    off = np.array([0.0, *cuts[3]])[np.minimum(c3, 3)]
-                    total, weight = np.bincount(parent, c3, len(two)), np.bincount(parent, off, len(two))
-                    uris.append(shard_file(folder, f"level3-{name}", parent, z[three], 0, len(two), codes((c3 - off) / total[parent]), codes(np.where(total > 0, weight / np.maximum(total, 1), 1.0))))
+                uris = write_levels(shard, unpack(grams.as_buffer()), pad, of, order, folder)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uris], pa.list_(pa.string()))], ["shard", "uris"])
 
     return run
 
 
-def _answer(shared):
+def _answer(shared, of: Statistics | None, folder: str):
     """Per unit and shard: the code of each of its trigrams, and of each of its bigrams the log probability in steps of
-    ``FINE`` and the back-off code."""
+    ``FINE`` and the back-off code. Without files of the model's, a shard's are made on the spot and deleted when it has answered."""
 
     def run(batches):
         m: Model = shared.value
@@ -655,10 +672,11 @@ def _answer(shared):
         log_total = math.log10(m.words.tokens + 0.5 * (m.words.n_words + 1))
         for batch in batches:
             for shard, grams, units, places in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
-                x, y, z, _ = unpack(grams.as_buffer())
+                x, y, z, times = unpack(grams.as_buffer())
+                uri = m.uri.get(shard) if of is None else write_levels(shard, [x, y, z, times], m.words.pad, of, m.order, folder)
+                del times
                 first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
                 gram = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
-                uri = m.uri.get(shard)
                 p2, b2, b3 = np.full(len(first), NONE, np.uint8), np.zeros(len(first), np.uint8), np.zeros(len(first), np.uint8)
                 p3 = np.full(len(x), NONE, np.uint8)
                 if uri:
@@ -669,6 +687,9 @@ def _answer(shared):
                         _, p3[rows], _ = level.find(node[gram[rows]], z[rows])
                         known = node >= 0
                         b3[known] = level.backoff[node[known]]
+                if of is not None:
+                    for u in uri:
+                        _shared.delete_file(u)
                 # words at the shard's edges, of whose successors others may have some or all
                 for w in {int(x[0]), int(x[-1])} & m.edges.keys():
                     b2[x[first] == w] = m.edges[w]
@@ -738,27 +759,30 @@ def prepare(docs: DataFrame, spark: SparkSession, words: Vocabulary, order: int,
     return _shared.written(by_shard.mapInArrow(_merge(words.pad), _MERGED), spark, "trie-merged")
 
 
-def build(work: DataFrame, spark: SparkSession, words: Vocabulary, order: int, n_shards: int, folder: str) -> Model:
-    """The model of the merged n-grams; its files go to ``folder``."""
-    merged = work.where("shard >= 0")
-    rows = merged.select("ones", "twos", "edges").collect()  # some 20 numbers per shard
+def statistics(work: DataFrame) -> Statistics:
+    rows = work.where("shard >= 0").select("ones", "twos", "edges").collect()  # some 20 numbers per shard
     cuts = {2: discounts(*[sum(r.ones[k] for r in rows) for k in range(4)]), 3: discounts(*[sum(r.twos[k] for r in rows) for k in range(4)])}
     counts: dict[int, list[int]] = {}
     for r in rows:
         for i in range(0, len(r.edges), 5):
             counts[r.edges[i]] = [a + b for a, b in zip(counts.get(r.edges[i], [0] * 4), r.edges[i + 1 : i + 5], strict=True)]
-    edges = {w: (sum(a * d for a, d in zip(c, cuts[2], strict=False)), c[3]) for w, c in counts.items() if c[3]}
-    files = merged.select("shard", "grams").mapInArrow(_write_levels(words.pad, cuts, edges, order, folder), "shard int, uris array<string>")
+    return Statistics(cuts, {w: (sum(a * d for a, d in zip(c, cuts[2], strict=False)), c[3]) for w, c in counts.items() if c[3]})
+
+
+def build(work: DataFrame, spark: SparkSession, words: Vocabulary, order: int, n_shards: int, folder: str) -> Model:
+    """The model of the merged n-grams; its files go to ``folder``."""
+    of = statistics(work)
+    files = work.where("shard >= 0").select("shard", "grams").mapInArrow(_write_levels(words.pad, of, order, folder), "shard int, uris array<string>")
     files = _shared.written(files, spark, "trie-files")
-    m = Model(words, order, n_shards, {r.shard: r.uris for r in files.collect()}, {w: int(codes(np.array([a / b]))[0]) for w, (a, b) in edges.items()})
+    m = Model(words, order, n_shards, {r.shard: r.uris for r in files.collect()}, of.codes())
     _shared.discard(files)
     return m
 
 
-def answers(work: DataFrame, model: Model, spark: SparkSession) -> DataFrame:
-    """The scores of the units' documents."""
+def answers(work: DataFrame, model: Model, spark: SparkSession, of: Statistics | None = None, folder: str = "") -> DataFrame:
+    """The scores of the units' documents. With ``of``, of a model of the same n-grams whose files are not kept."""
     shared = spark.sparkContext.broadcast(model)  # a line per shard
-    got = work.where("shard >= 0").select("shard", "grams", "units", "places").mapInArrow(_answer(shared), _UNITS)
+    got = work.where("shard >= 0").select("shard", "grams", "units", "places").mapInArrow(_answer(shared, of, folder), _UNITS)
     units = work.where("shard < 0").select("unit", "shard", F.col("pointer").alias("data"))
     return units.unionByName(got).repartition("unit").sortWithinPartitions("unit", "shard").mapInArrow(_finish(model.words.tokens), SCORES)
 
@@ -800,7 +824,8 @@ def held_out(doc_id: Column, parts: int = 5, part: int = 1) -> Column:
 
 
 def score_corpus(docs: DataFrame, spark: SparkSession, order: int = 3, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Trains on the documents that are not held out and scores all of them; texts are cut into units once for both."""
+    """Trains on the documents that are not held out and scores all of them; texts are cut into units once for both, and a
+    shard's files live only as long as it answers. ``train`` and ``score`` keep the model."""
     _shared.small_batches(spark)
     folder, tokens = _shared.new_folder(spark, "trie"), _shared.new_folder(spark, "trie-tokens")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
@@ -808,8 +833,9 @@ def score_corpus(docs: DataFrame, spark: SparkSession, order: int = 3, shard_byt
     words = vocabulary(base.where("not held_out"), spark, folder, n)
     work = prepare(base, spark, words, order, n, tokens)
     _shared.release(spark)
-    model = build(work, spark, words, order, n, folder)
-    out = _shared.written(answers(work, model, spark), spark, "scores")
+    of = statistics(work)
+    model = Model(words, order, n, {}, of.codes())
+    out = _shared.written(answers(work, model, spark, of, folder), spark, "scores")
     _shared.discard(work)
     for f in (folder, tokens):
         _shared.discard_folder(f)

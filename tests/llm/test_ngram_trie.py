@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoladder.llm import ngram_trie as nt
 
@@ -76,6 +77,20 @@ def test_against_brute_force(spark, order, shard):
     assert abs(sum(g[6] for g in got) - sum(w[6] for w in want)) < 0.01 * abs(sum(w[6] for w in want))
 
 
+def test_kept_model(spark):
+    """A model that is kept gives other texts the scores that one run over both gives; common words span several shards."""
+    rows = made(80, 3) + [(9100 + i, "w1 " + "w%d w1 " % i) for i in range(60)]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    schema = "doc_id bigint, text string"
+    model = nt.train(spark.createDataFrame([x for x in rows if not held(x[0])], schema), spark, 3, 200)
+    assert len({s for s, u in model.uri.items() if u}) > 8
+    df = spark.createDataFrame(rows, schema).withColumn("held_out", nt.held_out(F.col("doc_id")))
+    key = lambda x: (x[0] is None, x[0] or 0, x[2])
+    got, want = sorted(map(tuple, nt.score(df, model, spark).collect()), key=key), sorted(brute(rows, 3), key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert all(abs(g[6] - w[6]) <= g[2] * 0.05 + 1e-6 for g, w in zip(got, want))
+
+
 def test_no_training_rows(spark):
     d = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     got = nt.score_corpus(spark.createDataFrame([(d, "a b")], "doc_id bigint, text string"), spark).collect()
