@@ -138,6 +138,18 @@ def rehashed(*cols: str) -> Column:
     return F.xxhash64(*cols, F.lit(0x5EED))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have, whatever the case they are compared in."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(col: Column) -> Column:
     """The text's bytes, null counted as empty."""
     return F.coalesce(col, F.lit("")).cast("binary")

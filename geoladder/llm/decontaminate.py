@@ -4,26 +4,27 @@ Texts are lower-cased and cut into words. A window is as many words as the item
 at the document's ends). Window and item are compared as multisets of five-word shingles (one of all words for shorter
 items); from a weighted Jaccard similarity of ``similarity`` on, the document holds the item.
 
-A window that reaches the similarity has at least that share of an item's number of shingles in common with it. So the
-places of shingles that items of a size have are gathered by document, and windows are made at every start, from before
-the document's first word to its last one, that has so many of them; at any other start the similarity is lower.
-Each window gets a 64-bit SimHash, the majority of its shingles' hashes bit by bit, repeats counted. Fingerprints are
+Pre-selection: a window that reaches the similarity has at least that share of an item's number of shingles in common with
+it. So the places of shingles that any item of a size has are gathered by document, whatever item they come from, and a
+window is fingerprinted at every start, from before the document's first word to its last one, that has so many of them;
+at any other start the similarity is lower, so nothing is lost. (Without it, each word of the corpus would begin a window
+per item size: some 45 fingerprints of 64 bits a word, each looked up by eight blocks.) What a window may hold, and which
+item, is found by the fingerprints alone. Each window gets a 64-bit SimHash, the majority of its shingles' hashes bit by bit, repeats counted. Fingerprints are
 searched by eight blocks of eight bits: if two differ in at most 23 bits, some block differs in at most 2, so the items'
 blocks are stored with all their neighbours within 2 bits, and an equi-join on (size, block, value) finds every item
 within the radius. At similarity 0.8 the expected distance is 10 bits with a deviation of 3. Candidates within the
 radius are then compared exactly.
 
 Documents are read twice: for the places, and for the windows of documents that have any. ``leaks`` reports the best of
-all windows as ``similarity``. Its ``windows`` counts those of them that put an equal run of words at the item's place; it
-is 0 where only others hold the item.
+all windows as ``similarity`` and their number as ``windows``.
 
-Only DataFrame and SQL functions are used. The starts, which are written, and the items' shingles and blocks are broadcast if they are at most
-``broadcast_rows`` rows, which is counted first; more are shuffled.
+Only DataFrame and SQL functions are used. The starts, which are written, and the items' shingles and blocks are broadcast
+if they hold at most ``broadcast_rows`` numbers, which are counted first; more are shuffled.
 
 Defined results: null texts are empty; items without words match nothing; ``leaks`` leaves out items with a null id, as
 the SQL does, and ``clean`` removes what holds them; rows that are repeated, or
 share a doc_id, are flagged together in ``leaks`` and one by one in ``clean``; an empty benchmark flags nothing; an empty
-table gives no rows; other columns stay as they are.
+table gives no rows; other columns stay as they are, whatever their names; very long texts are one row like others.
 """
 
 from __future__ import annotations
@@ -76,9 +77,10 @@ def items(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
     return i.select("item_key", "item_id", F.size("ws").alias("size"), shingles(F.col("ws"), k).alias("hashes")).withColumn("fingerprint", simhash(F.col("hashes")))
 
 
-def _bounded(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast, if it is counted to be small."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _bounded(df: DataFrame, limit: int, array: str | None = None) -> DataFrame:
+    """Broadcast, if it is counted to be small: its rows, or the entries of its arrays."""
+    size = df.limit(limit + 1).agg(F.count("*") if array is None else F.sum(F.size(array)) + F.count("*")).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def starts_of(places: Column, most: Column, need: Column) -> Column:
@@ -95,12 +97,12 @@ def starts_of(places: Column, most: Column, need: Column) -> Column:
 
 
 def found(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, similarity: float = SIMILARITY, k: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, text_key, item_id, start, similarity, aligned of every window that holds an item."""
+    """doc_id, text_key, item_id, start, similarity of every window that holds an item."""
     item = items(benchmark, k)
     at = _bounded(item.select("size", F.least("size", F.lit(k)).alias("n"), F.explode("hashes").alias("shingle")).distinct(), broadcast_rows)
     lengths = [r.n for r in at.select("n").distinct().collect()]  # at most k numbers
     if not lengths:
-        return spark.createDataFrame([], "doc_id bigint, text_key bigint, item_id bigint, start int, similarity double, aligned boolean")
+        return spark.createDataFrame([], "doc_id bigint, text_key bigint, item_id bigint, start int, similarity double")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), words(F.col("text")).alias("ws"))
     hits = None
     for n in sorted(lengths):
@@ -112,12 +114,12 @@ def found(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, similarity
     need = F.greatest(F.ceil(most * F.lit(similarity) - 1e-6).cast("int"), F.lit(1))
     starts = hits.groupBy("doc_id", "text_key", "size", "n").agg(F.sort_array(F.collect_set("i")).alias("places"))
     starts = starts.select(F.col("doc_id").alias("s_doc"), F.col("text_key").alias("s_text"), "size", "n", starts_of(F.col("places"), most, need).alias("starts")).where(F.size("starts") > 0)
-    starts = _bounded(_shared.written(starts, spark, "leak-starts"), broadcast_rows)
+    starts = _bounded(_shared.written(starts, spark, "leak-starts"), broadcast_rows, "starts")
     windows = base.join(starts, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("text_key") == F.col("s_text")))
     windows = windows.withColumn("all", F.transform(F.sequence(F.lit(0), F.size("ws") - F.col("n")), lambda i: F.xxhash64(F.slice("ws", i + 1, F.col("n")))))
     windows = windows.select("doc_id", "text_key", "size", most.alias("most"), "all", F.explode("starts").alias("start")).withColumn("first", F.greatest("start", F.lit(0)))
     # slice() ends with the array, as the window does with the document
-    windows = windows.select("doc_id", "text_key", "size", "start", (F.col("first") - F.col("start")).alias("cut"), F.slice("all", F.col("first") + 1, F.col("most") + F.col("start") - F.col("first")).alias("hashes"))
+    windows = windows.select("doc_id", "text_key", "size", "start", F.slice("all", F.col("first") + 1, F.col("most") + F.col("start") - F.col("first")).alias("hashes"))
     windows = windows.withColumn("fingerprint", simhash(F.col("hashes")))
 
     near = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda m: F.bit_count(m) <= NEAR)
@@ -127,24 +129,23 @@ def found(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, similarity
     differ = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
     # a pair that several blocks find counts at the first of them
     earlier = F.exists(block_values(differ), lambda b: (b["block"] < F.col("block")) & (F.bit_count(b["value"]) <= NEAR))
-    pairs = pairs.where((F.bit_count(differ) <= RADIUS) & ~earlier).select("doc_id", "text_key", "start", "cut", "hashes", "item_key")
+    pairs = pairs.where((F.bit_count(differ) <= RADIUS) & ~earlier).select("doc_id", "text_key", "start", "hashes", "item_key")
     known = item.select("item_key", "item_id", F.col("hashes").alias("item_hashes"))
-    pairs = pairs.join(_bounded(known, broadcast_rows // 100), "item_key")
+    pairs = pairs.join(_bounded(known, broadcast_rows, "item_hashes"), "item_key")
     pairs = pairs.withColumn("both", overlap(F.col("hashes"), F.col("item_hashes")))
     pairs = pairs.withColumn("similarity", F.col("both") / (F.size("hashes") + F.size("item_hashes") - F.col("both"))).where(F.col("similarity") >= similarity)
-    aligned = F.exists(F.sequence(F.lit(0), F.size("hashes") - 1), lambda q: F.get("hashes", q) == F.get("item_hashes", q + F.col("cut")))
-    return pairs.select("doc_id", "text_key", "item_id", "start", "similarity", aligned.alias("aligned"))
+    return pairs.select("doc_id", "text_key", "item_id", "start", "similarity")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, **how) -> DataFrame:
-    """doc_id, item_id, similarity (the best window's), windows (those that put an equal run at the item's place): one row
-    per document and item that it holds."""
-    aligned = F.countDistinct(F.when(F.col("aligned"), F.struct("text_key", "start")))
-    return found(docs, benchmark.where("item_id is not null"), spark, **how).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), aligned.alias("windows"))
+    """doc_id, item_id, similarity (the best window's), windows (how many hold it): one row per document and item."""
+    rows = found(docs, benchmark.where("item_id is not null"), spark, **how)
+    return rows.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.countDistinct("text_key", "start").alias("windows"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, **how) -> DataFrame:
     """The rows that hold no item; the columns stay as they are."""
-    bad = found(docs, benchmark, spark, **how).select(F.xxhash64("doc_id").alias("__id"), F.coalesce("text_key", F.lit(0)).alias("__text")).distinct()
-    rows = docs.withColumn("__id", F.xxhash64(F.col("doc_id").cast("bigint"))).withColumn("__text", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    return rows.join(bad, ["__id", "__text"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, text = _shared.fresh(docs, "id", "text")
+    bad = found(docs, benchmark, spark, **how).select(F.xxhash64("doc_id").alias(key), F.coalesce("text_key", F.lit(0)).alias(text)).distinct()
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("bigint"))).withColumn(text, F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    return rows.join(bad, [key, text], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

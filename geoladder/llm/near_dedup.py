@@ -341,8 +341,9 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, similarity: float = SI
 def keep_one(docs: DataFrame, spark: SparkSession, **how) -> DataFrame:
     """One document row of each class, one with the smallest doc_id; the columns stay as they are."""
     classes = near_duplicates(docs, spark, **how)
+    key, text_key = _shared.fresh(docs, "id", "text")
     keep = classes.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
-    keep = keep.select(F.xxhash64("k.doc_id").alias("__id"), F.col("k.text_key").alias("__text"))
+    keep = keep.select(F.xxhash64("k.doc_id").alias(key), F.col("k.text_key").alias(text_key))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("__id", F.xxhash64(F.col("doc_id").cast("bigint"))).withColumn("__text", F.xxhash64(text)).join(keep, ["__id", "__text"])
-    return rows.dropDuplicates(["__id", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("bigint"))).withColumn(text_key, F.xxhash64(text)).join(keep, [key, text_key])
+    return rows.dropDuplicates([key, text_key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,13 +10,15 @@ punctuation signs, begin with two capitals, or repeat the word before. Only word
 ``screen`` standard errors) get a weight; of the others, a weight would be noise.
 
 The fit takes a bounded sample of the rated documents: those with the smallest hash of their id, ``sample`` of them at
-most (a documented parameter). Only their hashed cells reach the driver, at most ``dims`` numbers a document. Scoring
-covers all rows and whole texts.
+most, and of each at most ``most_cells`` cells, those with the smallest hash (documented parameters). Only these reach the
+driver: 12,000 x 4,096 cells of 6 bytes at the very most. Scoring covers all rows and whole texts. What a document was
+rated is known: ``select`` never keeps one that was rated below the wanted grade, whatever its score.
 
 Defined results: a null text is empty and gets the score of a text without features; rows without doc_id are scored
 like all others; documents with several ratings count with the lowest; null ratings are ignored; with no ratings, or
 only one grade, every document gets that grade (the highest, if there is none); an empty table gives no rows; other
-columns stay as they are.
+columns stay as they are, and if one of them has the name of a new column, the new one's gets an underscore more; very
+long texts are scored whole.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ from . import _shared, _vec
 U = np.uint64
 DIMS = 1 << 18
 SAMPLE = 12_000
+MOST_CELLS = 4096
+#: Ratings below the wanted grade that are broadcast, if they are counted to be no more.
+BROADCAST_ROWS = 500_000
 #: Grades of the labels table: toxic text is worst, then text of low quality.
 GRADES = 3
 
@@ -161,10 +166,26 @@ def fit(cell: np.ndarray, value: np.ndarray, begin: np.ndarray, grades: np.ndarr
     return Model(weights, theta)
 
 
-def train(docs: DataFrame, ratings: DataFrame, spark: SparkSession, n_grades: int = GRADES, sample: int = SAMPLE, dims: int = DIMS, **how) -> Model:
+def lowest(ratings: DataFrame, id_name: str, grade_name: str) -> DataFrame:
+    """One row per rated document, with the lowest of its grades."""
+    r = ratings.where("doc_id is not null and grade is not null")
+    return r.groupBy(F.col("doc_id").cast("bigint").alias(id_name)).agg(F.min("grade").cast("int").alias(grade_name))
+
+
+def added(docs: DataFrame) -> tuple[str, str]:
+    """The names of the columns that ``score`` adds."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for name in ("expected_grade", "tail_probability"):
+        while name in have:
+            name += "_"
+        out.append(name)
+    return out[0], out[1]
+
+
+def train(docs: DataFrame, ratings: DataFrame, spark: SparkSession, n_grades: int = GRADES, sample: int = SAMPLE, dims: int = DIMS, most_cells: int = MOST_CELLS, **how) -> Model:
     """Fits on a bounded sample of the rated documents. ``ratings``: (doc_id, grade)."""
     _shared.small_batches(spark)
-    r = ratings.where("doc_id is not null and grade is not null").groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(F.min("grade").cast("int").alias("__grade"))
+    r = lowest(ratings, "__id", "__grade")
     chosen = r.orderBy(F.xxhash64("__id"), "__id").limit(sample)  # at most ``sample`` pairs of numbers
     rows = docs.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("__id", "__grade", "text")
 
@@ -173,6 +194,13 @@ def train(docs: DataFrame, ratings: DataFrame, spark: SparkSession, n_grades: in
             buf, bounds = _vec.text_buffers(batch.column(2))
             for i, j, b, o in _vec.chunks(buf, bounds):
                 c, v, begin = cells(b, o, dims)
+                n = np.diff(begin)
+                if n.max(initial=0) > most_cells:  # cells of word shapes come last and hash to the least
+                    row = np.repeat(np.arange(len(n)), n)
+                    rank = np.where(c < dims - SHAPES, _vec.mix(c.astype(U)) | U(1), U(0))
+                    order = np.lexsort((rank, row))
+                    order = np.sort(order[_vec.ragged(begin[:-1], np.minimum(n, most_cells))])
+                    c, v, begin = c[order], v[order], np.concatenate([[0], np.cumsum(np.minimum(n, most_cells))])
                 cut = [slice(x, y) for x, y in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([c[s].tobytes() for s in cut], pa.binary()), pa.array([v[s].astype(np.float16).tobytes() for s in cut], pa.binary())], ["id", "grade", "cells", "values"])
 
@@ -189,10 +217,11 @@ def train(docs: DataFrame, ratings: DataFrame, spark: SparkSession, n_grades: in
 
 
 def score(docs: DataFrame, model: Model, spark: SparkSession, keep_grade: int = GRADES - 1) -> DataFrame:
-    """All rows with expected_grade and tail_probability (of ``keep_grade`` or better) added."""
+    """All rows with expected_grade and tail_probability (of ``keep_grade`` or better) added; see ``added``."""
     _shared.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # dims numbers
-    schema = docs.withColumn("expected_grade", F.lit(0.0)).withColumn("tail_probability", F.lit(0.0)).schema
+    names = added(docs)
+    schema = docs.withColumns(dict.fromkeys(names, F.lit(0.0))).schema
     text_at = docs.columns.index("text")
 
     def run(batches):
@@ -204,10 +233,7 @@ def score(docs: DataFrame, model: Model, spark: SparkSession, keep_grade: int =
                 c, v, begin = cells(b, o, len(m.weights))
                 s = np.bincount(np.repeat(np.arange(j - i), np.diff(begin)), m.weights[c].astype(np.float64) * v, j - i)
                 tails[i:j] = m.tails(s)
-            new = {"expected_grade": tails.sum(1), "tail_probability": tails[:, keep_grade - 1]}
-            cols = [(f.name, batch.column(k)) for k, f in enumerate(batch.schema) if f.name not in new] + [(k, pa.array(x)) for k, x in new.items()]
-            named = dict(cols)
-            yield pa.RecordBatch.from_arrays([named[f.name] for f in schema.fields], [f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails.sum(1)), pa.array(tails[:, keep_grade - 1])], [f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
 
@@ -219,5 +245,11 @@ def ratings_of(labels: DataFrame) -> DataFrame:
 
 def select(docs: DataFrame, labels: DataFrame, spark: SparkSession, least: float = 0.5, **how) -> DataFrame:
     """The rows that the classifier keeps, with their grades; toxic text and text of low quality go."""
-    model = train(docs, ratings_of(labels), spark, **how)
-    return score(docs, model, spark).where(F.col("tail_probability") >= least)
+    ratings = ratings_of(labels)
+    model = train(docs, ratings, spark, **how)
+    scored = score(docs, model, spark).where(F.col(added(docs)[1]) >= least)
+    key, known = _shared.fresh(scored, "id", "grade")
+    low = lowest(ratings, key, known).where(F.col(known) < GRADES - 1).select(key)
+    if low.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        low = F.broadcast(low)
+    return scored.join(low, F.col("doc_id").cast("bigint") == F.col(key), "left_anti")

@@ -32,7 +32,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = span_dedup.remove_repeats(table(spark, sf_dir, "documents"), spark, length=400)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +79,10 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, ws, n, unnest(range(len(ws) - n + 1)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM item)
         ), doc_shingles AS (
             SELECT doc_id, n, i, array_to_string(ws[i + 1 : i + n], ' ') AS shingle FROM doc_at
-        ), starts AS (
-            SELECT DISTINCT s.doc_id, t.item_id, t.size, s.i - t.place AS start FROM doc_shingles s JOIN item_shingles t USING (n, shingle)
+        ), places AS (
+            SELECT DISTINCT s.doc_id, t.item_id, t.size, n, s.i FROM doc_shingles s JOIN item_shingles t USING (n, shingle)
+        ), starts AS ( -- every window that has anything in common with the item
+            SELECT DISTINCT doc_id, item_id, size, unnest(range(i + n - size, i + 1)) AS start FROM places
         ), windows AS (
             SELECT s.*, d.ws[greatest(s.start, 0) + 1 : s.start + s.size] AS w FROM starts s JOIN d USING (doc_id)
         ), window_at AS (

@@ -15,10 +15,10 @@ exactly the repeated strings. The sort goes by most significant digits and drops
    string and place of it, and what stays together is compared byte by byte.
 
 No group must fit in one task: counts are aggregated before they are shuffled, lookups are joins that adaptive execution
-may split, and an anchor string with more than ``most_spans`` distinct spans is dealt over several tasks, after which
-only its windows' digests are counted across them.
+may split, and an anchor string's distinct spans are dealt out in parts of about ``most_spans``, after which only their
+windows' digests are counted across the parts.
 
-Texts are keyed by a 64-bit hash and their length, strings by 128 bits of rolling hashes.
+Texts are keyed by a 64-bit hash and their length, strings by two rolling hashes of 62 bits each, modulo a prime.
 
 Defined results: null counts as empty; matches never cross texts; repeated rows count as separate texts, so all of a
 repeated text of at least ``length`` bytes goes; an empty table gives no rows; other columns are ignored.
@@ -38,7 +38,7 @@ from . import _shared, _vec
 U = np.uint64
 LENGTH = 400
 GRAM = 100
-MOST_SPANS = 20_000
+MOST_SPANS = 256
 #: Bytes of spans that are sorted at once.
 SORT_BYTES = 2 << 20
 TEXT = "text_key bigint, n_bytes bigint"
@@ -150,8 +150,13 @@ def radix_groups(buf: np.ndarray, at: np.ndarray, group: np.ndarray, length: int
             s = slice(i, i + 4096)
             reach = np.arange(length)
             same[s] = (buf[at[index[s]][:, None] + reach] == buf[at[lead[s]][:, None] + reach]).all(1)
-        if not same.all():
-            raise ArithmeticError("two different strings have the same hashes")
+        for g in np.unique(group[~same]).tolist():  # different strings with the same hashes: by their bytes
+            rows = np.flatnonzero(group == g)
+            _, kind = np.unique(buf[at[index[rows]][:, None] + np.arange(length)], axis=0, return_inverse=True)
+            group[rows] = group.max() + 1 + kind
+        many = np.unique(group, return_counts=True)
+        alone = np.isin(group, many[0][many[1] == 1])
+        index, group = index[~alone], group[~alone]
     return index, group
 
 

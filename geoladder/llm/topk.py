@@ -7,7 +7,9 @@ query's weight times the term's postings is scattered into a dense array of scor
 by partition, and the blocks' lists are merged per query.
 
 Only blocks of numbers travel: every query block goes to every candidate block, and k rows per query and candidate
-block come back.
+block come back. Blocks are as large as there is work for all tasks, up to ``candidate_rows`` and ``query_rows``: a
+block is sent once per block of the other kind, so the numbers sent grow with (queries x candidates) / block rows. Within
+a task they are worked on in pieces.
 
 Scores are exact integers (32 bits where they fit, else 64, else Python's). Defined results: vectors that are null, hold
 null or a non-finite component, or have no id take no part; missing components of shorter vectors are 0; rows with the
@@ -102,11 +104,16 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndar
     return ids, scores
 
 
-def search(vectors: DataFrame, queries: DataFrame, spark: SparkSession, k: int = 20, scale: float = 64.0, candidate_rows: int = 8192, query_rows: int = 512) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, spark: SparkSession, k: int = 20, scale: float = 64.0, candidate_rows: int = 65536, query_rows: int = 16384, piece: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of every query. Both inputs: (vec_id, v array<double>)."""
+    n, asked = vectors.count(), (queries := queries.distinct()).count()
+    # at least some blocks for each task that can run at once
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    candidate_rows = min(candidate_rows, max(piece, -(-n // tasks)))
+    query_rows = min(query_rows, max(64, -(-asked * max(1, -(-n // candidate_rows)) // tasks)))
     c = blocks(vectors, candidate_rows, scale)
-    q = blocks(queries.distinct(), query_rows, scale).select(*[F.col(x).alias(f"q_{x}") for x in ("ids", "weights", "n", "dims", "kind")])
-    n_blocks = max(1, math.ceil(vectors.count() / candidate_rows))
+    q = blocks(queries, query_rows, scale).select(*[F.col(x).alias(f"q_{x}") for x in ("ids", "weights", "n", "dims", "kind")])
+    n_blocks = max(1, math.ceil(n / candidate_rows))
     met = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(c, "block").drop("block")
     met = met.repartition(F.xxhash64("q_ids", "ids"))
 
@@ -116,10 +123,10 @@ def search(vectors: DataFrame, queries: DataFrame, spark: SparkSession, k: int =
             for r in pdf.itertuples(index=False):
                 ids, own = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
                 qm, cm = _matrix(r.q_weights, r.q_kind, r.q_n, r.q_dims), _matrix(r.weights, r.kind, r.n, r.dims)
-                for i in range(0, len(own), 64):
-                    s = accumulate(qm[i : i + 64], cm)
+                for i, a in ((i, a) for a in range(0, len(ids), piece) for i in range(0, len(own), 64)):
+                    s = accumulate(qm[i : i + 64], cm[a : a + piece])
                     for j, me in enumerate(own[i : i + 64].tolist()):
-                        got, sc = best(s[j], ids, me, k)
+                        got, sc = best(s[j], ids[a : a + piece], me, k)
                         sc = np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in sc], np.int64) if sc.dtype == object else sc.astype(np.int64)
                         out.append((np.full(len(got), me), got, sc))
             cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3

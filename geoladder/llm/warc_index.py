@@ -3,8 +3,10 @@
 Pages become WARC 1.1 records in gzip members. A writing task gathers captures up to a bounded size, sorts them by URL
 key, timestamp and page id, and writes them as one archive: a *run*. The archives are read back record by record, which
 gives each run's index entries in order. The runs are then merged: the key space is cut into ranges by (URL key,
-timestamp, page id), so that even a single URL's captures spread over tasks, and in each range a loser tree merges the
-runs' slices k ways into one capture history. Ranges in their order give the global order.
+timestamp, page id, run, offset), so that even a single URL's captures spread over tasks, one range per ``RANGE_ENTRIES``
+entries. A range gets the runs' slices one after another, each as it lies in its run; a loser tree then merges them k ways
+into one capture history, with a few entries of each slice unpacked at a time. Ranges in their order give the global
+order.
 
 Of records with the same payload the one with the largest page id is a ``response``; the others are ``revisit`` records
 that refer to it (payloads under ``min_bytes`` are never revisits). Every payload is hashed again when it is read.
@@ -23,6 +25,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ from . import _shared
 
 #: Payload bytes of a run (one archive) at most, but for one larger record.
 RUN_BYTES = 24 << 20
+#: Index entries of a range of the merge, about.
+RANGE_ENTRIES = 100_000
 EPOCH = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -235,15 +240,21 @@ def read_runs(archives: DataFrame) -> DataFrame:
 def merge_runs(entries: DataFrame) -> DataFrame:
     """All runs' entries in global order of (urlkey, timestamp, page_id), merged by loser trees range by range."""
 
+    def entries_of(pieces: list[pa.RecordBatch]) -> Iterator[tuple]:
+        for piece in pieces:
+            for i in range(0, piece.num_rows, 64):
+                yield from zip(*(c.to_pylist() for c in piece.slice(i, 64).columns), strict=True)
+
     def merge(batches):
-        runs: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(r[7], []).append(r)
-        # a shuffle may hand over the pieces of a run's slice in any order; in the archive they follow their offsets
-        slices = [sorted(runs[k], key=lambda r: r[8]) for k in sorted(runs)]
+        runs: dict[str, list[pa.RecordBatch]] = {}
+        for batch in batches:  # sorted by run and offset: a run's slice may span batches
+            ends = batch.column(7).dictionary_encode()
+            at = np.asarray(ends.indices)
+            cut = np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist()
+            for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                runs.setdefault(ends.dictionary[int(at[a])].as_py(), []).append(batch.slice(a, b - a))
         out = []
-        for r in LoserTree(slices, lambda r: _order(*r[:3])):
+        for r in LoserTree([entries_of(runs[k]) for k in sorted(runs)], lambda r: _order(*r[:3])):
             out.append(r)
             if len(out) == 10_000:
                 yield _batch(out)
@@ -251,7 +262,9 @@ def merge_runs(entries: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return entries.repartitionByRange(F.col("urlkey"), F.col("timestamp"), F.col("page_id").asc_nulls_first(), F.col("run"), F.col("offset")).mapInArrow(merge, ENTRY)
+    n = max(1, -(-entries.count() // RANGE_ENTRIES))
+    ranges = entries.repartitionByRange(n, F.col("urlkey"), F.col("timestamp"), F.col("page_id").asc_nulls_first(), F.col("run"), F.col("offset"))
+    return ranges.sortWithinPartitions("run", "offset").mapInArrow(merge, ENTRY)
 
 
 def capture_index(pages: DataFrame, spark: SparkSession, min_bytes: int = 0, timestamp: Column | None = None) -> DataFrame:

@@ -92,3 +92,12 @@ def test_components_and_keep_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "q", "z"), (3, "q", "z"), (None, "lone", "z")], "doc_id bigint, text string, comp string")
     assert sorted((x.doc_id or 0, x.comp) for x in nd.keep_one(df, spark).collect()) == [(0, "z"), (1, "x"), (3, "z")]
     assert nd.keep_one(df.limit(0), spark).count() == 0
+
+
+def test_texts_made_by_halves_are_two_nodes(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    df = spark.createDataFrame([(1, word), (2, other), (3, word), (4, "v " * 100_000), (5, "v " * 100_000)], "doc_id bigint, text string")
+    assert {x.doc_id: x.class_id for x in nd.near_duplicates(df, spark).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}

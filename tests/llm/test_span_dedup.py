@@ -52,3 +52,29 @@ def test_against_brute_force(spark, seed, length, gram, most):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert sd.remove_repeats(df, spark).count() == 0
+
+
+def test_whole_length_and_texts_made_by_halves(spark):
+    """400 bytes, as registered; and words that hashes modulo a power of two take for each other."""
+    r = random.Random(9)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b = letters(700), letters(399)
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    t = [letters(300) + a + letters(90), a[150:] + letters(50), b + "x" + letters(100), letters(80) + b + "y", word, word.translate({97: 98, 98: 97}), letters(200_000) + a, "q" * 900, None]
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id bigint, text string")
+    got = sorted(tuple(x) for x in sd.remove_repeats(df, spark).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == sorted(brute(t, 400))
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    import numpy as np
+
+    buf = np.frombuffer(b"aaaabbbbaaaaccccbbbbdddd", np.uint8)
+    want = [set(c) for c in ((0, 2), (1, 4))]
+    for blind in (False, True):
+        if blind:
+            monkeypatch.setattr(sd._vec.Rolling, "__call__", lambda self, a, b: np.zeros(len(a), np.uint64))
+        index, cls = sd.radix_groups(buf, np.arange(6) * 4, np.zeros(6, np.int64), 4)
+        assert sorted(({int(i) for i in index[cls == c]} for c in np.unique(cls)), key=min) == want
