@@ -273,8 +273,12 @@ def shard_file(folder: str, name: str, context: np.ndarray, word: np.ndarray, lo
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers of one length, the first of which ascends: byte plane by byte plane, compressed."""
+    """Columns of 64-bit numbers of one length: byte plane by byte plane, compressed. The first one mostly ascends, and so
+    does the second where the first stays the same: there, differences are kept."""
     x = np.stack([np.asarray(c).astype("<i8") for c in columns])
+    if len(columns) > 1 and x.shape[1]:
+        same = np.flatnonzero(x[0, 1:] == x[0, :-1])
+        x[1, same + 1] -= x[1, same]
     x[0, 1:] -= x[0, :-1].copy()
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1))
     return struct.pack("<ii", len(columns), x.shape[1]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
@@ -293,6 +297,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
                 x |= planes[i, b].astype(np.int64) << (8 * b)
         out.append(x)
     np.cumsum(out[0], out=out[0])
+    if k > 1:
+        first = np.flatnonzero(np.append(True, out[0][1:] != out[0][:-1]))
+        total = np.cumsum(out[1])
+        out[1] = total - np.repeat(total[first] - out[1][first], np.diff(np.append(first, n)))
     return out
 
 
@@ -605,7 +613,7 @@ def _merge(pad: int):
             order = np.argsort(units)  # a packed column must ascend
             data = pack(units[order], sizes[order], (np.cumsum(sizes) - sizes)[order])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack(x, y, z, times)], pa.binary()), pa.array([data], pa.binary()), pa.array([pack(np.arange(len(place)), place)], pa.binary()), *[pa.array([e], pa.list_(pa.int64())) for e in (*counts, edges)]],
+                [pa.array([shard], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack(x, y, z, times)], pa.binary()), pa.array([data], pa.binary()), pa.array([pack(place)], pa.binary()), *[pa.array([e], pa.list_(pa.int64())) for e in (*counts, edges)]],
                 _MERGED_NAMES,
             )
 
@@ -695,7 +703,7 @@ def _answer(shared, of: Statistics | None, folder: str):
                     b2[x[first] == w] = m.edges[w]
                 p2 = VALUE[p2] + VALUE[b2] * 10.0 ** (np.log10(words.counts(y[first]) + 0.5) - log_total)
                 p2 = np.rint(np.log10(p2) / -FINE).astype("<u2")
-                index = unpack(places.as_buffer())[1]
+                index = unpack(places.as_buffer())[0]  # ascends within a unit
                 for u, size, at in zip(*(c.tolist() for c in unpack(units.as_buffer())), strict=True):
                     rows = index[at : at + size]
                     g = gram[rows]

@@ -15,8 +15,8 @@ exactly the repeated strings. The sort goes by most significant digits and drops
    string and place of it, and what stays together is compared byte by byte.
 
 No group must fit in one task: counts are aggregated before they are shuffled, lookups are joins that adaptive execution
-may split, and an anchor string's distinct spans are dealt out in parts of about ``most_spans``, after which only their
-windows' digests are counted across the parts.
+may split, and an anchor string's distinct spans are dealt out in parts of ``most_spans`` at most (some 10 MB), after which
+only their windows' digests are counted across the parts. Smaller parts would make a digest for each of more windows.
 
 Texts are keyed by a 64-bit hash and their length, strings by two rolling hashes of 62 bits each, modulo a prime.
 
@@ -38,7 +38,7 @@ from . import _shared, _vec
 U = np.uint64
 LENGTH = 400
 GRAM = 100
-MOST_SPANS = 256
+MOST_SPANS = 20_000
 #: Bytes of spans that are sorted at once.
 SORT_BYTES = 2 << 20
 TEXT = "text_key bigint, n_bytes bigint"
