@@ -29,11 +29,24 @@ def _measure(data: bytes | None) -> tuple:
     return (*kernels.bounds(parts), kernels.area(parts), kernels.length(parts), kernels.dimension(parts), True, wkb.NAMES[kind], *kernels.representative(parts))
 
 
+def _measured(values: list) -> pd.DataFrame:
+    """The measures of a batch: plain points, lines and polygons of one ring together, all others one by one."""
+    out = {n: np.empty(len(values), object) for n in MEASURES.names}
+    flat, rest = kernels.measure_flat(values)
+    for rows, cols in flat:
+        for n, c in zip(MEASURES.names, cols, strict=True):
+            out[n][rows] = c
+    for i in rest:
+        for n, v in zip(MEASURES.names, _measure(values[i]), strict=True):
+            out[n][i] = v
+    return pd.DataFrame(out)
+
+
 @F.pandas_udf(MEASURES)
 def measures(data: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Bounds, area, length, dimension, validity, type name and representative point of WKB."""
     for s in data:
-        yield pd.DataFrame([_measure(v) for v in s], columns=MEASURES.names)
+        yield _measured(s.tolist())
 
 
 @F.pandas_udf(BINARY)
@@ -52,23 +65,31 @@ def segment(data: pd.Series, grid: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else kernels.segment(wkb.parse(d)[1], float(g)) for d, g in zip(data, grid, strict=True)], dtype=object)
 
 
+def _fixed(head: bytes, numbers: list[np.ndarray]) -> pd.Series:
+    """Values of one layout: the same head, then a number from each array."""
+    n, size = len(numbers[0]), len(head) + 8 * len(numbers)
+    out = np.empty((n, size), np.uint8)
+    out[:, : len(head)] = np.frombuffer(head, np.uint8)
+    out[:, len(head) :] = np.stack(numbers, 1).astype("<f8").view(np.uint8).reshape(n, -1)
+    raw = out.tobytes()
+    return pd.Series([raw[i : i + size] for i in range(0, n * size, size)], dtype=object)
+
+
 @F.pandas_udf(BINARY)
 def point_wkb(x: pd.Series, y: pd.Series) -> pd.Series:
     """Points, all at once: the bytes of a value lie at fixed places."""
-    out = np.zeros((len(x), 21), np.uint8)
-    out[:, 0], out[:, 1] = 1, wkb.POINT
-    out[:, 5:] = np.stack([x.to_numpy("<f8"), y.to_numpy("<f8")], 1).view(np.uint8).reshape(len(x), 16)
-    return pd.Series([r.tobytes() for r in out], dtype=object)
+    return _fixed(b"\1\1\0\0\0", [x.to_numpy("<f8"), y.to_numpy("<f8")])
 
 
 @F.pandas_udf(BINARY)
 def box_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    return pd.Series([wkb.box(*v) for v in zip(x0, y0, x1, y1, strict=True)], dtype=object)
+    a, b, c, d = (v.to_numpy("<f8") for v in (x0, y0, x1, y1))
+    return _fixed(b"\1\3\0\0\0\1\0\0\0\5\0\0\0", [a, b, c, b, c, d, a, d, a, b])
 
 
 @F.pandas_udf(BINARY)
 def segment_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    return pd.Series([wkb.line([[a, b], [c, d]]) for a, b, c, d in zip(x0, y0, x1, y1, strict=True)], dtype=object)
+    return _fixed(b"\1\2\0\0\0\2\0\0\0", [v.to_numpy("<f8") for v in (x0, y0, x1, y1)])
 
 
 @F.pandas_udf(BINARY)

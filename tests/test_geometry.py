@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from geoladder.functions import kernels, wkb
 from geoladder.functions import kernels as K
 from geoladder.functions import wkb as W
 
@@ -79,7 +80,7 @@ def test_fallbacks_and_repair():
     star = np.array([[math.cos(4 * math.pi * i / 5) * 4, math.sin(4 * math.pi * i / 5) * 4] for i in range(6)])
     assert K.crosses_itself(star)
     kind, parts = W.parse(K.overview(W.polygon(star), 0.1, 0.02))
-    assert kind == W.POLYGON and not K.crosses_itself(parts[0][1][0])
+    assert kind == W.MULTIPOLYGON and not any(K.crosses_itself(rings[0]) for _, rings in parts)  # cut where it crosses
     flat = W.polygon([[0, 0], [1, 1], [2, 2], [0, 0]])
     assert W.parse(K.overview(flat, 0.5, 0.1))[0] == W.POLYGON
     assert K.overview(W.point(3, 4), 1, 1) == W.point(3, 4)
@@ -96,12 +97,13 @@ def test_large_rings_that_cross():
     knot[[100, 1600]] = knot[[1600, 100]]
     assert K.crosses_itself(knot)
     valid = K.make_valid([knot])
-    assert len(valid) == 1 and not K.crosses_itself(valid[0])
+    assert valid and not any(K.crosses_itself(p[0]) for p in valid)
+    assert 0.9 < sum(abs(K.ring_area(p[0])) for p in valid) / abs(K.ring_area(old)) <= 1.001
     near = old.copy()
     near[[700, 701]] = near[[701, 700]]
     assert K.crosses_itself(near) and K.snap_ring(near, 1e-9) is None
     kind, parts = W.parse(K.overview(W.polygon(knot), 1e-9, 1e-9))
-    assert kind == W.POLYGON and not K.crosses_itself(parts[0][1][0])
+    assert kind == W.MULTIPOLYGON and not any(K.crosses_itself(rings[0]) for _, rings in parts)  # cut where it crosses
     # a comb: all teeth overlap along one axis
     comb = np.array([[i / 2, 9.0 * (i % 4 in (1, 2))] for i in range(4000)] + [[2000.0, -1.0], [0.0, -1.0], [0.0, 0.0]])
     assert not K.crosses_itself(comb)
@@ -128,3 +130,53 @@ def test_crossing_equals_all_pairs(points):
     fine = np.concatenate([r[:-1, None] + (r[1:, None] - r[:-1, None]) * np.arange(16)[None, :, None] / 16]).reshape(-1, 2)
     if (np.diff(r, axis=0) != 0).any(1).all():  # the same ring with 15 more points on each edge: the other way of pairing
         assert K.crosses_itself(np.concatenate([fine, r[:1]])) or not want
+
+
+def test_measures_of_many_equal_those_of_one():
+    """Plain geometries are measured together; the numbers are those of each by itself."""
+    from geoladder.functions import udfs
+
+    r = np.random.default_rng(12)
+    values = [None, wkb.polygon([[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]]), wkb.line([[1, 1], [1, 1]]), wkb.point(float("nan"), 1.0), wkb.encode([(wkb.POINT, [np.array([[1.0, 2.0]])])], wkb.MULTIPOINT)]
+    for _ in range(300):
+        n = int(r.integers(3, 12))
+        a = np.sort(r.random(n) * 2 * np.pi)
+        ring = np.stack([np.cos(a), np.sin(a)], 1) * (0.3 + r.random((n, 1))) * 10 + r.normal(size=2) * 50
+        if r.random() < 0.3:
+            ring = np.round(ring)
+        values += [wkb.polygon([*ring, ring[0]]), wkb.line(ring), wkb.point(*ring[0]), wkb.box(*ring.min(0), *ring.max(0))]
+    got = udfs._measured(values)
+    for i, v in enumerate(values):
+        for a, b in zip(got.iloc[i], udfs._measure(v)):
+            assert (a is None and b is None) or a == b or (isinstance(b, float) and (abs(a - b) <= 1e-9 * max(1.0, abs(b)) or (a != a and b != b))), (i, got.iloc[i].tolist(), udfs._measure(v))
+
+
+def test_coarse_polygons_keep_what_they_can():
+    """A spike, holes, several parts, a crossing ring and many points: none turns into a square above a pixel."""
+    square = lambda x, y, w: [[x, y], [x + w, y], [x + w, y + w], [x, y + w], [x, y]]
+    area = lambda data: kernels.area(wkb.parse(data)[1])
+    spiky = [[0, 0], [100, 0], [100, 50], [160, 50.01], [100, 50.02], [100, 100], [0, 100], [0, 0]]
+    assert abs(area(kernels.overview(wkb.polygon(spiky), 1.0, 0.25)) - 10000) < 50
+    holed = wkb.polygon(square(0, 0, 100), square(10, 10, 30)[::-1], square(60, 60, 20)[::-1])
+    kind, parts = wkb.parse(kernels.overview(holed, 1.0, 0.25))
+    assert len(parts[0][1]) == 3 and abs(kernels.area(parts) - (10000 - 900 - 400)) < 1
+    many = wkb.encode([(wkb.POLYGON, [np.array(square(0, 0, 50), float)]), (wkb.POLYGON, [np.array(spiky, float) + 500])])
+    assert len(wkb.parse(kernels.overview(many, 1.0, 0.25))[1]) == 2
+    bow = [[0, 0], [100, 100], [100, 0], [0, 100], [0, 0]]
+    kind, parts = wkb.parse(kernels.overview(wkb.polygon(bow), 1.0, 0.25))
+    assert len(parts) == 2 and abs(kernels.area(parts) - 5000) < 10 and not any(kernels.crosses_itself(rings[0]) for _, rings in parts)
+    t = np.linspace(0, 2 * np.pi, 1001)
+    star = np.stack([np.cos(t), np.sin(t)], 1) * (100 + 20 * np.sin(17 * t))[:, None]
+    star[-1] = star[0]
+    for tol in (0.5, 2.0, 8.0):
+        rings = wkb.parse(kernels.overview(wkb.polygon(star), tol, tol / 4))[1][0][1]
+        assert 4 < len(rings[0]) < 700 and not kernels.crosses_itself(rings[0]) and abs(abs(kernels.ring_area(rings[0])) / abs(kernels.ring_area(star)) - 1) < 0.1
+    # a hole close to the outer ring stays inside of it
+    t = np.linspace(0, 2 * np.pi, 201)
+    hole = np.stack([np.cos(t), np.sin(t)], 1) * 99.5
+    hole[-1] = hole[0]
+    outer = np.stack([np.cos(t), np.sin(t)], 1) * 100
+    outer[-1] = outer[0]
+    parts = wkb.parse(kernels.overview(wkb.polygon(outer, hole[::-1]), 4.0, 1.0))[1]
+    assert not kernels.rings_meet(parts[0][1])
+    assert kernels.overview(wkb.polygon(square(0, 0, 0.2)), 1.0, 0.25) is not None
