@@ -63,6 +63,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 #: Buckets whose sums are added up in one task.
 GROUP = 1024
+#: Sources that are broadcast, if they are counted to be no more.
+BROADCAST_SOURCES = 50_000
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: str, out: str) -> DataFrame:
@@ -93,12 +95,14 @@ def _queue(docs: DataFrame, spark: SparkSession, weights: tuple[float, ...], sha
     targets = source_targets(entries.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, most)
     # a number stands for each source, since null must be a key as well
     targets = _shared.written(targets.withColumn("source_no", F.xxhash64(F.col("source").isNull(), "source")), spark, "mix-targets")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
     waiting = entries.where("size > 0").withColumn("source_no", F.xxhash64(F.col("source").isNull(), "source")).drop("source")
     waiting = waiting.withColumn("words", F.col("size") * F.col("copies")).withColumn("shuffled", F.shiftrightunsigned(F.xxhash64("doc_id", "text_key", "source_no", F.lit(seed)), 1))
     # shuffled is uniform over 63 bits: its place among equal parts of that range is the bucket, within a source
     rows_of = waiting.groupBy("source_no").agg(F.count("*").alias("source_rows"))
     known = targets.join(rows_of, "source_no").select("source_no", "source_size", "target", "source_rows")
-    waiting = waiting.join(known, "source_no")
+    waiting = waiting.join(F.broadcast(known) if targets.count() <= BROADCAST_SOURCES else known, "source_no")
     parts = F.ceil(F.col("source_rows") / rows_per_bucket)
     place = F.least(F.floor(F.col("shuffled").cast("double") / float(1 << 63) * parts), parts - 1)
     key = [F.col("shuffled"), F.col("doc_id"), F.col("text_key")]
