@@ -11,6 +11,7 @@ from geoladder.functions import udfs
 from geoladder.operators import banding, levels, rowgroups, stats
 from geoladder.options import COARSE_SHARE
 from geoladder.plans import ladder
+from geoladder.session import work_root
 
 REL = 1 / 1500
 EXTENT = "e AS (SELECT min(xmin) FILTER (WHERE valid) AS x0, min(ymin) FILTER (WHERE valid) AS y0, max(xmax) FILTER (WHERE valid) AS x1, max(ymax) FILTER (WHERE valid) AS y1, greatest(max(xmax) FILTER (WHERE valid) - min(xmin) FILTER (WHERE valid), 1e-12) AS sx, greatest(max(ymax) FILTER (WHERE valid) - min(ymin) FILTER (WHERE valid), 1e-12) AS sy FROM {t})"
@@ -55,7 +56,7 @@ REGIME_LABEL = f"WITH {X.VERTEX_BOXES} SELECT count(*) AS n_valid, CAST(sum(nbyt
 
 def percentile_rank(spark: SparkSession, d: str) -> DataFrame:
     m = X.mixed(spark, d).where("dim > 0").withColumn("metric", F.when(F.col("dim") == 2, F.col("area")).otherwise(F.col("length")))
-    return m.select("id", banding.percentile_desc(F.col("metric"), ["dim"]).alias("score"))
+    return banding.percentile_desc(m, "metric", ["dim"], "score").select("id", "score")
 
 
 PERCENTILE_RANK = f"""WITH {X.MIXED}, m AS (SELECT id, dim, CASE WHEN dim = 2 THEN area ELSE length END AS metric FROM mixed WHERE dim > 0)
@@ -370,8 +371,7 @@ def convert_levels(spark: SparkSession, d: str) -> DataFrame:
     from geoladder.options import LayoutOptions
     from geoladder.sources.reader import read_layout
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/geoladder").rstrip("/")
-    target = f"{root}/geoladder/layout-{uuid.uuid4().hex}"
+    target = f"{work_root(spark)}/geoladder/layout-{uuid.uuid4().hex}"
     src = X.boxes(spark, d).select("id", _box_bytes().alias("geometry"))
     convert(spark, src, target, LayoutOptions(bands=X.BANDS, native_geo=False, coarsest_rel=1 / 20))
     rows = read_layout(spark, target).rows

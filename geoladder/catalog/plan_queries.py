@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoladder.catalog import fixtures as X
 from geoladder.functions import columns as C
 from geoladder.operators import stats
 from geoladder.plans import planner
+from geoladder.session import work_root
 from geoladder.sources import catalog
 from geoladder.streaming import meter
 
@@ -115,7 +116,7 @@ PAGE_GATE = f"WITH {X.GROUPS} SELECT rg, (xmax - xmin) * (ymax - ymin) >= 1.5 *
 
 def count_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Counts of rows of coarse groups from the groups' arrays; 0 for rows that no array covers."""
-    g = X.grouped(spark, d).where("rg <= 8")
+    g = X.grouped(spark, d).join(planner.counted_groups(X.groups(spark, d), 3).select("rg"), "rg", "left_semi")
     arrays = g.groupBy("rg").agg(F.min("row_index").alias("row_start"), (F.max("row_index") + 1).alias("row_end"), F.transform(F.array_sort(F.collect_list(F.struct("row_index", (F.col("id") % 7).cast("int").alias("n")))), lambda s: s["n"]).alias("counts"))
     rows = X.grouped(spark, d).select("id", F.col("row_index").alias("row_id"))
     return planner.counts_for_rows(rows, arrays).select("id", F.col("count").cast("int").alias("count"))
@@ -165,18 +166,21 @@ def stream_meter(spark: SparkSession, d: str) -> DataFrame:
     schema = X.table(spark, d, "events").schema
     log = meter.fetch_log(spark.readStream.schema(schema).format("parquet").load(f"{d}/event[s].parquet"))
     name = f"meter_{uuid.uuid4().hex}"
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/geoladder").rstrip("/")
-    q = meter.stream_meter(log).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/geoladder/{name}").trigger(availableNow=True).start()
+    root = f"{work_root(spark)}/geoladder/{name}"
+
+    def keep(batch: DataFrame, _: int) -> None:  # the table as it stands after each trigger
+        batch.write.mode("overwrite").parquet(f"{root}/table")
+
+    q = meter.stream_meter(log).writeStream.outputMode("complete").foreachBatch(keep).queryName(name).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{root}/table")
 
 
 STREAM_METER = f"WITH {_LOG} SELECT date_trunc('hour', t) AS start, phase, CAST(sum(CASE WHEN cached THEN 0 ELSE bytes END) AS BIGINT) AS bytes, count(*) AS requests FROM log GROUP BY 1, 2"
 
 
 def prune_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    g = X.groups(spark, d).withColumn("outcome", F.when(F.col("bbox").isNull(), "no-bbox").when(C.meets_aoi(F.col("bbox"), AOI), "fetched").otherwise("pruned"))
-    return g.groupBy("outcome").agg(F.count("*").alias("groups"), F.sum("rows").alias("rows"))
+    return planner.prune_outcomes(X.groups(spark, d), AOI)
 
 
 PRUNE_OUTCOMES = f"WITH {X.GROUPS} SELECT CASE WHEN NOT known THEN 'no-bbox' WHEN {PAGE_HIT} THEN 'fetched' ELSE 'pruned' END AS outcome, count(*) AS groups, CAST(sum(rows) AS BIGINT) AS rows FROM groups GROUP BY 1"
@@ -202,8 +206,7 @@ FILE_FACTS = f"""WITH {_CHUNKS}, per AS (SELECT rg, max(rows) AS rows, sum(nbyte
 
 
 def share_of_file(spark: SparkSession, d: str) -> DataFrame:
-    every = Window.partitionBy()
-    return X.groups(spark, d).select("rg", F.round(100 * F.col("nbytes") / F.sum("nbytes").over(every), 6).alias("bytes_share"), F.round(100 * F.col("rows") / F.sum("rows").over(every), 6).alias("rows_share"))
+    return planner.share_of_file(X.groups(spark, d)).select("rg", F.round("bytes_share", 6).alias("bytes_share"), F.round("rows_share", 6).alias("rows_share"))
 
 
 SHARE_OF_FILE = f"WITH {X.GROUPS} SELECT rg, round(100 * nbytes / CAST(sum(nbytes) OVER () AS DOUBLE), 6) AS bytes_share, round(100 * rows / CAST(sum(rows) OVER () AS DOUBLE), 6) AS rows_share FROM groups"
@@ -285,6 +288,133 @@ _CX, _CY = _clamp("x * 1.5", "x * 1.5 + 20", 180), _clamp("y * 2", "y * 2 + 5",
 CLAMPED_BOXES = f"WITH {X.GEO_POINTS} SELECT id, round({_CX[0]}, 9) AS xmin, round({_CY[0]}, 9) AS ymin, round({_CX[1]}, 9) AS xmax, round({_CY[1]}, 9) AS ymax FROM geo"
 
 
-FUNCTIONS = [level_for_zoom, rowgroup_prune, seam_split_prune, band_skip, viewport_read, flat_preview_boxes, page_ranges_merged, page_pairing, page_gate, count_lookup, cache_hits_misses, plan_signature, byte_meter, recent_events, stream_meter, prune_outcomes, file_facts, share_of_file, planned_bytes_sweep, overfetch_by_zoom, version_twin, density_style, row_attributes, clamped_boxes]
+def columns_and_groups(spark: SparkSession, d: str) -> DataFrame:
+    """What plans at three zooms read: their distinct geometry columns, and the groups that are painted."""
+    info, g, out = X.info(_extents(spark, d)), X.groups(spark, d), None
+    for zoom in (6, 9, 14):
+        plan = planner.plan_overviews(info, g, AOI, zoom)
+        part = planner.columns_read(plan).agg(F.array_join(F.array_sort(F.collect_set("column")), ",").alias("columns")).crossJoin(planner.groups_painted(plan)).withColumn("zoom", F.lit(zoom))  # a row each
+        out = part if out is None else out.unionByName(part)
+    return out.select("zoom", "columns", "groups")
+
+
+COLUMNS_AND_GROUPS = f"""WITH v AS ({VIEWPORT_READ}) SELECT zoom, string_agg(DISTINCT "column", ',' ORDER BY "column") AS columns, count(DISTINCT rg) AS groups FROM v GROUP BY zoom"""
+
+
+def group_box_order(spark: SparkSession, d: str) -> DataFrame:
+    """A group's box from the covering, else from usable statistics of the coarse shapes, else of the exact ones."""
+    g = X.groups(spark, d)
+    struct = lambda scale, odd: F.struct(*[(F.col(f"bbox.{c}") * scale + (odd if c == "xmin" else 0)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    wild = F.when(F.col("rg") % 3 == 0, float("inf")).otherwise(0.0)
+    g = g.withColumn("covering", F.when(F.col("rg") % 4 == 0, F.col("bbox"))).withColumn("coarse", struct(2, wild)).withColumn("exact", struct(3, F.lit(0.0)))
+    g = g.withColumn("box", planner.group_box(F.col("covering"), F.col("coarse"), F.col("exact")))
+    return g.select("rg", *[F.round(f"box.{c}", 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+GROUP_BOX_ORDER = f"WITH {X.GROUPS}, f AS (SELECT *, CASE WHEN rg % 4 = 0 THEN 1 WHEN rg % 3 <> 0 THEN 2 ELSE 3 END AS k FROM groups) SELECT rg, " + ", ".join(f"CASE WHEN known THEN round(k * {c}, 6) END AS {c}" for c in ("xmin", "ymin", "xmax", "ymax")) + " FROM f"
+
+
+def uncached_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of wanted row ranges that no cached range covers, each with its group's column."""
+    p = X.pages(spark, d)
+    want = p.where("page % 3 <> 2").withColumn("column", F.when(F.col("rg") % 2 == 0, "geometry").otherwise("geom_overview")).select("rg", "column", "row_start", "row_end")
+    held = p.where("page % 2 = 0").withColumn("column", F.lit("geometry")).select("rg", "column", (F.col("row_start") + 10).alias("row_start"), "row_end")
+    return planner.uncached_ranges(want, held)
+
+
+UNCACHED_RANGES = f"""WITH {X.PAGES}, want AS (SELECT rg, page, CASE WHEN rg % 2 = 0 THEN 'geometry' ELSE 'geom_overview' END AS col, row_start, row_end FROM page_t WHERE page % 3 <> 2)
+    SELECT rg, col AS "column", row_start, CASE WHEN col = 'geometry' AND page % 2 = 0 THEN least(row_start + 10, row_end) ELSE row_end END AS row_end FROM want"""
+
+
+def chunk_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return planner.chunk_bytes(_chunks(spark, d), "geom_overview")
+
+
+CHUNK_BYTES = f"WITH {_CHUNKS} SELECT rg, CAST(sum(nbytes) AS BIGINT) AS nbytes FROM chunks WHERE col = 'geom_overview' GROUP BY rg"
+
+
+def file_extent(spark: SparkSession, d: str) -> DataFrame:
+    return planner.file_extent(X.groups(spark, d)).select("extent.*")
+
+
+FILE_EXTENT = f"WITH {X.GROUPS} SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM groups WHERE known"
+
+
+def vertex_styles(spark: SparkSession, d: str) -> DataFrame:
+    """A row's radius and opacity at each vertex of its pieces, added up by kind of piece."""
+    from geoladder.functions import udfs
+
+    s = X.segments(spark, d).select("id", udfs.segment_wkb("xmin", "ymin", "xmax", "ymax").alias("g"))
+    p = X.points(spark, d).select((F.col("id") + 10**9).alias("id"), udfs.point_wkb("xmin", "ymin").alias("g"))
+    pieces = s.union(p).select("id", F.explode(udfs.primitives("g")).alias("p")).select("id", "p.kind", "p.coords")
+    counts = s.union(p).select("id", (F.col("id") % 9).cast("int").alias("count"))
+    styled = planner.vertex_styles(pieces, counts, "id")
+    return styled.groupBy("kind").agg(F.sum(F.size("radius")).alias("vertices"), F.round(F.sum(F.aggregate("radius", F.lit(0.0), lambda a, x: a + x)), 3).alias("radius"), F.round(F.sum(F.aggregate("alpha", F.lit(0.0), lambda a, x: a + x)), 3).alias("alpha"))
+
+
+_STYLE = "2.5 * CASE WHEN n > 0 THEN greatest(1, least(5, 0.6 + 0.5 * log2(n))) ELSE 1 END AS radius, CASE WHEN n > 0 THEN greatest(110, least(255, 110 + 36 * log2(n))) ELSE 180 END AS alpha"
+VERTEX_STYLES = f"WITH s AS (SELECT 'paths' AS kind, 2 AS v, event_id % 9 AS n FROM events UNION ALL SELECT 'points', 1, (o_orderkey + 1000000000) % 9 FROM orders), t AS (SELECT kind, v, {_STYLE} FROM s) SELECT kind, CAST(sum(v) AS BIGINT) AS vertices, round(sum(v * radius), 3) AS radius, round(sum(v * alpha), 3) AS alpha FROM t GROUP BY kind"
+
+
+def _layout(spark: SparkSession, d: str, name: str) -> str:
+    """A written layout of the squares, with attributes."""
+    import uuid
+
+    from geoladder.convert import convert
+    from geoladder.functions import udfs
+    from geoladder.options import LayoutOptions
+
+    target = f"{work_root(spark)}/geoladder/{name}-{uuid.uuid4().hex}"
+    src = X.boxes(spark, d).select("id", (F.col("id") * 3).alias("weight"), udfs.box_wkb("xmin", "ymin", "xmax", "ymax").alias("geometry"))
+    convert(spark, src, target, LayoutOptions(bands=X.BANDS, native_geo=False, coarsest_rel=1 / 20, bbox="always"))
+    return target
+
+
+def layout_viewport(spark: SparkSession, d: str) -> DataFrame:
+    """A conversion, written and read through ``Layout.viewport`` far in: the exact shapes that may meet the viewport."""
+    from geoladder.functions import udfs
+    from geoladder.sources.reader import read_layout
+
+    shapes = read_layout(spark, _layout(spark, d, "viewport")).viewport((20.0, 0.0, 60.0, 3.0), 24, ["id"])
+    m = shapes.withColumn("m", udfs.measures("shape"))
+    return m.where(C.intersects(F.struct("m.xmin", "m.ymin", "m.xmax", "m.ymax"), (20.0, 0.0, 60.0, 3.0))).select("id", *[F.round(f"m.{c}", 9).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+LAYOUT_VIEWPORT = f"WITH {X.BOXES} SELECT id, round(xmin, 9) AS xmin, round(ymin, 9) AS ymin, round(xmax, 9) AS xmax, round(ymax, 9) AS ymax FROM boxes WHERE xmin <= 60 AND xmax >= 20 AND ymin <= 3 AND ymax >= 0"
+
+
+def layout_row(spark: SparkSession, d: str) -> DataFrame:
+    """The attributes of picked features through ``Layout.row``."""
+    from geoladder.sources.reader import read_layout
+
+    layout = read_layout(spark, _layout(spark, d, "row"))
+    return layout.row("id", 17).unionByName(layout.row("id", 170)).unionByName(layout.row("id", -1)).select("id", "weight")
+
+
+LAYOUT_ROW = "SELECT p_partkey AS id, 3 * p_partkey AS weight FROM part WHERE p_partkey IN (17, 170)"
+
+
+def file_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The single-file export, opened by its footers alone: row groups with bands, boxes from the covering's statistics and
+    bytes; then planned, priced, and scanned by rows with their numbers in the file."""
+    from geoladder.sources import reader, writer
+
+    target = _layout(spark, d, "export")
+    one = reader.read_file(spark, writer.export_file(spark, target, f"{target}.parquet"))
+    plan = planner.plan(one.info, one.groups, (20.0, 0.0, 60.0, 3.0), 24)
+    priced = planner.planned_bytes(plan.groups, one.chunks.where("nbytes > 0").select("rg", "column", "nbytes")).first()
+    levels = len(one.info.levels)
+    sizes = [planner.prefix_bytes(one.info, k) for k in range(levels)]
+    ranges = plan.groups.select("rg", "row_start", "row_end")
+    rows = one.scan(["id"], ranges)
+    every = one.groups.agg(F.sum("rows").alias("rows"), F.count_if(F.col("bbox").isNull()).alias("unknown")).first()
+    facts = [every.rows, every.unknown, rows.select("row_index").distinct().count() - plan.groups.agg(F.sum("rows")).first()[0], int(priced.planned_bytes > 0), int(all(a and a[0] < a[1] for a in sizes)), rows.where("id is null").count()]
+    return spark.createDataFrame([facts], "rows long, without_box long, rows_amiss long, priced long, prefixes long, nulls long")
+
+
+FILE_GROUPS = "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS without_box, CAST(0 AS BIGINT) AS rows_amiss, CAST(1 AS BIGINT) AS priced, CAST(1 AS BIGINT) AS prefixes, CAST(0 AS BIGINT) AS nulls FROM part"
+
+
+FUNCTIONS = [columns_and_groups, group_box_order, uncached_ranges, chunk_bytes, file_extent, vertex_styles, layout_viewport, layout_row, file_groups, level_for_zoom, rowgroup_prune, seam_split_prune, band_skip, viewport_read, flat_preview_boxes, page_ranges_merged, page_pairing, page_gate, count_lookup, cache_hits_misses, plan_signature, byte_meter, recent_events, stream_meter, prune_outcomes, file_facts, share_of_file, planned_bytes_sweep, overfetch_by_zoom, version_twin, density_style, row_attributes, clamped_boxes]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 ORACLE_SQL = {n: globals()[n.upper()] for n in QUERIES if n.upper() in globals()}

@@ -96,12 +96,19 @@ def _layout(spark: SparkSession, measured: DataFrame, src: reader.Source, target
         rows = rows.drop("overview_count")
     rows = rows.drop("cx", "cy", "rx", "ry", "hash", "area", "length", "xmin", "ymin", "xmax", "ymax", "score")
 
+    # from here on everything reads the banded rows from a table: ranks and coarse shapes are made once
+    banded = f"{target.rstrip('/')}-banded-{uuid.uuid4().hex}"
+    rows.write.partitionBy("band").parquet(banded)
+    rows = spark.read.parquet(banded).withColumn("band", F.col("band").cast("int"))
+
     # row groups: equal parts of the coarse bands, byte budgets in ranges of the curve for the exact one
     sizes = {r.band: r["count"] for r in present}
     parts = []
     for b in range(last):
-        n = sizes[b]
-        parts.append(rows.where(F.col("band") == b).withColumn("__range", F.lit(0)).withColumn("rg", rowgroups.near_equal_groups([F.col("hilbert"), F.col("row_id")], n, options.coarse_row_groups).cast("int")))
+        # slim rows are numbered, and the group joins them again
+        place = banding.numbered(rows.where(F.col("band") == b).select("hilbert", F.col("row_id").alias("__row")), [("hilbert", False), ("__row", False)], "__place", sizes[b])
+        plan = place.select("__row", rowgroups.group_of_place(F.col("__place"), sizes[b], options.coarse_row_groups).alias("rg"))
+        parts.append(rows.where(F.col("band") == b).withColumn("__range", F.lit(0)).join(plan, F.col("row_id") == F.col("__row")).drop("__row"))
     budget = int(options.row_group_mb * MEGABYTE)
     n_ranges = max(1, -(-e.total_bytes // (budget * RANGE_GROUPS)))
     exact = rows.where(F.col("band") == last)
@@ -118,6 +125,8 @@ def _layout(spark: SparkSession, measured: DataFrame, src: reader.Source, target
     staged = f"{target.rstrip('/')}-staged-{uuid.uuid4().hex}"
     out.write.parquet(staged)
     out = spark.read.parquet(staged)
+    fs, path = reader.open_path(banded)
+    fs.delete_dir(path)
     try:
         from pyspark.sql import Window
 
@@ -133,11 +142,12 @@ def _layout(spark: SparkSession, measured: DataFrame, src: reader.Source, target
         overview_bytes = out.groupBy("band").agg(F.sum(F.octet_length("geom_overview")).alias("o")).collect() if has_overview else []
         shapes = {r.band: r.o or 0 for r in overview_bytes}
         types = sorted(r.gtype for r in out.where("gtype is not null").select("gtype").distinct().collect())
+        coarse_types = sorted(r.t for r in out.select(C.type_name(F.col("geom_overview")).alias("t")).where("t is not null").distinct().collect()) if has_overview else None
         keep = [c for c in out.columns if c not in ("dim", "valid", "gtype", "nbytes", "geometry", "bbox", "band", "rg", "geom_overview", "overview_count", "hilbert", "row_id")]
         final = [*keep, "geometry", *(["bbox"] if with_bbox else []), F.col("band").cast("smallint").alias("band"), "rg", *(["geom_overview"] if has_overview else []), *(["overview_count"] if counted else []), "hilbert", "row_id"]
         meta = {k: v for k, v in src.footer.items() if k not in ("geo", "overviews") and not k.startswith(("ARROW:", "org.apache.spark"))}
         crs_value = src.meta["crs"] if "crs" in src.meta else footer.ABSENT
-        meta["geo"] = footer.geo_block((e.x0, e.y0, e.x1, e.y1), types, src.meta, crs_value, types if has_overview else None, with_bbox)
+        meta["geo"] = footer.geo_block((e.x0, e.y0, e.x1, e.y1), types, src.meta, crs_value, coarse_types, with_bbox)
         meta["overviews"] = footer.overviews_block(records, importance, method, label, has_overview, with_bbox, "overview_count" if counted else None)
         writer.write_layout(out.select(*final), groups, meta, target, options)
     finally:

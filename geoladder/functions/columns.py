@@ -113,6 +113,21 @@ def importance(column: Column) -> Column:
     return F.coalesce(column.cast("double"), F.lit(float("-inf")))
 
 
+#: The geometry types of WKB, from 1.
+TYPE_NAMES = ["Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection"]
+
+
+def type_name(wkb: Column) -> Column:
+    """The type's name from a WKB value's header; null for null."""
+    byte = lambda i: F.conv(F.hex(F.substring(wkb, i, 1)), 16, 10).cast("int")
+    little = byte(1) == 1
+    code = F.when(little, byte(2) + 256 * byte(3)).otherwise(byte(5) + 256 * byte(4)) % 1000
+    name = F.lit(None).cast("string")
+    for i, n in enumerate(TYPE_NAMES, 1):
+        name = F.when(code == i, n).otherwise(name)
+    return F.when(F.octet_length(wkb) >= 5, name)
+
+
 def shown(column: Column, kind: str) -> Column:
     """A value as text: null is empty, nested values are JSON."""
     text = F.to_json(column) if kind.startswith(("struct", "array", "map")) else column.cast("string")

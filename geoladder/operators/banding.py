@@ -13,10 +13,31 @@ MAX_CELL = (1 << 30) - 1
 WINDOW_ROWS = 2_000_000
 
 
-def percentile_desc(metric: Column, cohort: list[str]) -> Column:
-    """1 for the largest of a cohort, falling towards 0; ties share the better value."""
-    rank = F.rank().over(Window.partitionBy(*cohort).orderBy(metric.desc()))
-    return 1 - (rank - 1).cast("double") / F.count("*").over(Window.partitionBy(*cohort)).cast("double")
+def percentile_desc(df: DataFrame, metric: str, cohort: list[str], out: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Adds 1 for the largest of a cohort, falling towards 0; ties share the better value.
+
+    A rank is one more than the number of rows with greater values, so rows are counted by value first; the values, not
+    the rows, are put in order, within sampled ranges whose counts are summed up beforehand. Beyond the ranges' number
+    nothing of a cohort meets in one task.
+    """
+    key = [*cohort, metric]
+    values = df.groupBy(*key).agg(F.count("*").alias("__n"))
+    n = df.count()
+    n_buckets = max(1, -(-n // window_rows) * 4)
+    cuts = sorted(set(df.approxQuantile(metric, [i / n_buckets for i in range(1, n_buckets)], 0.5 / n_buckets))) if n_buckets > 1 else []
+    values = values.withColumn("__bucket", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c > F.col(metric).cast("double"))))
+    sizes = values.groupBy(*cohort, "__bucket").agg(F.sum("__n").alias("__size"))
+    every = Window.partitionBy(*cohort)
+    upto = every.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(upto), F.lit(0))).withColumn("__all", F.sum("__size").over(every)).drop("__size")
+    greater = Window.partitionBy(*cohort, "__bucket").orderBy(F.col(metric).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    values = values.join(F.broadcast(sizes), [*cohort, "__bucket"])  # a row per cohort and range
+    values = values.withColumn("__rank", F.col("__before") + F.coalesce(F.sum("__n").over(greater), F.lit(0)))
+    scored = values.select(*[F.col(k).alias(f"__{k}") for k in key], (1 - F.col("__rank").cast("double") / F.col("__all").cast("double")).alias(out))
+    on = F.lit(True)
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(scored, on).drop(*[f"__{k}" for k in key])
 
 
 def rank_metric(df: DataFrame, dims: set[int], geographic: bool, importance_column: str | None) -> tuple[DataFrame, str]:
@@ -34,9 +55,9 @@ def rank_metric(df: DataFrame, dims: set[int], geographic: bool, importance_colu
     if len(dims) <= 1:
         label = {0: f"attribute:{importance_column}" if importance_column else "grid_thin", 1: "length_desc"}.get(next(iter(dims), 2), "area_desc")
         return df.withColumnRenamed("metric", "score"), label
-    cohort = df.withColumn("ranked", F.col("metric").isNotNull())
-    scored = cohort.withColumn("score", F.when(F.col("ranked"), percentile_desc(F.col("metric"), ["dim", "ranked"])))
-    return scored.drop("metric", "ranked"), "mixed_quantile_desc"
+    ranked = percentile_desc(df.where("metric is not null"), "metric", ["dim"], "score")
+    rest = df.where("metric is null").withColumn("score", F.lit(None).cast("double"))
+    return ranked.unionByName(rest).drop("metric"), "mixed_quantile_desc"
 
 
 def cell(value: Column, low: float, size: float) -> Column:
@@ -58,32 +79,57 @@ def survivors(df: DataFrame, size: float, origin: tuple[float, float], tie: list
     return joined.withColumn("survivor", won).withColumn("overview_count", F.when(won, F.col("__n")).otherwise(F.lit(0)).cast("bigint")).drop("__ix", "__iy", "__dim", "__jx", "__jy", "__best", "__n")
 
 
-def ranked_bands(df: DataFrame, order: list[tuple[str, bool]], edges: list[int], out: str = "band", rows: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Adds the band that a row's place falls into, given the places where bands begin.
+def numbered(df: DataFrame, order: list[tuple[str, bool]], out: str, rows: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Adds each row's place (from 0) in an order of all rows.
 
-    ``order``: (column, descending) of a total order, nulls last. Up to ``window_rows`` rows one window numbers them. A
-    larger table is dealt into buckets by a sampled range of its first column; bucket counts give each bucket's first
-    place, and only within buckets rows are numbered, so no task sees all rows.
+    ``order``: (column, descending) of a total order of numbers, nulls last. Up to ``window_rows`` rows one window numbers
+    them. A larger table is dealt into buckets by sampled ranges of its first column, and rows that tie there (nulls, or a
+    value that fills a range by itself) by the second one; bucket counts give each bucket's first place, and only within
+    buckets rows are numbered, so no task sees all rows.
     """
     by = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in order]
     n = rows if rows is not None else df.count()
     if n <= window_rows:
-        return df.withColumn("__place", F.row_number().over(Window.orderBy(*by)) - 1).withColumn(out, _band_of(F.col("__place"), edges)).drop("__place")
-    first, down = order[0]
-    key = F.col(first).cast("double")
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*by)) - 1)
+    (first, down), (second, down2) = order[0], order[1]
+    key, tie = F.col(first).cast("double"), F.col(second).cast("double")
     n_buckets = max(2, -(-n // window_rows) * 4)
-    cuts = sorted(set(df.select(key.alias("k")).where("k is not null").approxQuantile("k", [i / n_buckets for i in range(1, n_buckets)], 0.5 / n_buckets)))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: (c > key) if down else (c <= key)))
-    # unranked rows all tie on the first column: they are dealt by the second; other ties share a bucket
-    second, down2 = order[1]
-    ties = sorted(set(df.where(key.isNull()).select(F.col(second).cast("double").alias("k")).approxQuantile("k", [i / n_buckets for i in range(1, n_buckets)], 0.5 / n_buckets)))
-    tied = F.size(F.filter(F.array(*[F.lit(c) for c in ties]).cast("array<double>"), lambda c: (c > F.col(second)) if down2 else (c <= F.col(second))))
-    df = df.withColumn("__bucket", F.when(key.isNull(), len(cuts) + 1 + tied).otherwise(bucket))
+    shares, error = [i / n_buckets for i in range(1, n_buckets)], 0.5 / n_buckets
+    found = df.select(key.alias("k")).where("k is not null").approxQuantile("k", shares, error)
+    cuts = sorted(set(found))
+    # a value that is a cut more than once holds more than a range's share of the rows
+    heavy = sorted({c for c in cuts if found.count(c) > 1})
+    within = lambda column, at, falls: F.size(F.filter(F.array(*[F.lit(float(c)) for c in at]).cast("array<double>"), lambda c: (c > column) if falls else (c < column)))
+    tied = key.isNull() | (key.isin(heavy) if heavy else F.lit(False))
+    ties = sorted(set(df.where(tied).select(tie.alias("k")).approxQuantile("k", shares, error)))
+    main = F.when(key.isNull(), len(cuts) + 1).otherwise(within(key, cuts, down))
+    # a heavy value lies alone between those before and after it
+    side = F.when(key.isin(heavy), 1).when(F.array_contains(F.array(*[F.lit(float(c)) for c in heavy]).cast("array<double>"), key), 1).otherwise(F.when(_after_heavy(key, heavy, cuts, down), 2).otherwise(0)) if heavy else F.lit(0)
+    df = df.withColumn("__bucket", F.struct(main.alias("a"), side.alias("b"), F.when(tied, within(tie, ties, down2)).otherwise(0).alias("c")))
     sizes = df.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = sizes.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     placed = df.join(F.broadcast(before), F.col("__bucket") == F.col("__b"))  # a row per bucket
-    placed = placed.withColumn("__place", F.col("__before") + F.row_number().over(Window.partitionBy("__bucket").orderBy(*by)) - 1)
-    return placed.withColumn(out, _band_of(F.col("__place"), edges)).drop("__place", "__bucket", "__b", "__before")
+    placed = placed.withColumn(out, F.col("__before") + F.row_number().over(Window.partitionBy("__bucket").orderBy(*by)) - 1)
+    return placed.drop("__bucket", "__b", "__before")
+
+
+def _after_heavy(key: Column, heavy: list[float], cuts: list[float], down: bool) -> Column:
+    """Whether a value comes behind a heavy one that shares its range (ranges are open towards the next cut)."""
+    out = F.lit(False)
+    for h in heavy:
+        nearer = [c for c in cuts if (c < h if down else c > h)]
+        edge = (max(nearer) if down else min(nearer)) if nearer else None
+        behind = (key < h) if down else (key > h)
+        if edge is not None:
+            behind = behind & ((key >= edge) if down else (key <= edge))
+        out = out | behind
+    return out
+
+
+def ranked_bands(df: DataFrame, order: list[tuple[str, bool]], edges: list[int], out: str = "band", rows: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Adds the band that a row's place falls into, given the places where bands begin; see ``numbered``."""
+    placed = numbered(df, order, "__place", rows, window_rows)
+    return placed.withColumn(out, _band_of(F.col("__place"), edges)).drop("__place")
 
 
 def _band_of(place: Column, edges: list[int]) -> Column:

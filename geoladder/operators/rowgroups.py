@@ -17,6 +17,13 @@ def near_equal_groups(order: list[Column], rows: int, most: int, partition: list
     return F.ntile(k).over(Window.partitionBy(*(partition or [])).orderBy(*order)) - 1
 
 
+def group_of_place(place: Column, rows: int, most: int) -> Column:
+    """The same from a row's place (from 0) in the band's order."""
+    k = min(most, max(1, rows // LEAST_COARSE_GROUP_ROWS))
+    q, r = rows // k, rows % k
+    return F.when(place < r * (q + 1), F.floor(place / (q + 1))).otherwise(r + F.floor((place - r * (q + 1)) / max(q, 1))).cast("int")
+
+
 def greedy_groups(df: DataFrame, order: list[str], bytes_col: str, budget: int, out: str = "rg", by: str | None = None) -> DataFrame:
     """Row group of each row: a new one begins where the bytes so far have reached the budget.
 

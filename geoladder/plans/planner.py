@@ -195,5 +195,82 @@ def counts_for_rows(rows: DataFrame, groups: DataFrame, row: str = "row_id") ->
     return hit.withColumn("count", F.coalesce(F.when(at <= F.size("counts"), F.element_at("counts", at)), F.lit(0))).select(*[rows[c] for c in rows.columns], "count")
 
 
+def columns_read(plan: ReadPlan) -> DataFrame:
+    """column: the distinct geometry columns of a plan."""
+    return plan.groups.select("column").distinct()
+
+
+def groups_painted(plan: ReadPlan) -> DataFrame:
+    """One row, groups: how many distinct row groups a plan reads."""
+    return plan.groups.agg(F.countDistinct("rg").alias("groups"))
+
+
+def usable_stats(box: Column) -> Column:
+    """Whether statistics can serve as a box: all four are finite and in order."""
+    sides = [box[c] for c in ("xmin", "ymin", "xmax", "ymax")]
+    finite = [~F.isnan(s) & (F.abs(s) < float("inf")) for s in sides]
+    ok = finite[0] & finite[1] & finite[2] & finite[3] & (sides[0] <= sides[2]) & (sides[1] <= sides[3])
+    return F.coalesce(ok, F.lit(False))
+
+
+def group_box(covering: Column, overview: Column, primary: Column) -> Column:
+    """A row group's box: the covering's, else native statistics of the coarse shapes, else of the exact ones, else null."""
+    return F.coalesce(covering, F.when(usable_stats(overview), overview), F.when(usable_stats(primary), primary))
+
+
+def file_extent(groups: DataFrame) -> DataFrame:
+    """One row, extent: the union of the known boxes; null without any."""
+    box = F.struct(F.min("bbox.xmin").alias("xmin"), F.min("bbox.ymin").alias("ymin"), F.max("bbox.xmax").alias("xmax"), F.max("bbox.ymax").alias("ymax"))
+    return groups.agg(F.when(F.count("bbox") > 0, box).alias("extent"))
+
+
+def prune_outcomes(groups: DataFrame, aoi: C.Box | None) -> DataFrame:
+    """outcome, groups, rows: fetched, pruned or no-bbox for a viewport; idle without one."""
+    outcome = F.lit("idle") if aoi is None else F.when(F.col("bbox").isNull(), "no-bbox").when(C.meets_aoi(F.col("bbox"), aoi), "fetched").otherwise("pruned")
+    return groups.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("groups"), F.sum("rows").alias("rows"))
+
+
+def share_of_file(groups: DataFrame) -> DataFrame:
+    """Adds bytes_share and rows_share, in per cent of all groups."""
+    every = groups.agg(F.sum("nbytes").alias("__bytes"), F.sum("rows").alias("__rows"))
+    share = groups.join(F.broadcast(every))  # one row
+    return share.withColumn("bytes_share", 100 * F.col("nbytes") / F.col("__bytes")).withColumn("rows_share", 100 * F.col("rows") / F.col("__rows")).drop("__bytes", "__rows")
+
+
+def counted_groups(groups: DataFrame, last: int) -> DataFrame:
+    """The groups whose rows can carry density counts: those of bands above the finest."""
+    return groups.where(F.col("band") < last)
+
+
+def chunk_bytes(chunks: DataFrame, column: str) -> DataFrame:
+    """rg, nbytes: compressed bytes of a column's chunks (rg, column, nbytes) by row group."""
+    return chunks.where(F.col("column") == column).groupBy("rg").agg(F.sum("nbytes").alias("nbytes"))
+
+
+def uncached_ranges(wanted: DataFrame, cached: DataFrame) -> DataFrame:
+    """What is left of wanted row ranges (rg, column, row_start, row_end) beside cached ones of the same group and column.
+
+    Cached ranges of a group may touch but not overlap. A range keeps its group's column.
+    """
+    key = [F.col("w.rg") == F.col("c.rg"), F.col("w.column") == F.col("c.column"), F.col("c.row_start") < F.col("w.row_end"), F.col("c.row_end") > F.col("w.row_start")]
+    on = key[0] & key[1] & key[2] & key[3]
+    w = wanted.alias("w").join(cached.alias("c"), on, "left").groupBy("w.rg", "w.column", "w.row_start", "w.row_end")
+    held = F.array_sort(F.collect_list(F.when(F.col("c.rg").isNotNull(), F.struct(F.col("c.row_start").alias("a"), F.col("c.row_end").alias("b")))))
+    w = w.agg(held.alias("held"))
+    # the gaps before, between and behind the cached ranges
+    starts = F.concat(F.array("row_start"), F.transform("held", lambda h: h["b"]))
+    ends = F.concat(F.transform("held", lambda h: h["a"]), F.array("row_end"))
+    gaps = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: g["a"] < g["b"])
+    return w.select("rg", "column", F.explode(gaps).alias("g")).select("rg", "column", F.col("g.a").alias("row_start"), F.col("g.b").alias("row_end"))
+
+
+def vertex_styles(pieces: DataFrame, counts: DataFrame, row: str) -> DataFrame:
+    """Adds radius and alpha to drawable pieces (row, coords): the row's value at each of its vertices."""
+    style = counts.select(F.col(row).alias("__row"), C.density_radius(F.col("count")).alias("__radius"), C.density_alpha(F.col("count")).alias("__alpha"))
+    n = (F.size("coords") / 2).cast("int")
+    styled = pieces.join(style, F.col(row) == F.col("__row"), "left")
+    return styled.withColumn("radius", F.array_repeat("__radius", n)).withColumn("alpha", F.array_repeat("__alpha", n)).drop("__row", "__radius", "__alpha")
+
+
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "rg int, column string")

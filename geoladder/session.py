@@ -19,6 +19,17 @@ def reach_workers(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def work_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset, where Spark runs in one process, a
+    folder of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "/tmp/geoladder"
+
+
 def local_session(app: str = "geoladder", cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     """A local session; a cluster brings its own settings and this is not used there."""
     builder = (

@@ -127,6 +127,86 @@ class Layout:
         return self.rows.where(F.col(key) == value).select(*attribute_columns(self.rows.columns))
 
 
+@dataclass
+class OneFile:
+    """A single interoperable file: its rows, its row groups and column chunks as the footers tell them, and its ladder.
+
+    groups: rg, rows, nbytes, row_start, row_end, bbox, band; chunks: rg, column, start, nbytes, codec.
+    """
+
+    path: str
+    rows: DataFrame
+    groups: DataFrame
+    chunks: DataFrame
+    footer: dict[str, str]
+
+    @property
+    def info(self) -> footer.OverviewsInfo | None:
+        return footer.parse_overviews(footer.overviews_of(self.footer))
+
+    def scan(self, columns: list[str], ranges: DataFrame) -> DataFrame:
+        """Columns of the rows in ranges (row_start, row_end) that do not overlap, each with ``row_index``, its number in
+        the file. Ranges are few (row groups or pages of a plan), so they become conditions on the scan."""
+        spans = sorted((r.row_start, r.row_end) for r in ranges.select("row_start", "row_end").collect())
+        merged: list[list[int]] = []
+        for a, b in spans:
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        at = F.col("_metadata.row_index")
+        wanted = F.lit(False)
+        for a, b in merged:
+            wanted = wanted | ((at >= a) & (at < b))
+        return self.rows.where(wanted).select(at.alias("row_index"), *columns)
+
+
+def _leaf_stats(group: Any, leaves: dict[str, int], name: str) -> tuple[float | None, float | None]:
+    stats = group.column(leaves[name]).statistics if name in leaves else None
+    return (float(stats.min), float(stats.max)) if stats is not None and stats.has_min_max else (None, None)
+
+
+def _native_stats(group: Any, leaves: dict[str, int], name: str) -> tuple | None:
+    """The box of native geometry statistics, where the library and the file have them."""
+    geo = getattr(group.column(leaves[name]), "geo_statistics", None) if name in leaves else None
+    box = [getattr(geo, c, None) for c in ("xmin", "ymin", "xmax", "ymax")] if geo is not None else [None]
+    return None if any(v is None for v in box) else tuple(float(v) for v in box)
+
+
+def read_file(spark: SparkSession, path: str) -> OneFile:
+    """Opens one file of the published format by its footer: what is read here grows with its row groups, not its rows."""
+    fs, p = open_path(path)
+    with fs.open_input_file(p) as f:
+        m = pq.ParquetFile(f).metadata
+    kv = {k.decode(): v.decode("utf-8", "replace") for k, v in (m.metadata or {}).items()}
+    leaves = {m.schema.column(i).path: i for i in range(m.num_columns)}
+    top = {m.schema.column(i).path.split(".")[0] for i in range(m.num_columns)}
+    column = footer.geometry_column(sorted(top), kv.get("geo"))
+    meta = footer.column_meta(kv.get("geo"), column)
+    footer.check_encoding(meta)
+    covering = (meta.get("covering") or {}).get("bbox") or {}
+    info = footer.parse_overviews(footer.overviews_of(kv))
+    groups, chunks, row = [], [], 0
+    for k in range(m.num_row_groups):
+        g = m.row_group(k)
+        sides = [".".join(covering[c]) if c in covering else "" for c in ("xmin", "ymin", "xmax", "ymax")]
+        low, high = [_leaf_stats(g, leaves, s)[0] for s in sides[:2]], [_leaf_stats(g, leaves, s)[1] for s in sides[2:]]
+        box = tuple([*low, *high]) if None not in [*low, *high] else None
+        native = [_native_stats(g, leaves, info.overview_column) if info and info.overview_column else None, _native_stats(g, leaves, column)]
+        band = next((v.level for v in info.levels if k <= v.row_group_end), None) if info else None
+        nbytes = sum(g.column(i).total_compressed_size for i in range(m.num_columns))
+        groups.append((k, g.num_rows, nbytes, row, row + g.num_rows, box, *native, band))
+        row += g.num_rows
+        for i in range(m.num_columns):
+            c = g.column(i)
+            start = min(x for x in (c.dictionary_page_offset, c.data_page_offset) if x)
+            chunks.append((k, c.path_in_schema, start, c.total_compressed_size if c.num_values > (c.statistics.null_count or 0 if c.statistics else 0) else 0, c.compression))
+    box_type = "struct<xmin: double, ymin: double, xmax: double, ymax: double>"
+    table = spark.createDataFrame(groups, f"rg int, rows long, nbytes long, row_start long, row_end long, covering {box_type}, coarse {box_type}, exact {box_type}, band int")
+    table = table.withColumn("bbox", planner.group_box(F.col("covering"), F.col("coarse"), F.col("exact"))).drop("covering", "coarse", "exact")
+    return OneFile(path, read_features(spark, path).rows, table, spark.createDataFrame(chunks, "rg int, column string, start long, nbytes long, codec string"), kv)
+
+
 def read_layout(spark: SparkSession, path: str) -> Layout:
     """Opens a written layout; band is a SMALLINT again."""
     text = "\n".join(r.value for r in spark.read.text(f"{path}/{SIDECAR}").collect())  # one small JSON document

@@ -216,3 +216,42 @@ def test_catalogue(spark):
     sets = catalog.datasets(df)
     assert sets.count() == 3
     assert sorted(map(tuple, catalog.twins(sets, "b", "a").collect())) == [("1", "B1", "A1"), ("2", "B2", None)]
+
+
+def test_places_and_ranks_by_ranges(spark):
+    """Numbers and ranks made range by range equal those of one window, ties, nulls and all-equal values included."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from geoladder.operators import banding
+
+    r = random.Random(4)
+    for kind in ("spread", "heavy", "equal"):
+        score = lambda: None if r.random() < 0.2 else 7.0 if kind == "equal" else float(r.choice([3, 3, 3, 5, 5])) if kind == "heavy" and r.random() < 0.7 else r.random() * 9  # noqa: B023, E731
+        df = spark.createDataFrame([(i, score(), i % 2) for i in range(400)], "row_id long, score double, dim int")
+        for down in (True, False) if kind == "heavy" else (True,):
+            order = [F.col("score").desc_nulls_last() if down else F.col("score").asc_nulls_last(), F.col("row_id")]
+            want = {x.row_id: x.n for x in df.withColumn("n", F.row_number().over(Window.orderBy(*order)) - 1).collect()}
+            got = {x.row_id: x.n for x in banding.numbered(df, [("score", down), ("row_id", False)], "n", window_rows=60).collect()}
+            assert got == want, (kind, down)
+        some = df.where("score is not null")
+        every = Window.partitionBy("dim")
+        one = some.withColumn("p", 1 - (F.rank().over(every.orderBy(F.col("score").desc())) - 1).cast("double") / F.count("*").over(every))
+        assert {x.row_id: x.p for x in banding.percentile_desc(some, "score", ["dim"], "p", 60).collect()} == {x.row_id: x.p for x in one.collect()}
+
+
+def test_type_names_from_headers(spark):
+    import struct
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from geoladder.functions import columns as C
+    from geoladder.functions import wkb
+
+    two = [(wkb.POLYGON, [np.array([[0, 0], [1, 0], [1, 1], [0, 0]], float)])] * 2
+    values = [wkb.point(1, 2), wkb.encode(two), struct.pack(">BIddd", 0, 1001, 1, 2, 3), struct.pack("<BIIdd", 1, 1 | 0x20000000, 4326, 1, 2), None]
+    df = spark.createDataFrame([(v,) for v in values], "g binary")
+    assert [x.t for x in df.select(C.type_name(F.col("g")).alias("t")).collect()] == ["Point", "MultiPolygon", "Point", "Point", None]
