@@ -65,6 +65,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 GROUP = 1024
 #: Sources that are broadcast, if they are counted to be no more.
 BROADCAST_SOURCES = 50_000
+BROADCAST_DEALS = 50_000
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: str, out: str) -> DataFrame:
@@ -165,8 +166,11 @@ def mix(docs: DataFrame, spark: SparkSession, **how) -> DataFrame:
     # copies that share unevenly are numbered: by the part of the table that they lie in, and within it by all they hold
     odd = F.col(copies) > 1
     uneven = odd & ((F.col(more) > 0) | (F.col(some) > 0))
+    few = deal.where(uneven)
+    if few.limit(BROADCAST_DEALS + 1).count() <= BROADCAST_DEALS:
+        few = F.broadcast(few)  # else the texts are shuffled for these rows once more
     plain = keyed.join(deal.where(~uneven), same(doc, d) & (F.col(text) == F.col(t)) & same(source, s)).withColumn(number, F.lit(0).cast("bigint"))
-    apart = keyed.withColumn(order, F.xxhash64(*[F.col(f"`{c}`").cast("string") if not kind.startswith(("map", "variant")) else F.lit(0) for c, kind in docs.dtypes])).join(deal.where(uneven), same(doc, d) & (F.col(text) == F.col(t)) & same(source, s))
+    apart = keyed.withColumn(order, F.xxhash64(*[F.col(f"`{c}`").cast("string") if not kind.startswith(("map", "variant")) else F.lit(0) for c, kind in docs.dtypes])).join(few, same(doc, d) & (F.col(text) == F.col(t)) & same(source, s))
     key = [F.hash(doc, text, source), F.col(doc), F.col(text), F.col(source)]
     counts = apart.groupBy(doc, text, source, part).agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
