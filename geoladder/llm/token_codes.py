@@ -33,7 +33,9 @@ MAGIC = b"DAC1\0\0\0\0"
 #: Tokens of a file at most (but for one longer document).
 FILE_TOKENS = 4 << 20
 #: Distinct word pieces that a worker keeps encoded.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_000_000
+#: Bytes of text that are cut into pieces at a time.
+ENCODE_BYTES = 1 << 20
 #: Unicode's White_Space code points.
 SPACE_POINTS = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -335,7 +337,7 @@ def write_codes(docs: DataFrame, spark: SparkSession, vocabulary: str, end_id: i
             ids = batch.column(0)
             nulls = np.asarray(ids.is_null())
             ids = np.asarray(ids.fill_null(0)).astype(np.int64)
-            for i, j, b, o in _vec.chunks(buf, bounds):
+            for i, j, b, o in _vec.chunks(buf, bounds, ENCODE_BYTES):
                 toks, n = enc.encode(b, o)
                 at = np.cumsum(n)
                 toks = np.insert(toks, at, np.uint32(end_id))
