@@ -30,6 +30,8 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -241,17 +243,42 @@ def _prefixes(similarity: float, k: int, rarity):
                 bits = np.zeros((len(size), 64 * PARITY_WORDS), np.uint8)
                 np.bitwise_xor.at(bits, (text, ((el >> U(20)) % U(64 * PARITY_WORDS)).astype(np.int64)), 1)
                 words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-                el = el[order][_vec.ragged(begin, take)]
-                at = pa.array(np.repeat(np.arange(len(size)), take) + i)
+                place = _vec.ragged(begin, take)
+                el = el[order][place]
+                of = np.repeat(np.arange(len(size)), take)
+                left = size[of] - (place - begin[of])
+                at = pa.array(of + i)
                 lead = np.zeros(len(el), bool)
                 lead[(np.cumsum(take) - take)[take > 0]] = True
                 ends = np.concatenate([[0], np.cumsum(lead)]).astype(np.int32) * PARITY_WORDS
                 parity = pa.ListArray.from_arrays(pa.array(ends), pa.array(words[take > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(size, take)), pa.array(np.repeat(shared, take)), pa.array(el.view(np.int64)), parity], ["node", "comp", "size", "shared", "element", "parity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(size, take)), pa.array(np.repeat(shared, take)), pa.array(left), pa.array(el.view(np.int64)), parity], ["node", "comp", "size", "shared", "left", "element", "parity"])
 
     return run
 
 
+def _candidates(live: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that no bound rules out, from the postings of elements that several components have.
+
+    The condition is evaluated for each pair of an element's postings. Its columns are plain numbers without nulls, and no
+    part of it occurs twice: with arrays, the compiled join was too long for the JVM to turn into machine code.
+    """
+    number = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    words = range(PARITY_WORDS)
+    side = lambda s: [F.col("element"), F.col("node").alias(s), *[number(F.col(c)).alias(f"{c}_{s}") for c in ("comp", "size", "shared", "left")], *[number(F.col("parity")[i]).alias(f"bits{i}_{s}") for i in words]]
+    # two sets of these sizes in all have so many elements in common at least; the slack only lets more pairs through
+    needed = lambda sizes: F.ceil(sizes * (similarity / (1 + similarity)) - 1e-6)
+    short = live.where(F.col("left") >= needed(2 * F.col("size")))
+    differ = reduce(add, [F.bit_count(F.col(f"bits{i}_a").bitwiseXOR(F.col(f"bits{i}_b"))) for i in words])
+    both = F.col("size_a") + F.col("size_b")
+    larger = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    # each bit that differs is an element that only one of the two has
+    fits = (F.col("comp_a") != F.col("comp_b")) & larger & (F.least("left_a", "left_b", "shared_a", "shared_b") >= needed(both)) & (differ <= both - 2 * needed(both))
+    made = lambda x, y: x.select(*side("a")).join(y.select(*side("b")), "element").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    other, of_main = F.col("comp") != F.col("main"), F.col("comp") == F.col("main")
+    return made(live.where(other), short).union(made(live.where(of_main), short.where(other))).distinct()
+
+
 def across(text_of: DataFrame, nodes: DataFrame, spark: SparkSession, similarity: float, k: int, cells: int = 1 << 21) -> DataFrame:
     """All links (a, b) between nodes of different components: an exact prefix-filter join.
 
@@ -261,13 +288,17 @@ def across(text_of: DataFrame, nodes: DataFrame, spark: SparkSession, similarity
     before they are made: elements that are nowhere else, and the bits in which parity bitmaps of the sets differ. Rarity is counted in a table of fixed size (8 MB); its
     collisions only blur the order, which may be any. Of an element's nodes, those in its most frequent component are not
     paired with each other.
+
+    All that two sets have in common lies from their first common element on, so a pair is made only where both have
+    enough left there. For the smaller of two sets that is known before the join: it takes part only with the elements
+    that a set of its own size could begin to agree at, which are about half of its prefix.
     """
     have = text_of.join(nodes, "node").select("node", "comp", "text")
     counted = have.select("text").mapInArrow(_rarity(k, cells), "slice int, counts binary").groupBy("slice").applyInPandas(_add_slices, "slice int, counts binary")
     table = np.zeros(cells, np.uint32)
     for r in counted.collect():  # 8 MB in all, whatever the data are
         table[r.slice * (cells // 16) : (r.slice + 1) * (cells // 16)] = np.frombuffer(r.counts, np.uint32)
-    posts = have.mapInArrow(_prefixes(similarity, k, spark.sparkContext.broadcast(table)), "node bigint, comp bigint, size bigint, shared bigint, element bigint, parity array<bigint>")
+    posts = have.mapInArrow(_prefixes(similarity, k, spark.sparkContext.broadcast(table)), "node bigint, comp bigint, size bigint, shared bigint, left bigint, element bigint, parity array<bigint>")
     posts = _shared.written(posts, spark, "near-prefixes")
     per = posts.groupBy("element", "comp").agg(F.count("*").alias("n"))
     main = per.groupBy("element").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("comps > 1").select("element", "main")
@@ -275,13 +306,7 @@ def across(text_of: DataFrame, nodes: DataFrame, spark: SparkSession, similarity
     live = posts.withColumn("again", again).join(main.withColumn("again", again), ["element", "again"]).drop("again")
     parity = posts.where(F.size("parity") > 0).select("node", "parity")
     live = _shared.written(live.drop("parity").join(parity, "node"), spark, "near-postings")
-    side = lambda s: [F.col("element"), F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "size", "shared", "parity")]]
-    x, y = live.where("comp <> main").select(*side("a")), live.select(*side("b"))
-    # each bit that differs is an element that only one of the two has
-    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(1, PARITY_WORDS)), F.bit_count(F.col("parity_a")[0].bitwiseXOR(F.col("parity_b")[0])))
-    enough = lambda common: common >= similarity * (F.col("size_a") + F.col("size_b") - common) - 1e-9
-    fits = (F.col("comp_a") != F.col("comp_b")) & enough(F.least("shared_a", "shared_b")) & enough(F.floor((F.col("size_a") + F.col("size_b") - differ) / 2))
-    pairs = x.join(y, "element").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = _candidates(live, similarity)
     return verified(pairs, text_of, k).where(F.col("similarity") >= similarity).select("a", "b")
 
 

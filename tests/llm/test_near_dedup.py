@@ -101,3 +101,37 @@ def test_texts_made_by_halves_are_two_nodes(spark):
     other = word.translate({97: 98, 98: 97})
     df = spark.createDataFrame([(1, word), (2, other), (3, word), (4, "v " * 100_000), (5, "v " * 100_000)], "doc_id bigint, text string")
     assert {x.doc_id: x.class_id for x in nd.near_duplicates(df, spark).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
+def test_crowded_links_between_components(spark, monkeypatch):
+    """Many variants of one text, about as far from each other as links may be: the classes are those of all pairs, and
+    the join that every pair goes through is short enough for the JVM to compile (8,000 bytes a method)."""
+    r = random.Random(5)
+    words = ["w%d" % i for i in range(3000)]
+    base = [r.choice(words) for _ in range(150)]
+    rows = []
+    for i in range(120):
+        x = list(base)
+        for _ in range(r.randint(1, 5)):
+            at = r.randrange(len(x))
+            x[at : at + r.randint(0, 2)] = [r.choice(words) for _ in range(r.randint(0, 3))]
+        rows.append((i, " ".join(x)))
+    made, lengths = nd.verified, []
+
+    def seen(pairs, *rest):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plan = pairs.select("a", "b")._jdf.queryExecution().executedPlan()
+            stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+            lengths.extend(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length()))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        return made(pairs, *rest)
+
+    monkeypatch.setattr(nd, "verified", seen)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nodes = docs.selectExpr("doc_id as node", "doc_id as comp", "text")
+    links = {tuple(x) for x in nd.across(nodes.select("node", "text"), nodes.select("node", "comp"), spark, 0.8, 5).collect()}
+    bags = [bag(t) for _, t in rows]
+    assert links == {(i, j) for j in range(len(rows)) for i in range(j) if sim(bags[i], bags[j]) >= 0.8}
+    assert 100 < len(links) < 6000 and lengths and 0 < max(lengths) < 8000
