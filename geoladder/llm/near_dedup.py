@@ -30,7 +30,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import add
 
 import numpy as np
@@ -219,19 +219,32 @@ def _rarity(k: int, cells: int, slices: int = 16):
     return run
 
 
-def _add_slices(pdf):
-    total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["counts"])
-    pdf = pdf.iloc[:1].copy()
-    pdf["counts"] = [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]
-    return pdf
+def _add_slices(folder: str):
+    """Writes each slice of the tables' sum to a file; the table is for the executors and does not pass the driver."""
 
+    def run(pdf):
+        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["counts"])
+        out = _shared.SharedFile(folder, f"{pdf['slice'].iloc[0]}-{_shared.attempt()}")
+        out.write(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes())
+        pdf = pdf[["slice"]].iloc[:1].copy()
+        pdf["uri"] = [out.close()]
+        return pdf
 
-def _prefixes(similarity: float, k: int, rarity):
+    return run
+
+
+@lru_cache(maxsize=1)
+def _rarity_table(uris: tuple[str, ...]) -> np.ndarray:
+    """The whole table from the files of its slices, in order; a worker reads it once."""
+    return np.concatenate([np.frombuffer(_shared.read_shared(uri), np.uint32) for uri in uris])
+
+
+def _prefixes(similarity: float, k: int, uris: tuple[str, ...]):
     """Of each node the elements that come first in the order of rarity, so many that a similar node must share one."""
 
     def run(batches):
-        table = rarity.value
         for batch in batches:
+            table = _rarity_table(uris)
             buf, bounds = _vec.text_buffers(batch.column(2))
             for i, _, b, o in _vec.chunks(buf, bounds):
                 el, text, size = _elements(*multisets(b, o, k)[:3])
@@ -286,20 +299,20 @@ def across(text_of: DataFrame, nodes: DataFrame, spark: SparkSession, similarity
     share one of their first n - ceil(s n) + 1 elements. Copies that were changed each in its own way begin with elements
     of their own, so they do not even become candidates; and two bounds of what two sets can have in common rule out pairs
     before they are made: elements that are nowhere else, and the bits in which parity bitmaps of the sets differ. Rarity is counted in a table of fixed size (8 MB); its
-    collisions only blur the order, which may be any. Of an element's nodes, those in its most frequent component are not
-    paired with each other.
+    collisions only blur the order, which may be any. The table lies in the shared folder while it is used. Of an element's
+    nodes, those in its most frequent component are not paired with each other.
 
     All that two sets have in common lies from their first common element on, so a pair is made only where both have
     enough left there. For the smaller of two sets that is known before the join: it takes part only with the elements
     that a set of its own size could begin to agree at, which are about half of its prefix.
     """
     have = text_of.join(nodes, "node").select("node", "comp", "text")
-    counted = have.select("text").mapInArrow(_rarity(k, cells), "slice int, counts binary").groupBy("slice").applyInPandas(_add_slices, "slice int, counts binary")
-    table = np.zeros(cells, np.uint32)
-    for r in counted.collect():  # 8 MB in all, whatever the data are
-        table[r.slice * (cells // 16) : (r.slice + 1) * (cells // 16)] = np.frombuffer(r.counts, np.uint32)
-    posts = have.mapInArrow(_prefixes(similarity, k, spark.sparkContext.broadcast(table)), "node bigint, comp bigint, size bigint, shared bigint, left bigint, element bigint, parity array<bigint>")
+    folder = _shared.new_folder(spark, "near-rarity")
+    counted = have.select("text").mapInArrow(_rarity(k, cells), "slice int, counts binary").groupBy("slice").applyInPandas(_add_slices(folder), "slice int, uri string")
+    uris = tuple(r.uri for r in sorted(counted.collect()))  # one name a slice, whatever the data are
+    posts = have.mapInArrow(_prefixes(similarity, k, uris), "node bigint, comp bigint, size bigint, shared bigint, left bigint, element bigint, parity array<bigint>")
     posts = _shared.written(posts, spark, "near-prefixes")
+    _shared.discard_folder(folder)
     per = posts.groupBy("element", "comp").agg(F.count("*").alias("n"))
     main = per.groupBy("element").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("comps > 1").select("element", "main")
     again = _shared.rehashed("element")

@@ -36,6 +36,8 @@ U = np.uint64
 DIMS = 1 << 18
 SAMPLE = 12_000
 MOST_CELLS = 4096
+#: Cells that are counted at a time, since NumPy counts on copies of eight bytes a cell.
+BLOCK = 1 << 18
 #: Ratings below the wanted grade that are broadcast, if they are counted to be no more.
 BROADCAST_ROWS = 500_000
 #: Grades of the labels table: toxic text is worst, then text of low quality.
@@ -99,13 +101,18 @@ class Model:
 def associated(cell: np.ndarray, begin: np.ndarray, grades: np.ndarray, dims: int, n_grades: int, screen: float) -> np.ndarray:
     """Which cells tell grades apart: for some k, the shares of documents of grade >= k with and without the cell differ
     by ``screen`` standard errors. Cells of word shapes always count."""
-    n, row = len(grades), np.repeat(np.arange(len(grades)), np.diff(begin))
-    have = np.bincount(cell, minlength=dims).astype(np.float64)
+    n, row = len(grades), np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(begin))
+    have, with_good = np.zeros(dims), np.zeros((n_grades, dims))
+    for at in range(0, len(cell), BLOCK):
+        c, g = cell[at : at + BLOCK], grades[row[at : at + BLOCK]]
+        have += np.bincount(c, minlength=dims)
+        for k in range(1, n_grades):
+            with_good[k] += np.bincount(c, g >= k, dims)
     out = np.zeros(dims, bool)
     out[dims - SHAPES :] = True
     for k in range(1, n_grades):
         good = (grades >= k).astype(np.float64)
-        with_it, p = np.bincount(cell, good[row], dims), good.mean()
+        with_it, p = with_good[k], good.mean()
         error = np.sqrt(np.maximum(p * (1 - p) * have * (n - have) / n, 1e-12))
         out |= (have > 0) & (np.abs(with_it - have * p) > screen * error)
     return out
@@ -123,9 +130,10 @@ def fit(cell: np.ndarray, value: np.ndarray, begin: np.ndarray, grades: np.ndarr
         return Model(np.zeros(dims, np.float32), np.where(np.arange(1, n_grades) <= g, -30.0, 30.0))
     rng = np.random.default_rng(seed)
     used = associated(cell, begin, grades, dims, n_grades, screen)
-    keep = used[cell]
-    begin = np.concatenate([[0], np.cumsum(keep)])[begin]
-    cell, value = (np.cumsum(used) - 1)[cell[keep]], value[keep]
+    keep = np.flatnonzero(used[cell])
+    begin = np.searchsorted(keep, begin)
+    cell, value = (np.cumsum(used) - 1).astype(np.int32)[cell[keep]], value[keep]
+    del keep
     all_dims, dims = dims, int(used.sum())
     share = np.bincount(grades, minlength=n_grades) / n
     case_weight = np.where(share > 0, 1 / np.sqrt(np.maximum(share, 1e-9)), 0)
@@ -182,6 +190,16 @@ def added(docs: DataFrame) -> tuple[str, str]:
     return out[0], out[1]
 
 
+def flat(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column in one array, and where each row's begin."""
+    values = column.combine_chunks()
+    if not len(values):
+        return np.zeros(0, dtype), np.zeros(1, np.int64)
+    _, ends, data = values.buffers()
+    begin = np.frombuffer(ends, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64) // np.dtype(dtype).itemsize
+    return (np.frombuffer(data, dtype) if data else np.zeros(0, dtype))[begin[0] : begin[-1]], begin - begin[0]
+
+
 def train(docs: DataFrame, ratings: DataFrame, spark: SparkSession, n_grades: int = GRADES, sample: int = SAMPLE, dims: int = DIMS, most_cells: int = MOST_CELLS, **how) -> Model:
     """Fits on a bounded sample of the rated documents. ``ratings``: (doc_id, grade)."""
     _shared.small_batches(spark)
@@ -204,16 +222,16 @@ def train(docs: DataFrame, ratings: DataFrame, spark: SparkSession, n_grades: in
                 cut = [slice(x, y) for x, y in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([c[s].tobytes() for s in cut], pa.binary()), pa.array([v[s].astype(np.float16).tobytes() for s in cut], pa.binary())], ["id", "grade", "cells", "values"])
 
-    got = rows.mapInArrow(features, "id bigint, grade int, cells binary, values binary").toArrow()
-    order = np.argsort(np.asarray(got["id"]), kind="stable")  # the same sum order in every run
-    c = [np.frombuffer(x.as_py(), np.int32) for x in got["cells"].combine_chunks().take(pa.array(order))] if len(order) else []
-    v = [np.frombuffer(x.as_py(), np.float16) for x in got["values"].combine_chunks().take(pa.array(order))] if len(order) else []
-    begin = np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int64)
-    grades = np.asarray(got["grade"])[order].astype(np.int64) if len(order) else np.zeros(0, np.int64)
-    del got
-    pa.default_memory_pool().release_unused()
-    empty = np.zeros(0)
-    return fit(np.concatenate(c) if c else empty.astype(np.int32), np.concatenate(v).astype(np.float32) if v else empty.astype(np.float32), begin, grades, dims, n_grades, **how)
+    # by way of the shared folder, since what is collected lies in the JVM's heap several times
+    kept = _shared.written(rows.mapInArrow(features, "id bigint, grade int, cells binary, values binary"), spark, "quality-sample")
+    got = _shared.read_table(kept)
+    _shared.discard(kept)
+    got = got.take(pa.array(np.argsort(np.asarray(got["id"]), kind="stable")))  # the same sum order in every run
+    (c, begin), (v, _) = flat(got["cells"], np.int32), flat(got["values"], np.float16)
+    model = fit(c, v.astype(np.float32), begin, np.asarray(got["grade"]).astype(np.int64), dims, n_grades, **how)
+    del got, c, v
+    _shared.trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, spark: SparkSession, keep_grade: int = GRADES - 1) -> DataFrame:

@@ -1,3 +1,4 @@
+import pickle
 import random
 from collections import Counter
 
@@ -135,3 +136,19 @@ def test_crowded_links_between_components(spark, monkeypatch):
     bags = [bag(t) for _, t in rows]
     assert links == {(i, j) for j in range(len(rows)) for i in range(j) if sim(bags[i], bags[j]) >= 0.8}
     assert 100 < len(links) < 6000 and lengths and 0 < max(lengths) < 8000
+
+
+def test_rarity_table_passes_the_driver_by(spark, monkeypatch):
+    """The table of 8 MB that all tasks read lies in the shared folder, and only as long as it is read."""
+    rows = [(i, " ".join("w%d" % (j if j != i else 100 + i) for j in range(60))) for i in range(12)]
+    nodes = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id as node", "doc_id as comp", "text")
+    sizes = []
+    collect, broadcast = type(nodes).collect, type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(nodes), "collect", lambda self: [sizes.append(len(pickle.dumps(got := collect(self)))), got][1])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: [sizes.append(len(pickle.dumps(value))), broadcast(self, value)][1])
+    links = nd.across(nodes.select("node", "text"), nodes.select("node", "comp"), spark, 0.6, 5)
+    assert sum(sizes) < 20_000
+    bags = [bag(t) for _, t in rows]
+    assert {tuple(x) for x in collect(links)} == {(i, j) for j in range(12) for i in range(j) if sim(bags[i], bags[j]) >= 0.6}
+    fs, path = nd._shared.open_fs(nd._shared.shared_root(spark) + "/geoladder")
+    assert not [x.path for x in fs.get_file_info(nd._shared.pafs.FileSelector(path)) if "near-rarity" in x.path]

@@ -336,6 +336,38 @@ def test_quality_columns_and_long_texts(spark, monkeypatch):
     assert sorted((x.doc_id for x in quality.select(d, labels, spark).collect()), key=str) == ids
 
 
+def test_quality_sample_passes_the_heap_by(spark, monkeypatch):
+    """The fit gets every rated row's cells, in order of ids, without the JVM of the driver collecting them."""
+    r = random.Random(8)
+    docs = [(i % 25, " ".join("w%d" % r.randrange(40) for _ in range(i % 9))) for i in range(40)] + [(50, None), (None, "w1")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in [*range(20), 50]], "doc_id bigint, quality int, toxic int")
+    seen, fit = [], quality.fit
+
+    def collected(self):
+        raise AssertionError("collected")
+
+    monkeypatch.setattr(quality, "fit", lambda *a, **how: [seen.append(a), fit(*a, **how)][1])
+    for name in ("toArrow", "toPandas", "collect"):
+        monkeypatch.setattr(type(d), name, collected)
+    quality.train(d, quality.ratings_of(labels), spark)
+    cell, value, begin, grades = seen[0][:4]
+    got = [(cell[i:j].tolist(), value[i:j].tolist(), g) for i, j, g in zip(begin[:-1], begin[1:], grades, strict=True)]
+    want = defaultdict(list)
+    for i, t in docs:
+        if i is not None and (i < 20 or i == 50):
+            raw = np.frombuffer((t or "").encode(), np.uint8)
+            c, v, _ = quality.cells(raw, np.array([0, len(raw)]), quality.DIMS)
+            want[i].append((c.tolist(), v.astype(np.float16).astype(np.float32).tolist(), 1 + i % 2))
+    at = 0
+    for i in sorted(want):  # rows of one id may come in any order
+        assert sorted(got[at : at + len(want[i])]) == sorted(want[i])
+        at += len(want[i])
+    assert at == len(got) == len(grades)
+    quality.train(d, quality.ratings_of(labels.limit(0)), spark)
+    assert [len(x) for x in seen[1][:4]] == [0, 0, 1, 0]
+
+
 def test_signs_around_words():
     def cells(*texts):
         raw = [t.encode() for t in texts]
