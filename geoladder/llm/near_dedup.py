@@ -20,7 +20,9 @@ components: the nodes of such buckets, and only these, go through an exact prefi
 all their links between components. So the classes equal those from all pairs of every bucket.
 
 *Verification* compares the multisets themselves. *Components* are found by min-label exchange over the links, each
-round a written table; nothing but a count reaches the driver.
+round a written table; nothing but a count reaches the driver. Links that are counted to be few (``FEW_LINKS``) are
+labelled by the driver, without any round: a round over few links costs its tasks and no more, and these are as many as
+there are shuffle partitions.
 
 Defined results: null counts as empty; texts without any word are one class; null doc ids are nodes like others; repeated
 rows share a class; ``class_id`` is the smallest doc_id of a class (null only if it has no other); an empty table gives
@@ -46,6 +48,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 #: 64-bit words of a set's parity bitmap.
 PARITY_WORDS = 16
+#: So many links (8 MB) at most are read by the driver.
+FEW_LINKS = 1 << 19
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -171,14 +175,36 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     return joined.mapInArrow(_verify(k), "a bigint, b bigint, similarity double")
 
 
-def components(links: DataFrame, spark: SparkSession, what: str = "components") -> DataFrame:
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links in ascending order, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))  # never above the node itself, so a tree's root is its smallest node
+    while True:
+        x, y = root[i], root[j]
+        if np.array_equal(x, y):
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(far := root[root], root):
+            root = far
+
+
+def components(links: DataFrame, spark: SparkSession, what: str = "components", few: int | None = None) -> DataFrame:
     """(node, comp) for every node of (a, b) links; comp is the smallest node reachable.
 
     Labels shrink along links and are short-cut through the label's own label; the number of rounds is logarithmic for
-    stars and chains alike. Every round is a written table, so that a lost executor costs one round at most.
+    stars and chains alike. Every round is a written table, so that a lost executor costs one round at most. Links that
+    are ``few`` at most need no rounds.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links = _shared.written(links.select("a", "b"), spark, f"{what}-links")
+    if _shared.count_rows(links) <= (FEW_LINKS if few is None else few):
+        pairs = _shared.read_table(links)
+        _shared.discard(links)
+        nodes, comp = least_reachable(*(pairs[c].to_numpy() for c in ("a", "b")))
+        return _shared.written_here(pa.table({"node": nodes, "comp": comp}), spark, what)
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = _shared.written(both, spark, f"{what}-edges")
+    _shared.discard(links)
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
     labels = old = _shared.written(labels, spark, what)
     while True:
@@ -342,23 +368,27 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, similarity: float = SI
     def bucket_rows() -> DataFrame:
         return nodes.select("node", F.posexplode("keys").alias("band", "key"))
 
-    # a node's weight is how many others it meets: the original of many copies meets more of them than any copy does
+    # a node's weight is how many others it meets: the original of many copies meets more of them than any copy does; a
+    # node with its weight and buckets is one row, so that hubs and texts take no further join or distinct by node
     buckets = bucket_rows().groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     again = _shared.rehashed("band", "key")
     placed = bucket_rows().withColumn("again", again).join(buckets.withColumn("again", again), ["band", "key", "again"]).drop("again")
-    sized = _shared.written(placed, spark, "near-buckets")
-    weights = sized.groupBy("node").agg(F.sum("size").alias("weight"))
-    placed = sized.join(weights, "node")
+    crowded = placed.groupBy("node").agg(F.sum("size").alias("weight"), F.collect_list(F.struct("band", "key")).alias("at"))
+    reps = nodes.select("node", F.xxhash64("doc_id").alias("id_key"), "text_key")
+    crowded = _shared.written(crowded.join(reps, "node"), spark, "near-buckets")
+    placed = crowded.select("node", "weight", F.inline("at"))
     hubs = placed.groupBy("band", "key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
     placed = placed.withColumn("again", again).join(hubs.withColumn("again", again), ["band", "key", "again"])
-    placed = _shared.written(placed.select("band", "key", "node", "hub", "weight"), spark, "near-members")
-    _shared.discard(sized)
-    wanted = nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.xxhash64("doc_id").alias("id_key"), "text_key")
+    placed = _shared.written(placed.select("band", "key", "node", "hub"), spark, "near-members")
+    wanted = crowded.select("node", "id_key", "text_key")
     text_of = base.withColumn("id_key", F.xxhash64("doc_id")).select("id_key", "text_key", "text").join(wanted, ["id_key", "text_key"])
     text_of = _shared.written(text_of.select("node", "text").dropDuplicates(["node"]), spark, "near-texts")
-    stars = placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    with_hub = _shared.written(verified(stars, text_of, k), spark, "near-stars")
-    links = with_hub.where(F.col("similarity") >= similarity)
+    _shared.discard(crowded)
+    # a node has a hub in each band at most, and pairs that come by node meet its text without another shuffle
+    stars = placed.where("node <> hub").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+    stars = stars.select(F.col("node").alias("b"), F.explode("hubs").alias("a"))
+    links = verified(stars, text_of, k).where(F.col("similarity") >= similarity).select("a", "b")
+    links = _shared.written(links, spark, "near-links")
     comp = components(links, spark)
 
     # nodes of buckets that are still split between components can have links that no hub has shown
@@ -367,9 +397,9 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, similarity: float = SI
     rest = labelled.withColumn("again", again).join(split.withColumn("again", again), ["band", "key", "again"], "left_semi").select("node", "comp").distinct()
     rest = _shared.written(rest, spark, "near-open")
     more = _shared.written(across(text_of, rest, spark, similarity, k), spark, "near-across")
-    if more.limit(1).count():
-        comp = components(links.select("a", "b").union(more), spark)
-    _shared.discard(nodes, placed, text_of, with_hub, rest, more)
+    if _shared.count_rows(more):
+        comp = components(links.union(more), spark)
+    _shared.discard(nodes, placed, text_of, links, rest, more)
     named = member.select("doc_id", "text_key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     one = _shared.rehashed("comp")

@@ -152,3 +152,43 @@ def test_rarity_table_passes_the_driver_by(spark, monkeypatch):
     assert {tuple(x) for x in collect(links)} == {(i, j) for j in range(12) for i in range(j) if sim(bags[i], bags[j]) >= 0.6}
     fs, path = nd._shared.open_fs(nd._shared.shared_root(spark) + "/geoladder")
     assert not [x.path for x in fs.get_file_info(nd._shared.pafs.FileSelector(path)) if "near-rarity" in x.path]
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """Links that are few are labelled without a round, with the labels that the rounds give."""
+    r = random.Random(9)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(-i, -i - 1) for i in range(60)] + [(1000, -900 - i) for i in range(30)] + [(7, 7)]
+    pairs = [(a * 10**15, b * 10**15) for a, b in pairs]
+    links = spark.createDataFrame(pairs, "a bigint, b bigint")
+    names, written = [], nd._shared.written
+    monkeypatch.setattr(nd._shared, "written", lambda df, spark, what: [names.append(what), written(df, spark, what)][1])
+    few = sorted(tuple(x) for x in nd.components(links, spark).collect())
+    assert len(names) == 1
+    assert few == sorted(tuple(x) for x in nd.components(links, spark, few=0).collect()) and len(names) > 4
+    least = {x: x for p in pairs for x in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert few == sorted(least.items())
+    assert nd.components(links.limit(0), spark).count() == 0
+
+
+def test_tasks_of_a_run(spark):
+    """What a run costs where many partitions are held: their number times the shuffles that it makes."""
+    docs = spark.createDataFrame(made(3), "doc_id bigint, text string")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("near-tasks", "near_duplicates")
+        assert nd.near_duplicates(docs, spark).count() == len(made(3))
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("near-tasks") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks < 40 * 22
