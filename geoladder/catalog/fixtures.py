@@ -82,39 +82,44 @@ def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("bbox", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax")))
 
 
-def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points in order of place with their row group, row number and page."""
-    from pyspark.sql import Window
+#: Row groups of the points at most.
+MOST_GROUPS = 32
+
 
-    from geoladder.operators.rowgroups import near_equal_groups
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points in order of place with their row group and row number."""
+    from geoladder.operators.banding import numbered
+    from geoladder.operators.rowgroups import group_of_place
 
     p = points(spark, sf_dir)
-    order = [F.col("cx"), F.col("cy"), F.col("id")]
-    return p.withColumn("rg", near_equal_groups(order, p.count(), 32).cast("int")).withColumn("row_index", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    n = p.count()
+    placed = numbered(p, [("cx", False), ("cy", False), ("id", False)], "row_index", n).withColumn("row_index", F.col("row_index").cast("bigint"))
+    return placed.withColumn("rg", group_of_place(F.col("row_index"), n, MOST_GROUPS))
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per row group: rg, rows, nbytes, bbox (unknown for every fifth), row_start, row_end, band."""
+    """A row per row group: rg, rows, nbytes, bbox (unknown for every fifth), row_start, row_end, band.
+
+    They are made once and kept by the driver, 32 rows at most.
+    """
     from geoladder.operators import rowgroups
     from geoladder.plans import planner
 
     g = rowgroups.row_offsets(rowgroups.group_bounds(grouped(spark, sf_dir), ["rg"]))
-    return planner.stamp_bands(g.withColumn("bbox", F.when(F.col("rg") % 5 != 3, F.col("bbox"))), levels(spark))
+    g = planner.stamp_bands(g.withColumn("bbox", F.when(F.col("rg") % 5 != 3, F.col("bbox"))), levels(spark))
+    return spark.createDataFrame(g.collect(), g.schema)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 100 rows of each row group: rg, page, row_start, row_end, bbox."""
-    g = grouped(spark, sf_dir).withColumn("first", F.min("row_index").over(_by_group())).withColumn("page", F.floor((F.col("row_index") - F.col("first")) / 100).cast("int"))
+    from geoladder.operators.rowgroups import start_of_group
+
+    first = start_of_group(F.col("rg"), table(spark, sf_dir, "orders").count(), MOST_GROUPS)
+    g = grouped(spark, sf_dir).withColumn("page", F.floor((F.col("row_index") - first) / 100).cast("int"))
     box = F.struct(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
     return g.groupBy("rg", "page").agg(F.min("row_index").alias("row_start"), (F.max("row_index") + 1).alias("row_end"), box.alias("bbox"))
 
 
-def _by_group():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("rg")
-
-
 #: level, row_group_end, max_zoom of the ladder that the planning queries use.
 LEVELS = [(0, 1, 8), (1, 4, 10), (2, 8, 12), (3, 10**6, 24)]
 

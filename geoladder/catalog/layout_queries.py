@@ -110,7 +110,7 @@ def _assigned(df: DataFrame, dims: set[int], importance: str | None = None) -> D
     e = stats.extent(df)
     scored, _ = banding.rank_metric(df, dims, False, importance)
     out = banding.assign(scored, X.BANDS, e, True, REL, 4.0, None, _tie())
-    return out.select("id", "band", "overview_count")
+    return out.select(F.col("row_id").alias("id"), "band", "overview_count")
 
 
 def band_assignment_polygon(spark: SparkSession, d: str) -> DataFrame:
@@ -170,12 +170,10 @@ POINTS_NO_THIN = f"WITH {X.POINTS}, {EXTENT.format(t='pts')}{_strata()} SELECT i
 
 
 def attribute_rank(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     p = X.points(spark, d).withColumn("weight", F.when(F.col("id") % 50 != 0, F.col("metric"))).drop("metric")
     scored, _ = banding.rank_metric(p, {0}, False, "weight")
-    place = F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), F.col("id")))
-    return scored.select("id", (F.col("score") == float("-inf")).alias("least"), place.alias("place"))
+    placed = banding.numbered(scored, [("score", True), ("id", False)], "place")
+    return placed.select("id", (F.col("score") == float("-inf")).alias("least"), (F.col("place") + 1).cast("int").alias("place"))
 
 
 ATTRIBUTE_RANK = f"WITH {X.POINTS}, s AS (SELECT id, CASE WHEN id % 50 <> 0 THEN metric ELSE CAST('-infinity' AS DOUBLE) END AS score FROM pts) SELECT id, score = CAST('-infinity' AS DOUBLE) AS least, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS place FROM s"
@@ -329,7 +327,7 @@ def level_table(spark: SparkSession, d: str) -> DataFrame:
 
     rows = X.grouped(spark, d)
     bands = planner.stamp_bands(rows.select("rg").distinct(), X.levels(spark)).select(F.col("rg").alias("__rg"), "band")
-    rows = rows.join(bands, F.col("rg") == F.col("__rg"))
+    rows = rows.join(F.broadcast(bands), F.col("rg") == F.col("__rg"))  # a row per row group
     t = levels.level_frame(rows)
     return t.select("level", "feature_count", "row_group_end", "nbytes", *[F.col(f"extent.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 

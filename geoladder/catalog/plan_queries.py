@@ -9,7 +9,7 @@ from geoladder.catalog import fixtures as X
 from geoladder.functions import columns as C
 from geoladder.operators import stats
 from geoladder.plans import planner
-from geoladder.session import work_root
+from geoladder.session import kept, work_root
 from geoladder.sources import catalog
 from geoladder.streaming import meter
 
@@ -43,14 +43,14 @@ def seam_split_prune(spark: SparkSession, d: str) -> DataFrame:
 SEAM_SPLIT_PRUNE = f"WITH {X.GEO_POINTS} SELECT id FROM geo WHERE y BETWEEN -60 AND 60 AND (x BETWEEN 170 AND 180 OR x BETWEEN -180 AND -160)"
 
 
-def _extents(spark: SparkSession, d: str) -> dict[int, tuple]:
+def _extents(groups: DataFrame) -> dict[int, tuple]:
     """Extents of the bands (a row each); that of band 1 is not known."""
-    rows = X.groups(spark, d).where("bbox is not null").groupBy("band").agg(F.min("bbox.xmin").alias("a"), F.min("bbox.ymin").alias("b"), F.max("bbox.xmax").alias("c"), F.max("bbox.ymax").alias("e")).collect()
+    rows = groups.where("bbox is not null").groupBy("band").agg(F.min("bbox.xmin").alias("a"), F.min("bbox.ymin").alias("b"), F.max("bbox.xmax").alias("c"), F.max("bbox.ymax").alias("e")).collect()
     return {r.band: (r.a, r.b, r.c, r.e) for r in rows if r.band != 1}
 
 
 def band_skip(spark: SparkSession, d: str) -> DataFrame:
-    skip = planner.bands_outside(X.info(_extents(spark, d)), AOI)
+    skip = planner.bands_outside(X.info(_extents(X.groups(spark, d))), AOI)
     return X.levels(spark).select("level", F.col("level").isin(sorted(skip) or [-1]).alias("skipped"))
 
 
@@ -60,7 +60,8 @@ BAND_SKIP = f"WITH {_EXTENTS} SELECT level, skipped FROM lv"
 
 def viewport_read(spark: SparkSession, d: str) -> DataFrame:
     """Plans at three zooms: the groups of the prefix that may meet the viewport, each with its geometry column."""
-    info, g, out = X.info(_extents(spark, d)), X.groups(spark, d), None
+    g, out = X.groups(spark, d), None
+    info = X.info(_extents(g))
     for zoom in (6, 9, 14):
         p = planner.plan_overviews(info, g, AOI, zoom)
         part = p.groups.select(F.lit(zoom).alias("zoom"), "rg", "band", "column", F.lit(p.lod_key).alias("lod_key"))
@@ -92,7 +93,7 @@ PAGE_RANGES_MERGED = f"""WITH {X.PAGES}, hit AS (SELECT * FROM page_t WHERE {PAG
 
 def page_pairing(spark: SparkSession, d: str) -> DataFrame:
     """The leaves' indexes of every group; group 2 has a leaf with other boundaries, group 4 lacks a page, page 0 has no bounds."""
-    p = X.pages(spark, d)
+    p = kept(X.pages(spark, d), "pages")
     leaf = F.explode(F.array(*[F.struct(F.lit(n).alias("leaf"), F.col(f"bbox.{n}").alias("v")) for n in ("xmin", "ymin", "xmax", "ymax")]))
     leaves = p.select("rg", "page", "row_start", "row_end", leaf.alias("l")).select("rg", "page", "row_start", "row_end", "l.leaf", "l.v")
     leaves = leaves.where(~((F.col("rg") == 4) & (F.col("page") == 1) & (F.col("leaf") == "ymax")))
@@ -116,9 +117,11 @@ PAGE_GATE = f"WITH {X.GROUPS} SELECT rg, (xmax - xmin) * (ymax - ymin) >= 1.5 *
 
 def count_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Counts of rows of coarse groups from the groups' arrays; 0 for rows that no array covers."""
-    g = X.grouped(spark, d).join(planner.counted_groups(X.groups(spark, d), 3).select("rg"), "rg", "left_semi")
-    arrays = g.groupBy("rg").agg(F.min("row_index").alias("row_start"), (F.max("row_index") + 1).alias("row_end"), F.transform(F.array_sort(F.collect_list(F.struct("row_index", (F.col("id") % 7).cast("int").alias("n")))), lambda s: s["n"]).alias("counts"))
-    rows = X.grouped(spark, d).select("id", F.col("row_index").alias("row_id"))
+    rows = X.grouped(spark, d)
+    g = rows.join(F.broadcast(planner.counted_groups(X.groups(spark, d), 3).select("rg")), "rg", "left_semi")  # a row per row group
+    # a group's array in parts of 65,536 rows
+    arrays = g.groupBy("rg", F.floor(F.col("row_index") / 65536)).agg(F.min("row_index").alias("row_start"), (F.max("row_index") + 1).alias("row_end"), F.transform(F.array_sort(F.collect_list(F.struct("row_index", (F.col("id") % 7).cast("int").alias("n")))), lambda s: s["n"]).alias("counts"))
+    rows = rows.select("id", F.col("row_index").alias("row_id"))
     return planner.counts_for_rows(rows, arrays).select("id", F.col("count").cast("int").alias("count"))
 
 
@@ -186,9 +189,8 @@ def prune_outcomes(spark: SparkSession, d: str) -> DataFrame:
 PRUNE_OUTCOMES = f"WITH {X.GROUPS} SELECT CASE WHEN NOT known THEN 'no-bbox' WHEN {PAGE_HIT} THEN 'fetched' ELSE 'pruned' END AS outcome, count(*) AS groups, CAST(sum(rows) AS BIGINT) AS rows FROM groups GROUP BY 1"
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
+def _chunks(g: DataFrame) -> DataFrame:
     """Column chunks of the groups: exact ones everywhere, coarse ones in coarse bands."""
-    g = X.groups(spark, d)
     two = F.array(F.struct(F.lit("geometry").alias("column"), F.col("nbytes").alias("nbytes"), F.lit("ZSTD").alias("codec")), F.struct(F.lit("geom_overview").alias("column"), F.when(F.col("band") < 3, F.floor(F.col("nbytes") / 4)).otherwise(0).alias("nbytes"), F.when(F.col("band") < 3, "ZSTD").otherwise("SNAPPY").alias("codec")))
     return g.select("rg", "band", "rows", F.explode(two).alias("c")).select("rg", "band", "rows", "c.column", F.col("c.nbytes").cast("bigint").alias("nbytes"), "c.codec", (F.col("c.nbytes") * 3).cast("bigint").alias("raw_bytes"))
 
@@ -197,7 +199,7 @@ _CHUNKS = f"{X.GROUPS}, chunks AS (SELECT rg, band, rows, 'geometry' AS col, CAS
 
 
 def file_facts(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.file_facts(_chunks(spark, d))
+    return catalog.file_facts(_chunks(X.groups(spark, d)))
 
 
 FILE_FACTS = f"""WITH {_CHUNKS}, per AS (SELECT rg, max(rows) AS rows, sum(nbytes) AS nbytes FROM chunks GROUP BY rg)
@@ -214,7 +216,8 @@ SHARE_OF_FILE = f"WITH {X.GROUPS} SELECT rg, round(100 * nbytes / CAST(sum(nbyte
 
 def planned_bytes_sweep(spark: SparkSession, d: str) -> DataFrame:
     e = stats.extent(X.points(spark, d))
-    info, g, chunks, out = X.info(), X.groups(spark, d), _chunks(spark, d), None
+    info, g, out = X.info(), X.groups(spark, d), None
+    chunks = _chunks(g)
     for name, aoi, zoom in planner.viewport_ladder((e.x0, e.y0, e.x1, e.y1)):
         # the frame is no globe: plan without the seam
         level = planner.level_for_zoom(info, zoom)
@@ -290,7 +293,8 @@ CLAMPED_BOXES = f"WITH {X.GEO_POINTS} SELECT id, round({_CX[0]}, 9) AS xmin, rou
 
 def columns_and_groups(spark: SparkSession, d: str) -> DataFrame:
     """What plans at three zooms read: their distinct geometry columns, and the groups that are painted."""
-    info, g, out = X.info(_extents(spark, d)), X.groups(spark, d), None
+    g, out = X.groups(spark, d), None
+    info = X.info(_extents(g))
     for zoom in (6, 9, 14):
         plan = planner.plan_overviews(info, g, AOI, zoom)
         part = planner.columns_read(plan).agg(F.array_join(F.array_sort(F.collect_set("column")), ",").alias("columns")).crossJoin(planner.groups_painted(plan)).withColumn("zoom", F.lit(zoom))  # a row each
@@ -316,7 +320,7 @@ GROUP_BOX_ORDER = f"WITH {X.GROUPS}, f AS (SELECT *, CASE WHEN rg % 4 = 0 THEN 1
 
 def uncached_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The parts of wanted row ranges that no cached range covers, each with its group's column."""
-    p = X.pages(spark, d)
+    p = kept(X.pages(spark, d), "pages")
     want = p.where("page % 3 <> 2").withColumn("column", F.when(F.col("rg") % 2 == 0, "geometry").otherwise("geom_overview")).select("rg", "column", "row_start", "row_end")
     held = p.where("page % 2 = 0").withColumn("column", F.lit("geometry")).select("rg", "column", (F.col("row_start") + 10).alias("row_start"), "row_end")
     return planner.uncached_ranges(want, held)
@@ -327,7 +331,7 @@ UNCACHED_RANGES = f"""WITH {X.PAGES}, want AS (SELECT rg, page, CASE WHEN rg % 2
 
 
 def chunk_bytes(spark: SparkSession, d: str) -> DataFrame:
-    return planner.chunk_bytes(_chunks(spark, d), "geom_overview")
+    return planner.chunk_bytes(_chunks(X.groups(spark, d)), "geom_overview")
 
 
 CHUNK_BYTES = f"WITH {_CHUNKS} SELECT rg, CAST(sum(nbytes) AS BIGINT) AS nbytes FROM chunks WHERE col = 'geom_overview' GROUP BY rg"

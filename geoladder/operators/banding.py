@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from geoladder.operators.stats import Extent
 from geoladder.plans import ladder
 
 MAX_CELL = (1 << 30) - 1
-#: Rows up to which a rank without partitions is one window; beyond, ranks are made by ranges.
-WINDOW_ROWS = 2_000_000
+#: Rows up to which a rank without partitions is one window; beyond, ranks are made by ranges of a quarter of it.
+WINDOW_ROWS = 500_000
 
 
 def percentile_desc(df: DataFrame, metric: str, cohort: list[str], out: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
@@ -67,65 +69,71 @@ def cell(value: Column, low: float, size: float) -> Column:
 def survivors(df: DataFrame, size: float, origin: tuple[float, float], tie: list[Column], metric: str = "score") -> DataFrame:
     """Adds ``survivor`` and ``overview_count`` (a survivor's cell population, else 0).
 
-    A cell of a dimension keeps the valid row with the greatest metric (null is 0), ties by ``tie``. The winner is a
-    minimum that is combined before the shuffle, so a crowded cell costs one row per task, not a sort of all its rows.
+    A cell of a dimension keeps the valid row with the greatest metric (null is 0), ties by ``tie``, the last of which no
+    two rows share. The winner is a minimum that is combined before the shuffle, so a crowded cell costs one row per task,
+    not a sort of all its rows.
     """
     keyed = df.withColumn("__ix", cell(F.col("rx"), origin[0], size)).withColumn("__iy", cell(F.col("ry"), origin[1], size))
     rank = F.struct((-F.coalesce(F.nanvl(F.col(metric), F.lit(0.0)), F.lit(0.0))).alias("m"), *[t.alias(f"t{i}") for i, t in enumerate(tie)])
     best = keyed.where("valid").groupBy("dim", "__ix", "__iy").agg(F.min(rank).alias("__best"), F.count("*").alias("__n"))
-    best = best.select(F.col("dim").alias("__dim"), F.col("__ix").alias("__jx"), F.col("__iy").alias("__jy"), "__best", "__n")
+    best = best.select(F.col("dim").alias("__dim"), F.col("__ix").alias("__jx"), F.col("__iy").alias("__jy"), F.col(f"__best.t{len(tie) - 1}").alias("__best"), "__n")
     joined = keyed.join(best, (F.col("dim") == F.col("__dim")) & (F.col("__ix") == F.col("__jx")) & (F.col("__iy") == F.col("__jy")), "left")
-    won = F.coalesce(F.col("valid") & (rank == F.col("__best")), F.lit(False))
+    won = F.coalesce(F.col("valid") & (tie[-1] == F.col("__best")), F.lit(False))
     return joined.withColumn("survivor", won).withColumn("overview_count", F.when(won, F.col("__n")).otherwise(F.lit(0)).cast("bigint")).drop("__ix", "__iy", "__dim", "__jx", "__jy", "__best", "__n")
 
 
+def _below(value: Column, cuts: list[float], falls: bool) -> Column:
+    """How many of the rising ``cuts`` lie before a value, in blocks so that a value meets two square roots of them."""
+    if not cuts:
+        return F.lit(0)
+    line = lambda values: F.array(*[F.lit(float(c)) for c in values]).cast("array<double>")
+    size = math.ceil(len(cuts) ** 0.5)
+    cuts = cuts[::-1] if falls else cuts
+    count = lambda at: F.size(F.filter(at, lambda c: (c > value) if falls else (c < value)))
+    blocks = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    block = count(line([x[0] for x in blocks]))  # the last block that begins before the value
+    return F.when(block == 0, 0).otherwise((block - 1) * size + count(F.element_at(F.array(*[line(x) for x in blocks]), F.greatest(block, F.lit(1)))))
+
+
 def numbered(df: DataFrame, order: list[tuple[str, bool]], out: str, rows: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Adds each row's place (from 0) in an order of all rows.
 
     ``order``: (column, descending) of a total order of numbers, nulls last. Up to ``window_rows`` rows one window numbers
     them. A larger table is dealt into buckets by sampled ranges of its first column, and rows that tie there (nulls, or a
-    value that fills a range by itself) by the second one; bucket counts give each bucket's first place, and only within
-    buckets rows are numbered, so no task sees all rows.
+    value that fills a range by itself) by the next one; bucket counts give each bucket's first place, and only within
+    buckets rows are numbered, so no task sees all rows. There are as many tasks as ranges: left to their bytes, which
+    compress well, buckets would be put together again.
     """
     by = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in order]
     n = rows if rows is not None else df.count()
     if n <= window_rows:
         return df.withColumn(out, F.row_number().over(Window.orderBy(*by)) - 1)
-    (first, down), (second, down2) = order[0], order[1]
-    key, tie = F.col(first).cast("double"), F.col(second).cast("double")
     n_buckets = max(2, -(-n // window_rows) * 4)
     shares, error = [i / n_buckets for i in range(1, n_buckets)], 0.5 / n_buckets
-    found = df.select(key.alias("k")).where("k is not null").approxQuantile("k", shares, error)
-    cuts = sorted(set(found))
-    # a value that is a cut more than once holds more than a range's share of the rows
-    heavy = sorted({c for c in cuts if found.count(c) > 1})
-    within = lambda column, at, falls: F.size(F.filter(F.array(*[F.lit(float(c)) for c in at]).cast("array<double>"), lambda c: (c > column) if falls else (c < column)))
-    tied = key.isNull() | (key.isin(heavy) if heavy else F.lit(False))
-    ties = sorted(set(df.where(tied).select(tie.alias("k")).approxQuantile("k", shares, error)))
-    main = F.when(key.isNull(), len(cuts) + 1).otherwise(within(key, cuts, down))
-    # a heavy value lies alone between those before and after it
-    side = F.when(key.isin(heavy), 1).when(F.array_contains(F.array(*[F.lit(float(c)) for c in heavy]).cast("array<double>"), key), 1).otherwise(F.when(_after_heavy(key, heavy, cuts, down), 2).otherwise(0)) if heavy else F.lit(0)
-    df = df.withColumn("__bucket", F.struct(main.alias("a"), side.alias("b"), F.when(tied, within(tie, ties, down2)).otherwise(0).alias("c")))
+    places, tied, left = [], F.lit(True), n
+    for k, (column, down) in enumerate(order):
+        if k:
+            left = df.where(tied).count()
+            if left <= n // n_buckets:
+                break
+        key = F.col(column).cast("double")
+        key = F.when(key == 0, F.lit(0.0)).otherwise(key)  # one zero
+        found = df.where(tied & key.isNotNull()).select(key.alias("k")).approxQuantile("k", shares, error)
+        cuts = sorted({c + 0.0 for c in found})
+        # a value that is a cut more than once holds more than a range's share of the rows
+        heavy = sorted({c + 0.0 for c in cuts if found.count(c) > 1})
+        # every cut is a range of its own between those before and after it, nulls are the last one
+        place = F.when(key.isNull(), 2 * len(cuts) + 1).otherwise(2 * _below(key, cuts, down) + (key.isin(cuts) if cuts else F.lit(False)).cast("int"))
+        places.append(F.when(tied, place).otherwise(0).alias(f"p{k}"))
+        tied = tied & (key.isNull() | (key.isin(heavy) if heavy else F.lit(False)))
+    df = df.withColumn("__bucket", F.struct(*places))
     sizes = df.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = sizes.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    placed = df.join(F.broadcast(before), F.col("__bucket") == F.col("__b"))  # a row per bucket
+    placed = df.join(F.broadcast(before), F.col("__bucket") == F.col("__b")).repartition(n_buckets, "__bucket")  # a row per bucket
     placed = placed.withColumn(out, F.col("__before") + F.row_number().over(Window.partitionBy("__bucket").orderBy(*by)) - 1)
     return placed.drop("__bucket", "__b", "__before")
 
 
-def _after_heavy(key: Column, heavy: list[float], cuts: list[float], down: bool) -> Column:
-    """Whether a value comes behind a heavy one that shares its range (ranges are open towards the next cut)."""
-    out = F.lit(False)
-    for h in heavy:
-        nearer = [c for c in cuts if (c < h if down else c > h)]
-        edge = (max(nearer) if down else min(nearer)) if nearer else None
-        behind = (key < h) if down else (key > h)
-        if edge is not None:
-            behind = behind & ((key >= edge) if down else (key <= edge))
-        out = out | behind
-    return out
-
-
 def ranked_bands(df: DataFrame, order: list[tuple[str, bool]], edges: list[int], out: str = "band", rows: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Adds the band that a row's place falls into, given the places where bands begin; see ``numbered``."""
     placed = numbered(df, order, "__place", rows, window_rows)

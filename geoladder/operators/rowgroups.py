@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from geoladder.options import LEAST_COARSE_GROUP_ROWS
 
 
-def near_equal_groups(order: list[Column], rows: int, most: int, partition: list[str] | None = None) -> Column:
-    """Row group (from 0) of each row of a coarse band: equal sizes, the first ones a row longer."""
+def group_of_place(place: Column, rows: int, most: int) -> Column:
+    """Row group (from 0) of a row of a coarse band from its place (from 0): equal sizes, the first ones a row longer."""
     k = min(most, max(1, rows // LEAST_COARSE_GROUP_ROWS))
-    return F.ntile(k).over(Window.partitionBy(*(partition or [])).orderBy(*order)) - 1
+    q, r = rows // k, rows % k
+    return F.when(place < r * (q + 1), F.floor(place / (q + 1))).otherwise(r + F.floor((place - r * (q + 1)) / max(q, 1))).cast("int")
 
 
-def group_of_place(place: Column, rows: int, most: int) -> Column:
-    """The same from a row's place (from 0) in the band's order."""
+def start_of_group(group: Column, rows: int, most: int) -> Column:
+    """The place at which such a group begins."""
     k = min(most, max(1, rows // LEAST_COARSE_GROUP_ROWS))
     q, r = rows // k, rows % k
-    return F.when(place < r * (q + 1), F.floor(place / (q + 1))).otherwise(r + F.floor((place - r * (q + 1)) / max(q, 1))).cast("int")
+    return F.when(group < r, group.cast("bigint") * (q + 1)).otherwise(r * (q + 1) + (group.cast("bigint") - r) * q)
 
 
 def greedy_groups(df: DataFrame, order: list[str], bytes_col: str, budget: int, out: str = "rg", by: str | None = None) -> DataFrame:

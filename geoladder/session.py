@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -30,6 +32,13 @@ def work_root(spark: SparkSession) -> str:
     return "/tmp/geoladder"
 
 
+def kept(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
+    """The same rows from a table in the work folder (or at ``path``), so that what reads them twice makes them once."""
+    path = path or f"{work_root(df.sparkSession)}/geoladder/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(app: str = "geoladder", cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     """A local session; a cluster brings its own settings and this is not used there."""
     builder = (
