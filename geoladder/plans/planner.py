@@ -188,7 +188,10 @@ def counts_for_rows(rows: DataFrame, groups: DataFrame, row: str = "row_id") ->
     """
     width = 65536
     g = groups.select(F.col("row_start").alias("__a"), F.col("row_end").alias("__b"), "counts")
-    g = g.withColumn("__slot", F.explode(F.sequence(F.floor(F.col("__a") / width), F.floor((F.greatest("__b", F.col("__a") + 1) - 1) / width))))
+    g = g.select("*", F.explode(F.sequence(F.floor(F.col("__a") / width), F.floor((F.greatest("__b", F.col("__a") + 1) - 1) / width))).alias("__slot"))
+    # a range of rows takes its own part of the counts
+    begin = F.greatest(F.col("__a"), F.col("__slot") * width)
+    g = g.select("__slot", "__b", F.slice("counts", (begin - F.col("__a") + 1).cast("int"), F.lit(width)).alias("counts"), begin.alias("__a"))
     near = rows.withColumn("__slot", F.floor(F.col(row) / width))
     hit = near.join(g, (near["__slot"] == g["__slot"]) & (F.col(row) >= F.col("__a")) & (F.col(row) < F.col("__b")), "left")
     at = (F.col(row) - F.col("__a") + 1).cast("int")
@@ -250,13 +253,21 @@ def chunk_bytes(chunks: DataFrame, column: str) -> DataFrame:
 def uncached_ranges(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """What is left of wanted row ranges (rg, column, row_start, row_end) beside cached ones of the same group and column.
 
-    Cached ranges of a group may touch but not overlap. A range keeps its group's column.
+    Cached ranges of a group may touch but not overlap. A range keeps its group's column. Ranges meet by spans of rows, so
+    the pairs grow with the ranges and not with the square of those of a group; of the spans that two share, the first counts.
     """
-    key = [F.col("w.rg") == F.col("c.rg"), F.col("w.column") == F.col("c.column"), F.col("c.row_start") < F.col("w.row_end"), F.col("c.row_end") > F.col("w.row_start")]
-    on = key[0] & key[1] & key[2] & key[3]
-    w = wanted.alias("w").join(cached.alias("c"), on, "left").groupBy("w.rg", "w.column", "w.row_start", "w.row_end")
-    held = F.array_sort(F.collect_list(F.when(F.col("c.rg").isNotNull(), F.struct(F.col("c.row_start").alias("a"), F.col("c.row_end").alias("b")))))
-    w = w.agg(held.alias("held"))
+    width = 4096
+    first = lambda: F.floor(F.col("row_start") / width)
+    spans = F.explode(F.sequence(first(), F.floor((F.greatest("row_end", F.col("row_start") + 1) - 1) / width)))
+    key = ["rg", "column", "row_start", "row_end"]
+    wanted = wanted.select(*key).distinct()
+    w = wanted.select(*key, first().alias("first"), spans.alias("span")).alias("w")
+    c = cached.select(*key, first().alias("first"), spans.alias("span")).alias("c")
+    on = [F.col(f"w.{k}") == F.col(f"c.{k}") for k in ("rg", "column", "span")] + [F.col("w.span") == F.greatest("w.first", "c.first"), F.col("c.row_start") < F.col("w.row_end"), F.col("c.row_end") > F.col("w.row_start")]
+    held = lambda t: F.struct(F.col(f"{t}row_start").alias("a"), F.col(f"{t}row_end").alias("b"))
+    met = w.join(c, on).select(*[f"w.{k}" for k in key], held("c.").alias("held"))
+    every = met.unionByName(wanted.select(*key, F.when(F.lit(False), held("")).alias("held")))
+    w = every.groupBy(*key).agg(F.array_sort(F.collect_list("held")).alias("held"))
     # the gaps before, between and behind the cached ranges
     starts = F.concat(F.array("row_start"), F.transform("held", lambda h: h["b"]))
     ends = F.concat(F.transform("held", lambda h: h["a"]), F.array("row_end"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from geoladder.catalog import fixtures as X
 from geoladder.catalog import layout_queries, plan_queries
 from geoladder.operators import banding
+from geoladder.plans import planner
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +62,34 @@ def test_attributes_are_placed_in_ranges(spark, small_windows):
 @pytest.mark.parametrize("name", ["columns_and_groups", "viewport_read", "planned_bytes_sweep", "rowgroup_prune", "file_facts"])
 def test_groups_are_made_once(spark, name):
     assert "parquet" not in plan(plan_queries.QUERIES[name](spark, SF))
+
+
+def test_uncached_ranges_meet_by_spans(spark):
+    r, want, held = random.Random(5), [], []
+    for rg in (1, 2):
+        at = 0
+        while at < 60_000:
+            end = at + r.choice([1, 50, 300, 5_000, 20_000])
+            if r.random() < 0.6:
+                held.append((rg, "g", at, end))
+            at = end + r.choice([0, 0, 7])
+        want += [(rg, c, a, a + r.choice([1, 100, 9_000])) for c in ("g", "h") for a in range(0, 60_000, 777)]
+    kind = "rg int, column string, row_start long, row_end long"
+    out = planner.uncached_ranges(spark.createDataFrame(want, kind), spark.createDataFrame(held, kind))
+    expected = []
+    for rg, c, a, b in set(want):
+        for _, _, x, y in sorted(h for h in held if h[:2] == (rg, c) and h[2] < b and h[3] > a):
+            expected += [(rg, c, a, x)] if a < x else []
+            a = y
+        expected += [(rg, c, a, b)] if a < b else []
+    assert sorted(map(tuple, out.collect())) == sorted(expected)
+    assert "span" in plan(out)
+
+
+def test_counts_of_long_arrays_are_taken_in_parts(spark):
+    n = 150_000
+    arrays = spark.range(1).select(F.lit(70_000).cast("long").alias("row_start"), F.lit(70_000 + n).cast("long").alias("row_end"), F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda i: i % 11).alias("counts"))
+    out = planner.counts_for_rows(spark.range(60_000, 240_000).select(F.col("id").alias("row_id")), arrays)
+    assert "slice(counts" in plan(out)
+    bad = out.where(F.col("count") != F.when(F.col("row_id").between(70_000, 70_000 + n - 2), (F.col("row_id") - 70_000) % 11).otherwise(0))
+    assert out.count() == 180_000 and bad.count() == 0
