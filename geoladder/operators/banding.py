@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from geoladder.operators.stats import Extent
 from geoladder.plans import ladder
+from geoladder.session import kept
 
 MAX_CELL = (1 << 30) - 1
 #: Rows up to which a rank without partitions is one window; beyond, ranks are made by ranges of a quarter of it.
 WINDOW_ROWS = 500_000
+#: Values up to which a table of them is broadcast.
+FEW_VALUES = 50_000
 
 
 def percentile_desc(df: DataFrame, metric: str, cohort: list[str], out: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
@@ -24,10 +27,10 @@ def percentile_desc(df: DataFrame, metric: str, cohort: list[str], out: str, win
     """
     key = [*cohort, metric]
     values = df.groupBy(*key).agg(F.count("*").alias("__n"))
-    n = df.count()
-    n_buckets = max(1, -(-n // window_rows) * 4)
-    cuts = sorted(set(df.approxQuantile(metric, [i / n_buckets for i in range(1, n_buckets)], 0.5 / n_buckets))) if n_buckets > 1 else []
-    values = values.withColumn("__bucket", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c > F.col(metric).cast("double"))))
+    n = values.count()
+    n_buckets = 1 if n <= window_rows else -(-n // window_rows) * 4
+    cuts = sorted(set(values.approxQuantile(metric, [i / n_buckets for i in range(1, n_buckets)], 0.5 / n_buckets))) if n_buckets > 1 else []
+    values = values.withColumn("__bucket", _below(F.col(metric).cast("double"), cuts, True))
     sizes = values.groupBy(*cohort, "__bucket").agg(F.sum("__n").alias("__size"))
     every = Window.partitionBy(*cohort)
     upto = every.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,6 +42,7 @@ def percentile_desc(df: DataFrame, metric: str, cohort: list[str], out: str, win
     on = F.lit(True)
     for k in key:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    scored = F.broadcast(scored) if n <= FEW_VALUES else scored  # a row per value
     return df.join(scored, on).drop(*[f"__{k}" for k in key])
 
 
@@ -168,16 +172,18 @@ def stratified_points(df: DataFrame, bands: int, tols: list[float], origin: tupl
     return df.withColumn("band", F.coalesce("band", F.lit(bands - 1)).cast("int"))
 
 
-def assign(df: DataFrame, bands: int, e: Extent, thin: bool, coarsest_rel: float, factor: float, fractions: tuple[float, ...] | None, tie: list[Column], row: str = "row_id") -> DataFrame:
-    """Adds ``band`` and ``overview_count`` to rows with valid, dim, score, rx, ry, cx, cy.
+def assign(df: DataFrame, bands: int, e: Extent, thin: bool, coarsest_rel: float, factor: float, fractions: tuple[float, ...] | None, tie: list[Column], row: str = "row_id", path: str | None = None) -> DataFrame:
+    """``row``, ``band`` and ``overview_count`` of each of the rows with valid, dim, score, rx, ry, cx, cy.
 
     With thinning, band 0 is one survivor per cell over the whole extent; the others are cut by rank into the bands from
     1 on. Unranked rows come after all ranked ones, in row order. Invalid rows are in the last band. Empty bands vanish.
+    Which rows survive is written once, in the work folder or at ``path``, since ranking reads it several times.
     """
     last = bands - 1
     order = [("score", True), (row, False)]
+    none = F.lit(0).cast("bigint").alias("overview_count")
     if bands == 1:
-        return df.withColumn("band", F.lit(0)).withColumn("overview_count", F.lit(0).cast("bigint"))
+        return df.select(row, F.lit(0).alias("band"), none)
     if not thin:
         points = df.where("valid and score is null")
         ranked = df.where("valid and score is not null")
@@ -186,10 +192,18 @@ def assign(df: DataFrame, bands: int, e: Extent, thin: bool, coarsest_rel: float
         parts.append(ranked_bands(ranked, order, ladder.band_edges(n, bands, fractions), rows=n))
         parts.append(stratified_points(points, bands, ladder.tolerances(bands, e.span, coarsest_rel, factor), (e.x0, e.y0), row))
         out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-        return renumber(out.withColumn("overview_count", F.lit(0).cast("bigint")))
+        return renumber(out.select(row, "band", none))
     marked = survivors(df, e.span * coarsest_rel, (e.x0, e.y0), tie)
-    marked = marked.withColumn("__group", F.when(~F.col("valid"), 2).when(F.col("survivor"), 0).otherwise(1))
-    n = marked.where("__group = 1").count()
-    losers = ranked_bands(marked.where("__group = 1"), order, ladder.band_edges(n, last, fractions), rows=n).withColumn("band", F.col("band") + 1)
-    rest = marked.where("__group <> 1").withColumn("band", F.when(F.col("__group") == 0, 0).otherwise(last).cast("int"))
-    return renumber(losers.unionByName(rest).drop("__group", "survivor"))
+    group = F.when(~F.col("valid"), 2).when(F.col("survivor"), 0).otherwise(1)
+    marked = kept(marked.select(row, "score", group.alias("__group"), "overview_count"), "marked", path)
+    sizes = {r["__group"]: r["count"] for r in marked.groupBy("__group").count().collect()}  # three rows at most
+    n = sizes.get(1, 0)
+    edges = ladder.band_edges(n, last, fractions)
+    # bands without rows vanish; a band of losers has rows where the place at which it begins is one
+    full = {0} if sizes.get(0) else set()
+    full |= {1 + max(b for b, f in enumerate(edges[:-1]) if not b or f <= at) for at in edges if at < n}
+    full |= {last} if sizes.get(2) else set()
+    dense = lambda band: F.element_at(F.array(*[F.lit(sum(f < b for f in full)) for b in range(bands)]), band + 1).cast("int")
+    losers = ranked_bands(marked.where("__group = 1"), order, edges, rows=n).withColumn("band", dense(F.col("band") + 1))
+    rest = marked.where("__group <> 1").withColumn("band", dense(F.when(F.col("__group") == 0, 0).otherwise(last)))
+    return losers.unionByName(rest).select(row, "band", "overview_count")

@@ -93,3 +93,15 @@ def test_counts_of_long_arrays_are_taken_in_parts(spark):
     assert "slice(counts" in plan(out)
     bad = out.where(F.col("count") != F.when(F.col("row_id").between(70_000, 70_000 + n - 2), (F.col("row_id") - 70_000) % 11).otherwise(0))
     assert out.count() == 180_000 and bad.count() == 0
+
+
+@pytest.mark.parametrize("name", ["band_assignment_line", "band_assignment_mixed", "band_assignment_polygon"])
+def test_survivors_are_marked_once(spark, small_windows, name):
+    out = layout_queries.QUERIES[name](spark, SF)
+    assert out.inputFiles() and all("/marked-" in f for f in out.inputFiles())
+    same_as_sql(out, layout_queries.ORACLE_SQL[name])
+
+
+def test_few_values_are_broadcast(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("m"), F.lit(1).alias("dim"))
+    assert "strategy=broadcast" in plan(banding.percentile_desc(df, "m", ["dim"], "p"))
