@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from typing import Any
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ from geoladder.options import MEGABYTE, RESERVED, LayoutOptions
 from geoladder.plans import footer, ladder
 from geoladder.sources import reader, writer
 
-#: Bytes of a range of the curve within which the exact band's row groups are cut in one task.
-RANGE_GROUPS = 256
+#: Row groups' bytes in a range of the curve within which the exact band's row groups are cut in one task.
+RANGE_GROUPS = 16
+#: Rows in a file of measures at most.
+FILE_ROWS = 200_000
 
 
 def measure(rows: DataFrame, geometry: str, options: LayoutOptions) -> DataFrame:
@@ -52,7 +55,8 @@ def convert(spark: SparkSession, source: str | DataFrame, target: str, options:
     if src.rows.isEmpty():
         raise ValueError("the input has no rows")
     work = f"{target.rstrip('/')}-work-{uuid.uuid4().hex}"
-    measure(src.rows, src.geometry, options).write.parquet(work)
+    # in files of so many rows that the tasks which read them are many, however few those of the input are
+    measure(src.rows, src.geometry, options).write.option("maxRecordsPerFile", FILE_ROWS).parquet(work)
     measured = spark.read.parquet(work)
     try:
         return _layout(spark, measured, src, target, options)
@@ -71,8 +75,11 @@ def _layout(spark: SparkSession, measured: DataFrame, src: reader.Source, target
     with_bbox = ladder.wants_bbox(options.bbox, label, options.native_geo)
     dims = {r.dim for r in measured.where("valid").select("dim").distinct().collect()}
     scored, importance = banding.rank_metric(measured, dims, src.geographic, options.importance_column)
-    rows = banding.assign(scored, bands, e, options.thin, options.coarsest_rel, options.ladder_factor, options.band_fractions, [F.col("hash"), F.col("row_id")])
-    present = rows.groupBy("band").count().collect()  # ten rows at most
+    marked = f"{target.rstrip('/')}-marked-{uuid.uuid4().hex}"
+    # slim rows are ranked, and their bands join the rows once
+    assigned = banding.assign(scored, bands, e, options.thin, options.coarsest_rel, options.ladder_factor, options.band_fractions, [F.col("hash"), F.col("row_id")], path=marked)
+    present = assigned.groupBy("band").count().collect()  # ten rows at most
+    rows = measured.join(assigned.withColumnRenamed("row_id", "__row"), F.col("row_id") == F.col("__row")).drop("__row")
     bands = len(present)
     last = bands - 1
     tols = ladder.tolerances(bands, e.span, options.coarsest_rel, options.ladder_factor)
@@ -94,12 +101,15 @@ def _layout(spark: SparkSession, measured: DataFrame, src: reader.Source, target
         rows = rows.withColumn("overview_count", F.when(keep, F.col("overview_count").cast("int")))
     else:
         rows = rows.drop("overview_count")
-    rows = rows.drop("cx", "cy", "rx", "ry", "hash", "area", "length", "xmin", "ymin", "xmax", "ymax", "score")
+    rows = rows.drop("cx", "cy", "rx", "ry", "hash", "area", "length", "xmin", "ymin", "xmax", "ymax")
 
     # from here on everything reads the banded rows from a table: ranks and coarse shapes are made once
     banded = f"{target.rstrip('/')}-banded-{uuid.uuid4().hex}"
     rows.write.partitionBy("band").parquet(banded)
     rows = spark.read.parquet(banded).withColumn("band", F.col("band").cast("int"))
+    fs, path = reader.open_path(marked)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir(path)
 
     # row groups: equal parts of the coarse bands, byte budgets in ranges of the curve for the exact one
     sizes = {r.band: r["count"] for r in present}
@@ -112,12 +122,13 @@ def _layout(spark: SparkSession, measured: DataFrame, src: reader.Source, target
     budget = int(options.row_group_mb * MEGABYTE)
     n_ranges = max(1, -(-e.total_bytes // (budget * RANGE_GROUPS)))
     exact = rows.where(F.col("band") == last)
+    slim = exact.select(F.col("row_id").alias("__row"), "hilbert", "nbytes")
     if n_ranges > 1:
-        cuts = exact.approxQuantile("hilbert", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges)
-        exact = exact.withColumn("__range", F.size(F.filter(F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]), lambda c: c <= F.col("hilbert"))))
+        # by places, so that shapes at one place of the curve do not meet in one range
+        slim = banding.numbered(slim, [("hilbert", False), ("__row", False)], "__place", sizes[last]).withColumn("__range", F.floor(F.col("__place") * n_ranges / sizes[last]).cast("int"))
     else:
-        exact = exact.withColumn("__range", F.lit(0))
-    plan = rowgroups.greedy_groups(exact.select("row_id", "hilbert", "nbytes", "__range"), ["hilbert", "row_id"], "nbytes", budget, by="__range").select(F.col("row_id").alias("__row"), "rg")
+        slim = slim.withColumn("__range", F.lit(0))
+    plan = rowgroups.greedy_groups(slim.select("__row", "hilbert", "nbytes", "__range"), ["hilbert", "__row"], "nbytes", budget, by="__range").select("__row", "__range", "rg")
     parts.append(exact.join(plan, F.col("row_id") == F.col("__row")).drop("__row"))
     out = parts[0]
     for p in parts[1:]:

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from geoladder.catalog import fixtures as X
 from geoladder.catalog import layout_queries, plan_queries
+from geoladder.convert import RANGE_GROUPS, convert
+from geoladder.functions import wkb
 from geoladder.operators import banding
+from geoladder.options import LayoutOptions
 from geoladder.plans import planner
+from geoladder.sources import reader
 
 SF = "/root/testdata/sf0.001"
 
@@ -105,3 +109,15 @@ def test_survivors_are_marked_once(spark, small_windows, name):
 def test_few_values_are_broadcast(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("m"), F.lit(1).alias("dim"))
     assert "strategy=broadcast" in plan(banding.percentile_desc(df, "m", ["dim"], "p"))
+
+
+def test_shapes_at_one_place_are_cut_in_ranges(spark, tmp_path):
+    square = bytearray(wkb.polygon([[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]))
+    src = spark.createDataFrame([(i, square) for i in range(120)], "id long, geometry binary")
+    budget = 3 * len(square)
+    convert(spark, src, str(tmp_path / "a"), LayoutOptions(bands=2, coarsest_rel=1 / 40, row_group_mb=budget / 1e6))
+    groups = reader.read_layout(spark, str(tmp_path / "a")).groups.where("band = 1").collect()
+    ranges = -(-120 * len(square) // (budget * RANGE_GROUPS))
+    assert sum(g.rows for g in groups) == 119 and max(g.rows for g in groups) == 3
+    assert 1 < sum(g.rows < 3 for g in groups) <= ranges
+    assert not list(tmp_path.glob("a-*"))
